@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_codec, token_count
+from . import decontaminate, language_id, line_dedup, quality, sentencepiece_codec, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece_codec.query,
         "op2_token_count": token_count.query,
+        "op5_quality": quality.query,
+        "op6_decontaminate": decontaminate.query,
+        "op8_line_dedup": line_dedup.query,
+        "op9_language_id": language_id.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": line_dedup.ORACLE_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, quality, sentencepiece_codec, token_count
+from . import decontaminate, language_id, line_dedup, quality, sentencepiece_codec, shards, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": decontaminate.query,
         "op8_line_dedup": line_dedup.query,
         "op9_language_id": language_id.query,
+        "op10_shards": shards.query,
     }
 
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, quality, sentencepiece_codec, shards, token_count
+from . import decontaminate, jaccard_join, language_id, line_dedup, quality, sentencepiece_codec, shards, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece_codec.query,
         "op2_token_count": token_count.query,
+        "op3_jaccard_join": jaccard_join.query,
         "op5_quality": quality.query,
         "op6_decontaminate": decontaminate.query,
         "op8_line_dedup": line_dedup.query,

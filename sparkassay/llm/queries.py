@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, quality, sentencepiece_codec, shards, token_count
+from . import decontaminate, jaccard_join, language_id, line_dedup, lm_score, quality, sentencepiece_codec, shards, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard_join": jaccard_join.query,
         "op5_quality": quality.query,
         "op6_decontaminate": decontaminate.query,
+        "op7_lm_score": lm_score.query,
         "op8_line_dedup": line_dedup.query,
         "op9_language_id": language_id.query,
         "op10_shards": shards.query,

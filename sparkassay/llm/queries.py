@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, lm_score, quality, sentencepiece_codec, shards, token_count
+from . import decontaminate, jaccard_join, language_id, line_dedup, lm_score, quality, sentencepiece_codec, shards, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": sentencepiece_codec.query,
         "op2_token_count": token_count.query,
         "op3_jaccard_join": jaccard_join.query,
+        "op4_toxicity": toxicity.query,
         "op5_quality": quality.query,
         "op6_decontaminate": decontaminate.query,
         "op7_lm_score": lm_score.query,

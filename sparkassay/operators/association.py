@@ -175,11 +175,10 @@ def _neighbour_distance(points: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _within(points: np.ndarray, radius: np.ndarray, strict: bool) -> np.ndarray:
-    v = np.sort(points)
-    if strict:
-        return np.searchsorted(v, points + radius, "left") - np.searchsorted(v, points - radius, "right")
-    return np.searchsorted(v, points + radius, "right") - np.searchsorted(v, points - radius, "left")
+def _within(points: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many points, itself included, lie nearer than each point's radius; the radius shrinks a little, so that rounding never takes in its end."""
+    v, r = np.sort(points), radius * (1 - 1e-9)
+    return np.searchsorted(v, points + r, "right") - np.searchsorted(v, points - r, "left")
 
 
 def knn_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discrete: bool, k: int = 3, seed: int = 0) -> float:
@@ -205,12 +204,12 @@ def knn_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discrete:
         ok = own > 1
         if not ok.any():
             return 0.0
-        m = _within(y[ok], np.nextafter(radius[ok], 0), False)
+        m = _within(y[ok], radius[ok])
         kk = np.minimum(k, own[ok] - 1)
         return max(0.0, float(digamma(np.array([ok.sum()]))[0] + digamma(kk).mean() - digamma(own[ok]).mean() - digamma(np.maximum(m, 1)).mean()) / np.log(2))
     x, y = jitter(x), jitter(y)
     radius = _neighbour_distance(np.stack([x, y], 1), k)
-    nx, ny = _within(x, radius, True), _within(y, radius, True)
+    nx, ny = _within(x, radius), _within(y, radius)
     return max(0.0, float(digamma(np.array([k]))[0] + digamma(np.array([n]))[0] - digamma(np.maximum(nx, 1)).mean() - digamma(np.maximum(ny, 1)).mean()) / np.log(2))
 
 
@@ -228,7 +227,7 @@ def adjusted_information(df: DataFrame, label: str, columns: list[str], partitio
     order = Window.partitionBy(SLICE, "part").orderBy("h")
     sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap)
 
-    def estimate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def estimate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
         pdf = pdf.sort_values("h")
 

@@ -147,7 +147,7 @@ def histograms(values: DataFrame, quantile_buckets: int = 10, standard_buckets:
     points = grid(cumulative(values), fine)
     schema = f"{SLICE} string, path string, kind string, bucket int, low double, high double, count double"
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         q, cum = pdf["q"].tolist(), pdf["cum"].tolist()
         rows = []

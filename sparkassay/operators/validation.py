@@ -509,7 +509,13 @@ def validate_instance(spark, row: dict, schema: Schema, environment: str | None
 
     known = T.StructType([f for f in kind.fields if f.name in row])
     unknown = {k: v for k, v in row.items() if k not in known.fieldNames()}
-    df = spark.createDataFrame([{k: row[k] for k in known.fieldNames()}], known) if known.fields else spark.range(1).select()
+
+    def fit(v, t):
+        if isinstance(t, T.ArrayType):
+            return v if v is None or isinstance(v, (list, tuple)) else [v]
+        return v[0] if isinstance(v, (list, tuple)) and len(v) == 1 else v
+
+    df = spark.createDataFrame([{k: fit(row[k], known[k].dataType) for k in known.fieldNames()}], known) if known.fields else spark.range(1).select()
     from pyspark.sql import functions as F
 
     for k, v in unknown.items():

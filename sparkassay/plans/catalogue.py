@@ -408,20 +408,20 @@ def sliced_validation(spark, sf_dir):
     return spark.createDataFrame(out, "feature string, type string")
 
 
-_YEARS = "a AS (SELECT l_returnflag AS v, count(*)::DOUBLE AS c FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01 00:00:00' GROUP BY 1), b AS (SELECT l_returnflag AS v, count(*)::DOUBLE AS c FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' GROUP BY 1), j AS (SELECT v, coalesce(a.c, 0) AS ca, coalesce(b.c, 0) AS cb, (SELECT sum(c) FROM a) AS ta, (SELECT sum(c) FROM b) AS tb FROM a FULL JOIN b USING (v))"
+_YEARS = "a AS (SELECT l_returnflag AS v, count(*)::DOUBLE AS c FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-07-01 00:00:00' GROUP BY 1), b AS (SELECT l_returnflag AS v, count(*)::DOUBLE AS c FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-07-01 00:00:00' GROUP BY 1), j AS (SELECT v, coalesce(a.c, 0) AS ca, coalesce(b.c, 0) AS cb, (SELECT sum(c) FROM a) AS ta, (SELECT sum(c) FROM b) AS tb FROM a FULL JOIN b USING (v))"
 
 
 @query(f"WITH {_YEARS} SELECT round(max(abs(ca / ta - cb / tb)), 6) AS l_infinity, round(max(abs(ca - cb) / (ta + tb)), 6) AS normalized_abs_difference, round(sum(CASE WHEN ca > 0 THEN ca / ta * log2(2 * ca / ta / (ca / ta + cb / tb)) / 2 ELSE 0 END + CASE WHEN cb > 0 THEN cb / tb * log2(2 * cb / tb / (ca / ta + cb / tb)) / 2 ELSE 0 END), 6) AS jensen_shannon FROM j")
 def drift_distances(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    old, new = (values.value_counts(basic.prepared(line.where(c), columns=["l_returnflag"])) for c in ("l_shipdate < TIMESTAMP '1995-01-01 00:00:00'", "l_shipdate >= TIMESTAMP '1995-01-01 00:00:00'"))
+    old, new = (values.value_counts(basic.prepared(line.where(c), columns=["l_returnflag"])) for c in ("l_shipdate < TIMESTAMP '1998-07-01 00:00:00'", "l_shipdate >= TIMESTAMP '1998-07-01 00:00:00'"))
     return rounded(drift.distances(old, new).select("l_infinity", "normalized_abs_difference", "jensen_shannon"))
 
 
 @query()
 def drift_numeric(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_shipdate")
-    a, b = (generate_statistics(line.where(c).drop("l_shipdate")).collect()["All Examples"] for c in ("l_shipdate < TIMESTAMP '1995-01-01 00:00:00'", "l_shipdate >= TIMESTAMP '1995-01-01 00:00:00'"))
+    a, b = (generate_statistics(line.where(c).drop("l_shipdate")).collect()["All Examples"] for c in ("l_shipdate < TIMESTAMP '1998-07-01 00:00:00'", "l_shipdate >= TIMESTAMP '1998-07-01 00:00:00'"))
     schema = Schema({"l_extendedprice": Feature("l_extendedprice", "FLOAT", drift_comparator=Comparator(jensen_shannon_divergence=0.01))})
     return display.distances_frame(spark, validation.validate(b, schema, previous=a))
 
@@ -467,9 +467,9 @@ def skew_confusion(spark, sf_dir):
     return _skew(spark, sf_dir).confusion(["o_orderstatus"]).select("base", "test", "count")
 
 
-@query(f"WITH {_TEST_SQL} SELECT o.o_orderkey, list_filter(['o_totalprice'], lambda x: o.o_totalprice <> t.o_totalprice) AS mismatched_features, list_filter(['o_orderstatus'], lambda x: t.o_orderstatus IS NULL) AS base_only_features FROM orders o JOIN t USING (o_orderkey) WHERE o.o_totalprice <> t.o_totalprice OR t.o_orderstatus IS NULL")
+@query(f"WITH {_TEST_SQL} SELECT o.o_orderkey, CASE WHEN o.o_totalprice <> t.o_totalprice THEN 'o_totalprice' ELSE '' END AS mismatched_features, CASE WHEN t.o_orderstatus IS NULL THEN 'o_orderstatus' ELSE '' END AS base_only_features FROM orders o JOIN t USING (o_orderkey) WHERE o.o_totalprice <> t.o_totalprice OR t.o_orderstatus IS NULL")
 def skew_pairs(spark, sf_dir):
-    return _skew(spark, sf_dir).skewed_pairs().select("o_orderkey", "mismatched_features", "base_only_features")
+    return _skew(spark, sf_dir).skewed_pairs().select("o_orderkey", *[F.concat_ws(",", c).alias(c) for c in ("mismatched_features", "base_only_features")])
 
 
 # --- streams

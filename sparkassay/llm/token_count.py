@@ -8,8 +8,8 @@ the change of the token count. They are compiled when first met and kept in a ha
 
 Texts are cut into chunks that run side by side, a character of every chunk at each step. A chunk's map takes entry
 states to (exit state, tokens). Chunks are cut before a word where one begins, where the entry state is known; inside a
-longer word it is guessed from the characters before the cut. An inclusive prefix scan composes the maps of each text in
-log2 steps; a guess that proves wrong gets a further lane with the true entry, and the scan is done again.
+longer word it is guessed from the characters before the cut, and chunks whose guess proves wrong are run again, all at
+once, until entries and exits agree. An inclusive prefix scan composes the maps of each text in log2 steps.
 
 Null and empty texts have no tokens; texts of any length count whole; repeated rows get equal counts.
 """
@@ -218,11 +218,8 @@ def scan(entry: np.ndarray, exit_: np.ndarray, count: np.ndarray, head: np.ndarr
 
     ``head``: index of the first map of each one's text. Gives for lane 0 of that first map the exit and tokens after each map.
     """
-    n = len(head)
-    to, total = exit_[:, 0].copy(), count[:, 0].copy()
-    fro = np.arange(n)  # the first map in what has been composed so far, entered through its lanes
+    fro = np.arange(len(head))  # the first map in what has been composed so far, entered through its lanes
     lanes_to, lanes_total = exit_.copy(), count.copy()
-    d = 1
     while (fro > head).any():
         i = np.flatnonzero(fro > head)
         j = fro[i] - 1  # composed with what ends just before
@@ -235,9 +232,7 @@ def scan(entry: np.ndarray, exit_: np.ndarray, count: np.ndarray, head: np.ndarr
         new_total = mid_count + np.where(ok, lanes_total[i][rows, which], 0)
         lanes_to[i], lanes_total[i] = new_to, new_total
         fro[i] = fro[j]
-        d *= 2
-    to, total = lanes_to[:, 0], lanes_total[:, 0]
-    return to, total
+    return lanes_to[:, 0], lanes_total[:, 0]
 
 
 class Counter:
@@ -268,39 +263,18 @@ class Counter:
             fro = np.maximum(cuts[guess] - WARM, begin[row[guess]])
             entry[guess, 0], _ = self._lanes(cls, fro, cuts[guess] - fro, np.zeros(len(guess), np.int64))
         exit_, count = (x[:, None] for x in self._lanes(cls, cuts, size, entry[:, 0]))
-        # a chunk that begins a word may be entered from any state: its map is constant
-        for k in (exit_, count):
-            assert k.shape == entry.shape
+        while len(wrong := guess[entry[guess, 0] != exit_[guess - 1, 0]]):  # all wrong guesses at once, with what now stands before them
+            entry[wrong, 0] = exit_[wrong - 1, 0]
+            exit_[wrong, 0], count[wrong, 0] = self._lanes(cls, cuts[wrong], size[wrong], entry[wrong, 0])
+        # a chunk that begins a word is entered from any state alike: its map is constant, so it takes the exit before it
+        inner = np.flatnonzero(known & (np.arange(len(head)) != head))
+        entry[inner] = exit_[inner - 1]
+        _, total = scan(entry, exit_, count, head)
         last = np.flatnonzero(np.append(row[1:] != row[:-1], True))
-        while True:
-            asked = np.where(known[:, None], -1, entry)
-            to, total = scan(*self._constant(asked, exit_, count, known, head), head)
-            if (to[last] >= 0).all():
-                break
-            wrong = np.flatnonzero((to < 0) & ~known)
-            wrong = wrong[to[wrong - 1] >= 0]  # the first of its text whose entry no lane has
-            true = to[wrong - 1]
-            entry, exit_, count = (np.hstack([x, np.full((len(x), 1), fill)]) for x, fill in ((entry, -1), (exit_, -1), (count, 0)))
-            entry[wrong, -1] = true
-            exit_[wrong, -1], count[wrong, -1] = self._lanes(cls, cuts[wrong], size[wrong], true)
         out = np.zeros(n, np.int64)
         out[full] = total[last]
         return out
 
-    def _constant(self, entry, exit_, count, known, head):
-        """Maps whose entry is known take every exit of the map before: they get one lane for each of those."""
-        if not known[np.arange(len(head)) != head].any():
-            return entry, exit_, count
-        lanes = entry.shape[1]
-        entry, exit_, count = entry.copy(), exit_.copy(), count.copy()
-        inner = np.flatnonzero(known & (np.arange(len(head)) != head))
-        before = exit_[inner - 1]
-        entry[inner] = before
-        exit_[inner] = np.where(before >= 0, exit_[inner][:, :1], -1)
-        count[inner] = np.where(before >= 0, count[inner][:, :1], 0)
-        assert entry.shape[1] == lanes
-        return entry, exit_, count
-
     def _cut(self, cls: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts of chunks, their row): near each multiple of CHUNK the next start of a word, or that place itself if the word is longer."""
         pieces = np.maximum(1, -(-(end - begin) // CHUNK))

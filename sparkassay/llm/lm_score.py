@@ -6,8 +6,8 @@ A bigram model with unigram back-off over words and an end token:
 words and the unknown one. Counts come from all training documents.
 
 Documents are dealt to buckets by doc_id. A bucket sends its distinct words and word pairs with their training counts,
-packed, to shards by hash; a shard sums them over buckets and sends each bucket back the totals of what it asked for
-(pairs only where the total differs from the bucket's own count). So no task ever holds the whole model: each bucket
+packed, to shards by hash; a shard sums them over buckets and sends each bucket back the totals of what it asked for,
+where they differ from the bucket's own counts. So no task ever holds the whole model: each bucket
 builds a trie of the n-grams its own texts ask for, in memory-mapped levels, and scores its texts with it. Pair keys hold
 32 bits of each word's hash; words have 64.
 
@@ -29,6 +29,8 @@ from .blobs import pack, unpack
 from .ef_trie import Trie
 
 SHARE = 0.4
+#: Buckets of documents for each partition; a task handles its buckets one after the other, so this bounds its memory.
+BUCKETS = 4
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 _LOW = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)
@@ -108,21 +110,25 @@ class _Counting:
 class _Scoring(_Counting):
     def __init__(self):
         super().__init__()
-        self.sent: dict[int, list] = {0: [], 1: []}
+        self.sent: dict[int, list] = {0: [], 1: []}  # (shard, blob)
 
     def take(self, b: pa.RecordBatch) -> None:
         kind = b.column(1).to_numpy()
-        for k, blob in zip(kind.tolist(), b.column(2)):
+        for k, shard, blob in zip(kind.tolist(), b.column(2).to_pylist(), b.column(3)):
             if k < 2:
-                self.sent[k].append(unpack(blob.as_buffer().to_pybytes()))
+                self.sent[k].append((shard, blob.as_buffer().to_pybytes()))
         rows = b.filter(pa.array(kind == 2))
         if rows.num_rows:
-            self.tokens.add(rows.column(3).to_pylist(), rows.column(4).to_numpy(zero_copy_only=False), shared.Texts(rows.column(5)))
+            self.tokens.add(rows.column(4).to_pylist(), rows.column(5).to_numpy(zero_copy_only=False), shared.Texts(rows.column(6)))
 
-    def totals(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate(x) for x in zip(*self.sent[kind])) if self.sent[kind] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(keys.view(np.uint64))
-        return keys.view(np.uint64)[order], counts[order]
+    def totals(self, kind: int, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys asked for, their training counts in all documents): places are those of the question, which is the same again."""
+        known, counts = self.tokens.counted(keys)
+        order, cuts = _by_shard(known, shards)
+        for shard, blob in self.sent.pop(kind):
+            place, total = unpack(blob)
+            counts[order[cuts[shard] + place]] = total
+        return known, counts
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, ask: np.ndarray, default) -> np.ndarray:
@@ -132,13 +138,25 @@ def _lookup(keys: np.ndarray, values: np.ndarray, ask: np.ndarray, default) -> n
     return np.where(keys[at] == ask, values[at], default)
 
 
-def _dealt(docs: DataFrame, buckets: int, text: str, key: str) -> DataFrame:
-    bucket = F.pmod(F.coalesce(F.xxhash64(key), F.lit(0)), F.lit(buckets)).cast("int")
+def _dealt(docs: DataFrame, groups: int, text: str, key: str) -> DataFrame:
+    """Documents with their bucket, which is part of a group; a group is a partition."""
+    bucket = F.pmod(F.coalesce(F.xxhash64(key), F.lit(0)), F.lit(groups * BUCKETS)).cast("int")
     return docs.select(bucket.alias("bucket"), F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
 
 
-def counts(docs: DataFrame, buckets: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(bucket, kind, blob, tokens, types, once): totals for each bucket of the words (kind 0) and pairs (1) it asked for, and each shard's sums over words."""
+def _group(groups: int):
+    return F.pmod(F.col("bucket"), F.lit(groups))
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by shard, keys ascending within each; where each shard begins)."""
+    shard = (shared.mix(keys) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def counts(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(bucket, kind, shard, blob, tokens, types, once): for each bucket and shard the places and totals of the words (kind 0) and pairs (1) it asked for, where they differ from its own counts, and each shard's sums over words (bucket -1)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, state in _buckets(batches, _Counting):
@@ -146,9 +164,7 @@ def counts(docs: DataFrame, buckets: int, text: str = "text", key: str = "doc_id
             t.close()
             for kind, keys in ((0, t.hashes), (1, t.pairs)):
                 k, c = t.counted(keys)
-                shard = (shared.mix(k) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")  # keys stay ascending within a shard
-                cuts = np.searchsorted(shard[order], np.arange(buckets + 1))
+                order, cuts = _by_shard(k, shards)
                 full = np.flatnonzero(np.diff(cuts))
                 blobs = [pack(k[order[a:b]], c[order[a:b]]) for a, b in zip(cuts[full], cuts[full + 1])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind), pa.int32()), pa.array(full, pa.int32()), pa.array(np.full(len(full), bucket), pa.int32()), pa.array(blobs, pa.binary())], ["kind", "shard", "bucket", "blob"])
@@ -160,34 +176,32 @@ def counts(docs: DataFrame, buckets: int, text: str = "text", key: str = "doc_id
                 held.setdefault((kind, shard), []).append((bucket, blob))
         for kind, shard in sorted(held):
             asked = [(bucket, *unpack(blob)) for bucket, blob in held.pop((kind, shard))]
-            keys = np.concatenate([k for _, k, _ in asked])
-            own = np.concatenate([c for _, _, c in asked])
-            known, back = np.unique(keys, return_inverse=True)
-            sums = np.bincount(back, weights=own, minlength=len(known)).astype(np.int64)
+            known, back = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
+            sums = np.bincount(back, weights=np.concatenate([c for _, _, c in asked]), minlength=len(known)).astype(np.int64)
+            mine = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum())] if kind == 0 else [0, 0, 0]
             got, at, out = sums[back], 0, []
             for bucket, k, c in asked:
                 s = got[at : at + len(k)]
                 at += len(k)
-                send = s > 0 if kind == 0 else s != c
-                if send.any():
-                    out.append((bucket, pack(k[send].view(np.uint64), s[send])))
-            mine = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum())] if kind == 0 else [0, 0, 0]
+                send = np.flatnonzero(s != c)
+                if len(send):
+                    out.append((bucket, pack(send, s[send])))
             out.append((-1, b""))
             zero = [0] * (len(out) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([kind] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary()), *[pa.array([*zero, m], pa.int64()) for m in mine]], ["bucket", "kind", "blob", "tokens", "types", "once"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([kind] * len(out), pa.int32()), pa.array([shard] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary()), *[pa.array([*zero, m], pa.int64()) for m in mine]], ["bucket", "kind", "shard", "blob", "tokens", "types", "once"])
 
-    asked = _dealt(docs, buckets, text, key).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(ask, "kind int, shard int, bucket int, blob binary")
-    return asked.repartition(buckets, "kind", "shard").mapInArrow(total, "bucket int, kind int, blob binary, tokens long, types long, once long")
+    dealt = _dealt(docs, shards, text, key).repartition(shards, _group(shards)).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(ask, "kind int, shard int, bucket int, blob binary").repartition(shards, "kind", "shard").mapInArrow(total, "bucket int, kind int, shard int, blob binary, tokens long, types long, once long")
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    buckets = shared.partitions(docs.sparkSession)
-    table = shared.materialize(counts(docs, buckets, text, key), "ngram-counts")
+    shards = shared.partitions(docs.sparkSession)
+    table = shared.materialize(counts(docs, shards, text, key), "ngram-counts")
     sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once")]).first()
     n, v, once = sums.tokens, sums.types, sums.once
-    model = table.where("bucket >= 0").select("bucket", "kind", "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
-    rows = _dealt(docs, buckets, text, key).select("bucket", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc_id", "held_out", "text")
+    model = table.where("bucket >= 0").select("bucket", "kind", "shard", "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
+    rows = _dealt(docs, shards, text, key).select("bucket", F.lit(2).alias("kind"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("blob"), "doc_id", "held_out", "text")
     unknown = (once + 1) / (n + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,15 +210,16 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             t.close()
             if not len(t.ids):
                 continue
-            words, counts_ = state.totals(0)
+            words, counts_ = state.totals(0, t.hashes, shards)
+            words, counts_ = words[counts_ > 0], counts_[counts_ > 0]
             c = _lookup(words, counts_, t.hashes, 0)
             base = np.log10((c + 1) / (n + 1 * (v + 1)))
             first = np.cumsum(t.counts) - t.counts
-            got = _model_log10(t, state, words, counts_, n, unknown)
+            got = _model_log10(t, state, words, counts_, n, unknown, shards)
             columns = [pa.array(t.ids, pa.int64()), pa.array(t.held), pa.array(t.counts.astype(np.int64)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.full(len(t.ids), n)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(got, first))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    both = model.unionByName(rows).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    both = model.unionByName(rows).repartition(shards, _group(shards)).sortWithinPartitions("bucket", "kind")
     return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -212,15 +227,13 @@ def _share(c: np.ndarray) -> np.ndarray:
     return SHARE * c / (c + 2.0)
 
 
-def _model_log10(t: Tokens, state: _Scoring, words: np.ndarray, counts_: np.ndarray, n: int, unknown: float) -> np.ndarray:
+def _model_log10(t: Tokens, state: _Scoring, words: np.ndarray, counts_: np.ndarray, n: int, unknown: float, shards: int) -> np.ndarray:
     """log10 p of each token, from a trie of the bucket's n-grams."""
     starts = np.uint64(START)
     codes, at = np.unique(np.append(words, starts) >> _HALF, return_index=True)
     # words of a bucket that share their 32 bits are one word to the trie; the start symbol's count is the end token's
     c = np.append(counts_, _lookup(words, counts_, np.array([END]), 0))[at].astype(np.float64)
-    own, local = t.counted(t.pairs)
-    sent, totals = state.totals(1)
-    total = _lookup(sent, totals, own, local)
+    own, total = state.totals(1, t.pairs, shards)
     own, total = own[total > 0], total[total > 0]
     context = np.searchsorted(codes, own >> _HALF)
     follower = np.searchsorted(codes, own & _LOW)

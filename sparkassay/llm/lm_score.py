@@ -31,6 +31,7 @@ from .ef_trie import Trie
 SHARE = 0.4
 #: Buckets of documents for each partition; a task handles its buckets one after the other, so this bounds its memory.
 BUCKETS = 4
+MODEL = -1
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 _LOW = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)
@@ -108,18 +109,24 @@ class _Counting:
 
 
 class _Scoring(_Counting):
-    def __init__(self):
+    """A bucket's documents; rows of bucket MODEL, which come first, fill ``answers`` of all buckets of the task."""
+
+    def __init__(self, answers: dict[int, list]):
         super().__init__()
+        self.answers = answers
         self.sent: dict[int, list] = {0: [], 1: []}  # (shard, blob)
 
     def take(self, b: pa.RecordBatch) -> None:
-        kind = b.column(1).to_numpy()
-        for k, shard, blob in zip(kind.tolist(), b.column(2).to_pylist(), b.column(3)):
-            if k < 2:
-                self.sent[k].append((shard, blob.as_buffer().to_pybytes()))
-        rows = b.filter(pa.array(kind == 2))
-        if rows.num_rows:
-            self.tokens.add(rows.column(4).to_pylist(), rows.column(5).to_numpy(zero_copy_only=False), shared.Texts(rows.column(6)))
+        if b.column(0)[0].as_py() == MODEL:
+            for shard, kinds, buckets, blobs in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4))):
+                for kind, bucket, blob in zip(kinds, buckets, blobs):
+                    self.answers.setdefault(bucket, []).append((kind, shard, blob))
+        else:
+            self.tokens.add(b.column(5).to_pylist(), b.column(6).to_numpy(zero_copy_only=False), shared.Texts(b.column(7)))
+
+    def gather(self, bucket: int) -> None:
+        for kind, shard, blob in self.answers.pop(bucket, []):
+            self.sent[kind].append((shard, blob))
 
     def totals(self, kind: int, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """(distinct keys asked for, their training counts in all documents): places are those of the question, which is the same again."""
@@ -155,43 +162,61 @@ def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+_PACKS = "kinds array<int>, buckets array<int>, blobs array<binary>"
+
+
+def _packs(groups: list[int], shard: list[int], packs: list[list[tuple[int, int, bytes]]]) -> list[pa.Array]:
+    lists = [pa.array([[x[k] for x in p] for p in packs], pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.binary()))]
+    return [pa.array(groups, pa.int32()), pa.array(shard, pa.int32()), *lists]
+
+
 def counts(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(bucket, kind, shard, blob, tokens, types, once): for each bucket and shard the places and totals of the words (kind 0) and pairs (1) it asked for, where they differ from its own counts, and each shard's sums over words (bucket -1)."""
+    """(grp, shard, kinds, buckets, blobs, tokens, types, once): for each group and shard the places and totals of the words (kind 0) and pairs (1) that the group's buckets asked for, where they differ from a bucket's own counts; and each shard's sums over words (grp -1).
+
+    A task asks a shard in one row for all its buckets, so rows are as many as an exchange has blocks.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
         for bucket, state in _buckets(batches, _Counting):
             t = state.tokens
             t.close()
             for kind, keys in ((0, t.hashes), (1, t.pairs)):
                 k, c = t.counted(keys)
                 order, cuts = _by_shard(k, shards)
-                full = np.flatnonzero(np.diff(cuts))
-                blobs = [pack(k[order[a:b]], c[order[a:b]]) for a, b in zip(cuts[full], cuts[full + 1])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind), pa.int32()), pa.array(full, pa.int32()), pa.array(np.full(len(full), bucket), pa.int32()), pa.array(blobs, pa.binary())], ["kind", "shard", "bucket", "blob"])
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    mine = order[cuts[s] : cuts[s + 1]]
+                    held.setdefault((bucket % shards, s), []).append((kind, bucket, pack(k[mine], c[mine])))
+        if held:
+            yield pa.RecordBatch.from_arrays(_packs([g for g, _ in held], [s for _, s in held], list(held.values())), ["grp", "shard", "kinds", "buckets", "blobs"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+        held: dict[int, list] = {}
         for b in batches:
-            for kind, shard, bucket, blob in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault((kind, shard), []).append((bucket, blob))
-        for kind, shard in sorted(held):
-            asked = [(bucket, *unpack(blob)) for bucket, blob in held.pop((kind, shard))]
-            known, back = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
-            sums = np.bincount(back, weights=np.concatenate([c for _, _, c in asked]), minlength=len(known)).astype(np.int64)
-            mine = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum())] if kind == 0 else [0, 0, 0]
-            got, at, out = sums[back], 0, []
-            for bucket, k, c in asked:
-                s = got[at : at + len(k)]
-                at += len(k)
-                send = np.flatnonzero(s != c)
-                if len(send):
-                    out.append((bucket, pack(send, s[send])))
-            out.append((-1, b""))
-            zero = [0] * (len(out) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([kind] * len(out), pa.int32()), pa.array([shard] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary()), *[pa.array([*zero, m], pa.int64()) for m in mine]], ["bucket", "kind", "shard", "blob", "tokens", "types", "once"])
+            for group, shard, *lists in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(shard, []).extend((group, *x) for x in zip(*lists))
+        for shard in sorted(held):
+            asked_all, out, mine = held.pop(shard), {}, [0, 0, 0]
+            for kind in (0, 1):
+                asked = [(group, bucket, *unpack(blob)) for group, k, bucket, blob in asked_all if k == kind]
+                if not asked:
+                    continue
+                known, back = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
+                sums = np.bincount(back, weights=np.concatenate([x[3] for x in asked]), minlength=len(known)).astype(np.int64)
+                if kind == 0:
+                    mine = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum())]
+                got, at = sums[back], 0
+                for group, bucket, k, c in asked:
+                    s = got[at : at + len(k)]
+                    at += len(k)
+                    send = np.flatnonzero(s != c)
+                    if len(send):
+                        out.setdefault(group, []).append((kind, bucket, pack(send, s[send])))
+            zero = [0] * len(out)
+            yield pa.RecordBatch.from_arrays([*_packs([*out, -1], [shard] * (len(out) + 1), [*out.values(), []]), *[pa.array([*zero, m], pa.int64()) for m in mine]], ["grp", "shard", "kinds", "buckets", "blobs", "tokens", "types", "once"])
 
     dealt = _dealt(docs, shards, text, key).repartition(shards, _group(shards)).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(ask, "kind int, shard int, bucket int, blob binary").repartition(shards, "kind", "shard").mapInArrow(total, "bucket int, kind int, shard int, blob binary, tokens long, types long, once long")
+    return dealt.mapInArrow(ask, f"grp int, shard int, {_PACKS}").repartition(shards, "shard").mapInArrow(total, f"grp int, shard int, {_PACKS}, tokens long, types long, once long")
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -200,16 +225,19 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     table = shared.materialize(counts(docs, shards, text, key), "ngram-counts")
     sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once")]).first()
     n, v, once = sums.tokens, sums.types, sums.once
-    model = table.where("bucket >= 0").select("bucket", "kind", "shard", "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
-    rows = _dealt(docs, shards, text, key).select("bucket", F.lit(2).alias("kind"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("blob"), "doc_id", "held_out", "text")
+    none = lambda kind: F.lit(None).cast(kind)
+    model = table.where("grp >= 0").select(F.lit(MODEL).alias("bucket"), "shard", "kinds", "buckets", "blobs", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"), "grp")
+    rows = _dealt(docs, shards, text, key).select("bucket", none("int").alias("shard"), none("array<int>").alias("kinds"), none("array<int>").alias("buckets"), none("array<binary>").alias("blobs"), "doc_id", "held_out", "text", _group(shards).alias("grp"))
     unknown = (once + 1) / (n + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, state in _buckets(batches, _Scoring):
+        answers: dict[int, list] = {}
+        for bucket, state in _buckets(batches, lambda: _Scoring(answers)):
+            if bucket == MODEL:
+                continue
             t = state.tokens
             t.close()
-            if not len(t.ids):
-                continue
+            state.gather(bucket)
             words, counts_ = state.totals(0, t.hashes, shards)
             words, counts_ = words[counts_ > 0], counts_[counts_ > 0]
             c = _lookup(words, counts_, t.hashes, 0)
@@ -219,7 +247,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             columns = [pa.array(t.ids, pa.int64()), pa.array(t.held), pa.array(t.counts.astype(np.int64)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.full(len(t.ids), n)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(got, first))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    both = model.unionByName(rows).repartition(shards, _group(shards)).sortWithinPartitions("bucket", "kind")
+    both = model.unionByName(rows).repartition(shards, "grp").sortWithinPartitions("bucket").drop("grp")
     return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

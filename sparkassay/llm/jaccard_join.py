@@ -8,8 +8,9 @@ blocks, and a pair is discarded when the sum and what the rest of the smaller pr
 overlap that the two sizes ask for. What is left is decided by the two whole texts.
 
 Equal sets are one row of the matrix (their class). A column with more than ``WIDE`` rows emits no square: each row meets
-two others of the column, chosen by the column's hash, which joins a large group of near copies in a few steps. The rows
-of wide columns that then lie in different components are multiplied in full, so no link is lost.
+another of the column, at a distance given by the column's hash, which joins a large group of near copies in a few steps. Rows of
+wide columns that then lie outside a column's main component, and that share enough columns to link at all, are
+multiplied with all documents, a bounded block of them at a time, so no link is lost.
 
 Null and empty texts have no shingles and are their own component; so is a row without doc_id (component null). Rows that
 share a doc_id are one vertex. Texts are taken whole. Repeated rows are copies of each other.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -30,11 +31,13 @@ from .components import components
 
 SHINGLE, PERCENT = 5, 80
 #: Rows of a column up to which its whole square is emitted.
-WIDE = 64
-#: Entries of the table of repeated shingles that is sent to every task (16 bytes each).
-HOT_ENTRIES = 1 << 19
+WIDE = 32
+#: Entries of the table of repeated shingles that is sent to every task (16 bytes each, so 32 MB at most).
+HOT_ENTRIES = 1 << 21
+#: Bytes of text of the documents that are multiplied with all rows at a time.
+QUERY_BYTES = 8 << 20
 #: Shingles of a task that are counted together, and postings that are packed together.
-BLOCK = 1 << 21
+BLOCK, PACKED = 1 << 21, 1 << 19
 _A = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -128,13 +131,13 @@ def _hot_table(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Repeated shingles and their counts, as many of the most frequent as the table may hold. It only orders columns, so results don't depend on it."""
     counts = shared.materialize(scan.where("hot").groupBy("k1").agg(F.sum("n").alias("n")), "shingle-counts")
     powers = dict(counts.groupBy(F.floor(F.log2("n")).alias("p")).count().collect())
-    total, least = 0, 64
+    total, least = 0, 62
     for p in sorted(powers, reverse=True):
         total += powers[p]
         if total > HOT_ENTRIES:
             break
-        least = p
-    table = counts.where(F.col("n") >= (1 << int(least))).toArrow()
+        least = int(p)
+    table = counts.where(F.col("n") >= (1 << least)).toArrow()
     h, n = table["k1"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -183,7 +186,7 @@ def _postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards: int,
                 take = new[row] & (place < p[row])
                 held.append((flat[take], ids[at:to][row[take]], n[row[take]]))
                 amount += int(take.sum())
-                if amount >= BLOCK:
+                if amount >= PACKED:
                     yield packed()
                     held, amount = [], 0
                 if len(seen) > 1_000_000:
@@ -194,8 +197,8 @@ def _postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards: int,
     return shared.only(docs, key, text).mapInArrow(run, "shard int, blob binary")
 
 
-def multiply(h: np.ndarray, d: np.ndarray, n: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """One block: ([a, b, n of a, n of b, overlap (0: to be decided anyway)], [column, doc, n of wide columns])."""
+def multiply(h: np.ndarray, d: np.ndarray, n: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """One block: ([a, b, n of a, n of b, overlap (0: of a wide column)], [column, doc, n of wide columns], [doc, how many of its entries stand in columns it shares])."""
     order = np.lexsort((d, n, h))
     h, d, n = h[order], d[order], n[order]
     same = np.concatenate([[False], (h[1:] == h[:-1]) & (d[1:] == d[:-1])])  # a doc_id that came twice
@@ -224,18 +227,20 @@ def multiply(h: np.ndarray, d: np.ndarray, n: np.ndarray, percent: int) -> tuple
     if len(column):
         start, many = np.repeat(head, count)[wide], np.repeat(count, count)[wide]
         mine = np.flatnonzero(wide) - start
-        for salt in (1, 2):
-            step = 1 + (shared.mix(column + np.uint64(salt)) % (many - 1).astype(np.uint64)).astype(np.int64)
-            other = start + (mine + step) % many
-            fit = (100 * np.minimum(size, n[other]) >= percent * np.maximum(size, n[other])) & (doc != d[other])
-            x, y, nx, ny = doc[fit], d[other][fit], size[fit], n[other][fit]
-            new = [np.minimum(x, y), np.maximum(x, y), np.where(x < y, nx, ny), np.where(x < y, ny, nx), np.zeros(len(x), np.int64)]
-            pairs = [np.concatenate(z) for z in zip(pairs, new)]
-    return pairs, [column.view(np.int64), doc, size]
+        step = 1 + (shared.mix(column) % (many - 1).astype(np.uint64)).astype(np.int64)
+        other = start + (mine + step) % many
+        fit = (100 * np.minimum(size, n[other]) >= percent * np.maximum(size, n[other])) & (doc != d[other])
+        x, y, nx, ny = doc[fit], d[other][fit], size[fit], n[other][fit]
+        new = [np.minimum(x, y), np.maximum(x, y), np.where(x < y, nx, ny), np.where(x < y, ny, nx), np.zeros(len(x), np.int64)]
+        pairs = [np.concatenate(z) for z in zip(pairs, new)]
+    return pairs, [column.view(np.int64), doc, size], list(np.unique(d[np.repeat(count > 1, count)], return_counts=True))
+
+
+PAIR, WIDE_ENTRY, SUPPORT = 0, 1, 2
 
 
 def _products(posted: DataFrame, shards: int, percent: int) -> DataFrame:
-    """(wide, a, b, na, nb, overlap): pairs with partial overlaps; for entries of wide columns a is the column, b the document and na its size."""
+    """(kind, a, b, na, nb, overlap): pairs with partial overlaps; entries of wide columns (a: column, b: document, na: its size); shared entries of documents (a: document, na: how many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -244,21 +249,50 @@ def _products(posted: DataFrame, shards: int, percent: int) -> DataFrame:
                 held.setdefault(s, []).append(unpack(blob.as_buffer().to_pybytes()))
         for s in sorted(held):
             h, d, n = (np.concatenate(x) for x in zip(*held.pop(s)))
-            pairs, wide = multiply(h.view(np.uint64), d, n, percent)
-            zero = np.zeros(len(wide[0]), np.int64)
-            columns = [np.concatenate([p, w]) for p, w in zip(pairs, [*wide, zero, zero])]
-            kind = np.concatenate([np.zeros(len(pairs[0]), bool), np.ones(len(zero), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], ["wide", "a", "b", "na", "nb", "overlap"])
+            pairs, wide, support = multiply(h.view(np.uint64), d, n, percent)
+            zero, none = np.zeros(len(wide[0]), np.int64), np.zeros(len(support[0]), np.int64)
+            columns = [np.concatenate(x) for x in zip(pairs, [*wide, zero, zero], [support[0], none, support[1], none, none])]
+            kind = np.repeat(np.array([PAIR, WIDE_ENTRY, SUPPORT], np.int32), [len(pairs[0]), len(zero), len(none)])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], ["kind", "a", "b", "na", "nb", "overlap"])
+
+    return posted.repartition(shards, "shard").mapInArrow(run, "kind int, a long, b long, na long, nb long, overlap long")
+
+
+def _wanted(na: Column, nb: Column, percent: int) -> Column:
+    """The least number of common columns within both prefixes: what the sizes ask for, less all that can lie beyond a prefix."""
+    need = F.ceil(percent * (na + nb) / (100 + percent))
+    return need - F.greatest(*[F.ceil(F.lit(percent) * n / 100) - 1 for n in (na, nb)])
+
+
+def _support(products: DataFrame) -> DataFrame:
+    """(doc, support): entries of each document in columns it shares; no pair can have more in common."""
+    return products.where(F.col("kind") == SUPPORT).groupBy(F.col("a").alias("doc")).agg(F.sum("na").alias("support"))
+
+
+def _bounded(products: DataFrame, support: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose summed overlap, or for pairs of wide columns the smaller support, may still reach what their sizes ask for."""
+    both = products.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("overlap").alias("overlap"), F.min("overlap").alias("least"))
+    wanted = _wanted(F.col("na"), F.col("nb"), percent)
+    narrow = both.where((F.col("least") > 0) & (F.col("overlap") >= wanted)).select("a", "b")
+    hubs = both.where("least = 0").join(support.toDF("a", "sa"), "a").join(support.toDF("b", "sb"), "b")
+    return narrow.unionByName(hubs.where(F.least("sa", "sb") >= wanted).select("a", "b"))
+
 
-    return posted.repartition(shards, "shard").mapInArrow(run, "wide boolean, a long, b long, na long, nb long, overlap long")
+def _apart(products: DataFrame, support: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(column, doc, n, label, support): entries of wide columns that hold several components, without documents whose support is too small for every size of the column."""
+    wide = products.where(F.col("kind") == WIDE_ENTRY).select(F.col("a").alias("column"), F.col("b").alias("doc"), F.col("na").alias("n"))
+    labelled = wide.join(roots, wide.doc == roots.node, "left").select("column", "doc", "n", F.coalesce("root", "doc").alias("label")).join(support, "doc")
 
+    def mixed(rows: DataFrame) -> DataFrame:
+        ends = rows.groupBy("column").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("low"), F.max("n").alias("high")).where("x <> y")
+        return rows.join(ends.drop("x", "y"), "column")
 
-def _bounded(products: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose summed overlap may still reach what their sizes ask for."""
-    both = products.where("NOT wide").groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("overlap").alias("overlap"), F.min("overlap").alias("least"))
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    rest = F.greatest(*[F.ceil(F.lit(percent) * F.col(c) / 100) - 1 for c in ("na", "nb")])
-    return both.where((F.col("least") == 0) | (F.col("overlap") >= need - rest)).select("a", "b")
+    rows = mixed(labelled)
+    # what is asked for is least at the smallest or the largest size that fits
+    low = F.greatest("low", F.ceil(F.col("n") * percent / 100))
+    high = F.least("high", F.floor(F.col("n") * 100 / percent))
+    rows = rows.where(F.col("support") >= F.least(_wanted(F.col("n"), low, percent), _wanted(F.col("n"), high, percent))).drop("low", "high")
+    return mixed(rows).drop("low", "high").select("column", "doc", "n", "label", "support")
 
 
 def decide(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
@@ -285,6 +319,53 @@ def decide(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _against_all(docs: DataFrame, chosen: DataFrame, size: int, percent: int, text: str, key: str) -> Iterator[DataFrame]:
+    """For blocks of the ``chosen`` documents (``doc``), the links of a block with all rows: the block's incidence matrix, transposed, goes to every task and is multiplied with the rows there. Only links leave a task."""
+    queries = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(chosen, "doc", "left_semi")
+    total = queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = max(1, -(-total // QUERY_BYTES))
+    for k in range(blocks):
+        part = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("doc"), F.lit(blocks)) == k)).toArrow()
+        ids = part["doc"].to_numpy()
+        flat, cut = shingles(*(lambda t: (t.buf, t.offs))(shared.Texts(part["t"])), size)
+        n = np.diff(cut)
+        order = np.argsort(flat, kind="stable")
+        columns, first = np.unique(flat[order], return_index=True)
+        sent = docs.sparkSession.sparkContext.broadcast((columns, np.append(first, len(flat)), np.repeat(np.arange(len(ids)), n)[order].astype(np.int32), ids, n))
+        yield shared.only(docs, key, text).mapInArrow(_multiplier(sent, size, percent), "a long, b long")
+
+
+def _multiplier(sent, size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, first, query, ids, n_query = sent.value
+        near = np.zeros(1 << 20, bool)
+        near[(columns >> np.uint64(44)).astype(np.int64)] = True
+        for b in batches:
+            own = shared.row_ids(b.column(0))
+            present, own = own.is_valid().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy()
+            for at, to, buf, offs in shared.Texts(b.column(1)).slices():
+                flat, cut = shingles(buf, offs, size)
+                n = np.diff(cut)
+                row = np.repeat(np.arange(to - at), n)
+                maybe = np.flatnonzero(near[(flat >> np.uint64(44)).astype(np.int64)])
+                where = np.minimum(np.searchsorted(columns, flat[maybe]), len(columns) - 1)
+                hit = columns[where] == flat[maybe]
+                where, row = where[hit], row[maybe[hit]]
+                # a linked row has nearly all its columns in the block
+                ok = (np.bincount(row, minlength=to - at) >= np.maximum(1, least_common(n, percent))) & present[at:to]
+                where, row = where[ok[row]], row[ok[row]]
+                for r in np.unique(row):
+                    mine = where[row == r]
+                    count = first[mine + 1] - first[mine]
+                    spread = np.repeat(first[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    common = np.bincount(query[spread], minlength=len(ids))
+                    link = np.flatnonzero((common > 0) & (100 * common >= percent * (n_query + n[r] - common)))
+                    if len(link):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[link]), pa.array(np.full(len(link), own[at + r]))], ["a", "b"])
+
+    return run
+
+
 def _single(t: shared.Texts, i: int) -> tuple[np.ndarray, np.ndarray]:
     return t.buf[t.offs[i] : t.offs[i + 1]], np.array([0, t.offs[i + 1] - t.offs[i]])
 
@@ -295,7 +376,8 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str
     scan = shared.materialize(_scan(docs, size, text, key), "shingle-scan")
     rows = scan.where("NOT hot").select("doc_id", "n", "k1", "k2")
     products = shared.materialize(_products(_postings(docs, _hot_table(scan), shards, size, percent, text, key), shards, percent), "products")
-    pairs = shared.materialize(_bounded(products, percent), "pairs")
+    support = shared.materialize(_support(products), "support")
+    pairs = shared.materialize(_bounded(products, support, percent), "pairs")
     links = shared.materialize(decide(docs, pairs, size, percent, text, key), "links")
     # classes of equal sets: the smallest doc_id of each, counted in salted parts first, as one class may hold a third of all rows
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt")
@@ -305,15 +387,15 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str
     classes = some.select("doc_id", "k1", "k2", salt).join(parts.join(tops, ["k1", "k2"]), ["k1", "k2", "salt"]).select("doc_id", "top").where("doc_id <> top").distinct()
     copies = shared.materialize(classes.select(F.col("doc_id").alias("a"), F.col("top").alias("b")), "copies")
     roots = components(links.unionByName(copies))
-    wide = products.where("wide").select(F.col("a").alias("column"), F.col("b").alias("doc"), F.col("na").alias("n"))
-    labelled = wide.join(roots, wide.doc == roots.node, "left").select("column", "doc", "n", F.coalesce("root", "doc").alias("label"))
-    mixed = labelled.groupBy("column").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("column")
-    apart = shared.materialize(labelled.join(mixed, "column", "left_semi"), "wide-columns")
-    if apart.limit(1).count():
-        x, y = apart.toDF("column", "a", "na", "la"), apart.toDF("column", "b", "nb", "lb")
-        rest = x.join(y, "column").where(F.expr(f"la < lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b").distinct()
-        more = shared.materialize(decide(docs, shared.materialize(rest, "pairs"), size, percent, text, key), "links")
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    apart = _apart(products, support, roots, percent)
+    sizes = apart.groupBy("column", "label").agg(F.count("*").alias("c")).groupBy("column").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    rest = shared.materialize(apart.join(sizes, "column").where("label <> main").select("doc").distinct(), "rest")
+    if rest.limit(1).count():
+        more = [shared.materialize(x, "links") for x in _against_all(docs, rest, size, percent, text, key)]
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        for x in more:
+            edges = edges.unionByName(x)
+        roots = components(edges)
     return rows.join(roots, rows.doc_id == roots.node, "left").select(rows.doc_id, F.col("n").alias("n_shingles"), F.coalesce("root", rows.doc_id).alias("component_id"))
 
 

@@ -36,6 +36,8 @@ WIDE = 32
 HOT_ENTRIES = 1 << 21
 #: Bytes of text of the documents that are multiplied with all rows at a time.
 QUERY_BYTES = 8 << 20
+#: Ids (8 bytes each) up to which they are sent to every task.
+BROADCAST_IDS = 1_000_000
 #: Shingles of a task that are counted together, and postings that are packed together.
 BLOCK, PACKED = 1 << 21, 1 << 19
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -295,9 +297,14 @@ def _apart(products: DataFrame, support: DataFrame, roots: DataFrame, percent: i
     return mixed(rows).drop("low", "high").select("column", "doc", "n", "label", "support")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """With a broadcast hint while the ids are few, so that only the texts they name are shuffled; beyond, Spark joins both sides by id."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def decide(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
     """The pairs whose whole texts link. Only documents of some pair are read into the joins."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = _small(shared.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids"))
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__assay_text")).join(ids, "doc_id", "left_semi")
     one = texts.select(F.col("doc_id").alias("a"), F.col("__assay_text").alias("ta"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("__assay_text").alias("tb"))
@@ -321,7 +328,7 @@ def decide(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str
 
 def _against_all(docs: DataFrame, chosen: DataFrame, size: int, percent: int, text: str, key: str) -> Iterator[DataFrame]:
     """For blocks of the ``chosen`` documents (``doc``), the links of a block with all rows: the block's incidence matrix, transposed, goes to every task and is multiplied with the rows there. Only links leave a task."""
-    queries = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(chosen, "doc", "left_semi")
+    queries = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(_small(chosen), "doc", "left_semi")
     total = queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // QUERY_BYTES))
     for k in range(blocks):

@@ -192,26 +192,29 @@ def _terms_of(text: bytes) -> tuple[set[str], int]:
 
 def learn(texts: list[bytes], toxic: np.ndarray) -> Model | None:
     """Lexicon from the even rows, regression from the odd ones."""
-    seen, terms_of, keep = set(), [], []
+    seen, keep = set(), []
     for k, t in enumerate(texts):
-        terms, least = _terms_of(t)
+        least = _terms_of(t)[1]
         if (least, bool(toxic[k])) not in seen:
             seen.add((least, bool(toxic[k])))
             keep.append(k)
-            terms_of.append(terms)
     y = toxic[keep].astype(float)
     if not len(y) or not 0 < y.sum() < len(y):
         return None
     half = np.arange(len(y)) % 2 == 0
     if len(y) < 40:
         half[:] = True
-    counts = (Counter(), Counter())
-    for k in np.flatnonzero(half):
-        counts[int(y[k])].update(terms_of[k])
     good, bad = half.sum() - y[half].sum(), y[half].sum()
+    counts = (Counter(), Counter())
+    for k in np.flatnonzero(half & (y == 1)):
+        counts[1].update(_terms_of(texts[keep[k]])[0])
+    common = {t for t, a in counts[1].items() if a >= min(LEAST_DOCS, max(1, bad / 4))}
+    counts = (Counter(), Counter({t: counts[1][t] for t in common}))
+    for k in np.flatnonzero(half & (y == 0)):  # only terms that may enter the lexicon are counted, so the rest takes no memory
+        counts[0].update(_terms_of(texts[keep[k]])[0] & common)
     weight = {}
     for term, a in counts[1].items():
-        if a >= min(LEAST_DOCS, max(1, bad / 4)):
+        if a:
             w = float(np.log((a + 0.5) / (bad + 1)) - np.log((counts[0][term] + 0.5) / (good + 1)))
             if w >= LEAST_WEIGHT:
                 weight[term] = w

@@ -266,6 +266,17 @@ def _wanted(na: Column, nb: Column, percent: int) -> Column:
     return need - F.greatest(*[F.ceil(F.lit(percent) * n / 100) - 1 for n in (na, nb)])
 
 
+def _least_wanted(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """The least of ``_wanted(n, m)`` over all sizes m from ``low`` <= n to ``high`` >= n.
+
+    Up to n it grows with m. Beyond, it is less than 2 above, and never below, a line that falls by p^2 / (100 (100 + p)) a
+    size; so sizes from which the line still falls by 2 ask for more than ``high`` itself, and only those near it are tried.
+    """
+    steps = -(-200 * (100 + percent) // percent**2)
+    near = F.sequence(F.greatest(n, high - steps), high)
+    return F.least(_wanted(n, low, percent), F.array_min(F.transform(near, lambda m: _wanted(n, m, percent))))
+
+
 def _support(products: DataFrame) -> DataFrame:
     """(doc, support): entries of each document in columns it shares; no pair can have more in common."""
     return products.where(F.col("kind") == SUPPORT).groupBy(F.col("a").alias("doc")).agg(F.sum("na").alias("support"))
@@ -290,10 +301,9 @@ def _apart(products: DataFrame, support: DataFrame, roots: DataFrame, percent: i
         return rows.join(ends.drop("x", "y"), "column")
 
     rows = mixed(labelled)
-    # what is asked for is least at the smallest or the largest size that fits
     low = F.greatest("low", F.ceil(F.col("n") * percent / 100))
     high = F.least("high", F.floor(F.col("n") * 100 / percent))
-    rows = rows.where(F.col("support") >= F.least(_wanted(F.col("n"), low, percent), _wanted(F.col("n"), high, percent))).drop("low", "high")
+    rows = rows.where(F.col("support") >= _least_wanted(F.col("n"), low, high, percent)).drop("low", "high")
     return mixed(rows).drop("low", "high").select("column", "doc", "n", "label", "support")
 
 

@@ -132,6 +132,29 @@ def test_jaccard_join(spark, wide, monkeypatch):
     assert got == brute_components(table)
 
 
+def test_least_wanted_is_the_least(spark):
+    rows = [(n, low, high) for n in range(1, 70) for low in {-(-80 * n // 100), n} for high in range(n, n * 100 // 80 + 1)]
+    table = spark.createDataFrame(rows, "n long, low long, high long")
+    got = table.withColumn("least", jaccard_join._least_wanted(F.col("n"), F.col("low"), F.col("high"), 80)).collect()
+    wanted = lambda n, m: -(-80 * (n + m) // 180) - (-(-80 * max(n, m) // 100) - 1)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.least == min(wanted(r.n, m) for m in range(r.low, r.high + 1)), r
+
+
+def test_jaccard_join_keeps_rows_of_small_support(spark):
+    """A passage of 20 shingles in 40 texts of 25, three near copies of 24 and one text of 21, which links to those of 24 by one prefix column."""
+    table = []
+    for g in range(4):
+        passage, tail = [f"p{g}x{i}" for i in range(24)], [f"t{g}x{i}" for i in range(3)]
+        rows = [passage + [f"u{g}x{k}x{i}" for i in range(5)] for k in range(40)]
+        rows += [passage + tail + [f"v{g}x{k}"] for k in range(3)] + [[*passage, f"w{g}"]]
+        table += [(100 * g + k, " ".join(r)) for k, r in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(table, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == brute_components(table)
+    assert all(got[100 * g + 43] == (21, 100 * g + 40) for g in range(4))
+
+
 def test_language_model(spark):
     docs = shared.documents(spark, SF)
     got = {r.doc_id: r for r in lm_score.query(spark, SF).collect()}

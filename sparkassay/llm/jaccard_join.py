@@ -172,7 +172,10 @@ def _postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards: int,
             for at, to, buf, offs in shared.Texts(b.column(1)).slices():
                 flat, cut = shingles(buf, offs, size)
                 n = np.diff(cut)
-                new = _first_seen(seen, *set_keys(flat, cut)) & present[at:to] & (n > 0)
+                fit = present[at:to] & (n > 0)  # a row without an id is not posted, so it never stands for its class
+                k1, k2 = set_keys(flat, cut)
+                new = np.zeros(len(n), bool)
+                new[fit] = _first_seen(seen, k1[fit], k2[fit])
                 p = prefix_length(n, percent)
                 row = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(flat)) - cut[:-1][row]

@@ -155,6 +155,16 @@ def test_jaccard_join_keeps_rows_of_small_support(spark):
     assert all(got[100 * g + 43] == (21, 100 * g + 40) for g in range(4))
 
 
+def test_jaccard_join_posts_a_set_after_a_row_without_id(spark):
+    table = []
+    for g in range(0, 80, 2):
+        base = [f"w{g}x{i}" for i in range(60)]
+        table += [(None, base), (g, base), (g + 1, [*base[:-1], "other"])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in table], "doc_id long, text string").coalesce(1)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect())
+    assert got == Counter([(None, 56, None)] * 40 + [(k, 56, k - k % 2) for k in range(80)])
+
+
 def test_language_model(spark):
     docs = shared.documents(spark, SF)
     got = {r.doc_id: r for r in lm_score.query(spark, SF).collect()}

@@ -5,11 +5,12 @@ task, up to a bounded size of text) words outside the phrases' vocabulary can't
 vocabulary words at least as long as the shortest phrase go into the shard's FM-index, with separators between them.
 All phrases are searched backwards at once, occurrences are located by sampled suffix positions, and their spans merged.
 
-No row leaves its task. The phrases are sent along with the tasks: a block of items holds at most BLOCK_BYTES of text,
-and a larger benchmark is gone through in several blocks whose spans are merged by document.
+No row leaves its task. The phrases are sent to the tasks: a block of items holds about BLOCK_BYTES of text, and with a
+larger benchmark a task searches each shard for the blocks one after another and merges their spans row by row. A task
+holds the phrases of all blocks.
 
-Null and empty texts have no words. Items without an id or without words take no part. Repeated rows are judged alike;
-with several blocks, rows that share doc_id and word count must be equal. Texts are searched whole.
+Null and empty texts have no words. Items without an id or without words take no part. Each row is judged by itself,
+whatever its id, and stays one row. Texts are searched whole.
 """
 
 from __future__ import annotations
@@ -130,17 +131,36 @@ def _lists(row: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offs), values.take(pa.array(order)))
 
 
-def _search(phrases: Phrases, batches: Iterator[pa.RecordBatch], names: list[str], text_at: int, add) -> Iterator[pa.RecordBatch]:
-    """Hands each shard's rows, with their results, to ``add``."""
+def _merged(hits: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hits of several blocks in the same rows as those of one; spans that overlap or touch become one."""
+    if len(hits) == 1:
+        return hits[0]
+    row, first, past, item_row, item = (np.concatenate([h[k] for h in hits]) for k in range(1, 6))
+    if not len(row):
+        return hits[0]
+    width = past.max() + 1  # rows don't touch
+    order = np.lexsort((first, row))
+    row, first = row[order], first[order]
+    lo, hi = row * width + first, np.maximum.accumulate(row * width + past[order])
+    head = np.concatenate([[True], lo[1:] > hi[:-1]])
+    tail = np.append(head[1:], True)
+    found = np.unique(np.stack([item_row, item]), axis=1)
+    return hits[0][0], row[head], first[head], (hi - row * width)[tail], found[0], found[1]
+
+
+def _search(sent: list, window: int, batches: Iterator[pa.RecordBatch], text_at: int, add) -> Iterator[pa.RecordBatch]:
+    """Hands each shard's rows, with their results over all blocks ``sent``, to ``add``."""
+    blocks = [Phrases(s.value, window) for s in sent]
     for b in batches:
         texts = shared.Texts(b.column(text_at))
-        shard, begun, size = Shard(phrases), 0, 0
+        found, begun, size = [Shard(p) for p in blocks], 0, 0
         for at, to, buf, offs in texts.slices():
-            shard.add(buf, offs)
+            for shard in found:
+                shard.add(buf, offs)
             size += len(buf)
             if size >= SHARD_BYTES or to == len(texts):
-                yield add(b.slice(begun, to - begun), texts, begun, shard.hits())
-                shard, begun, size = Shard(phrases), to, 0
+                yield add(b.slice(begun, to - begun), _merged([shard.hits() for shard in found]))
+                found, begun, size = [Shard(p) for p in blocks], to, 0
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int, text: str, key: str):
@@ -149,56 +169,38 @@ def _blocks(benchmark: DataFrame, block_bytes: int, text: str, key: str):
     n = max(1, -(-size // block_bytes))
     for k in range(n):  # by hash, so a block is about block_bytes
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r.item_id, r.text.encode()) for r in block.collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in block.collect()])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, n_words, spans, item_ids) of every row: merged spans of hit words as word numbers [first, past), and the items whose windows occur, sorted."""
 
-    def one(items: list[tuple[int, bytes]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(items, window)
+    sent = list(_blocks(benchmark, block_bytes, item_text, item_key))
 
-            def add(rows: pa.RecordBatch, texts, begun, got) -> pa.RecordBatch:
-                n_words, row, first, past, item_row, item = got
-                spans = pa.StructArray.from_arrays([pa.array(first), pa.array(past)], ["first", "past"])
-                return pa.RecordBatch.from_arrays([shared.row_ids(rows.column(0)), pa.array(n_words.astype(np.int64)), _lists(row, len(n_words), spans), _lists(item_row, len(n_words), pa.array(item))], [key, "n_words", "spans", "item_ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(rows: pa.RecordBatch, got) -> pa.RecordBatch:
+            n_words, row, first, past, item_row, item = got
+            spans = pa.StructArray.from_arrays([pa.array(first), pa.array(past)], ["first", "past"])
+            return pa.RecordBatch.from_arrays([shared.row_ids(rows.column(0)), pa.array(n_words.astype(np.int64)), _lists(row, len(n_words), spans), _lists(item_row, len(n_words), pa.array(item))], [key, "n_words", "spans", "item_ids"])
 
-            yield from _search(phrases, batches, [key], 1, add)
+        yield from _search(sent, window, batches, 1, add)
 
-        return shared.only(docs, key, text).mapInArrow(run, f"{key} long, {SCHEMA}")
+    return shared.only(docs, key, text).mapInArrow(run, f"{key} long, {SCHEMA}")
 
-    parts = [one(items) for items in _blocks(benchmark, block_bytes, item_text, item_key)]
-    if len(parts) == 1:
-        return parts[0]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    merged = """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<first: bigint, past: bigint>>), (a, x) ->
-        case when size(a) > 0 and element_at(a, -1).past >= x.first
-        then concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'past', greatest(element_at(a, -1).past, x.past))))
-        else concat(a, array(x)) end)"""
-    return union.groupBy(key, "n_words").agg(F.expr(merged).alias("spans"), F.expr("array_sort(flatten(collect_list(item_ids)))").alias("item_ids"))
 
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_hit_words: int = 0, text: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_hit_words: int = 0, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns as they are, with at most ``max_hit_words`` words inside test phrases."""
-    names = docs.columns
-    text_at = names.index(text)
-    out = docs
-    for items in _blocks(benchmark, BLOCK_BYTES, "text", "item_id"):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(items, window)
+    text_at = docs.columns.index(text)
+    sent = list(_blocks(benchmark, block_bytes, "text", "item_id"))
 
-            def add(rows: pa.RecordBatch, texts, begun, got) -> pa.RecordBatch:
-                n_words, row, first, past, _, _ = got
-                return rows.filter(pa.array(shared.by_row(past - first, row, len(n_words)) <= max_hit_words))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(rows: pa.RecordBatch, got) -> pa.RecordBatch:
+            n_words, row, first, past, _, _ = got
+            return rows.filter(pa.array(shared.by_row(past - first, row, len(n_words)) <= max_hit_words))
 
-            yield from _search(phrases, batches, names, text_at, add)
+        yield from _search(sent, window, batches, text_at, add)
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

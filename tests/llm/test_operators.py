@@ -196,6 +196,19 @@ def test_blocks_of_items_agree(spark):
     assert hit > 0 and decontaminate.keep_clean(docs, bench).count() == docs.count() - hit
 
 
+def test_blocks_of_items_keep_each_row(spark):
+    words = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(words[k : k + 12])) for k in range(0, 48, 4)]
+    texts = [" ".join(words), " ".join(words[:30] + words[::-1][:30]), " ".join(words), " ".join(["x"] * 60)]
+    table = [(1, texts[0]), (1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[3]), (2, texts[1]), (2, texts[3]), (3, None), (3, "")]
+    docs, bench = spark.createDataFrame(table, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (Counter((r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(r.item_ids)) for r in decontaminate.find(docs, bench, block_bytes=size).collect()) for size in (1 << 20, 100))
+    assert one == many and sum(many.values()) == len(table)
+    assert one[1, 60, ((0, 56),), tuple(range(0, 48, 4))] == 2
+    clean = decontaminate.keep_clean(docs, bench, max_hit_words=40, block_bytes=100)
+    assert Counter(r.doc_id for r in clean.collect()) == Counter([None, None, 2, 2, 3, 3])
+
+
 def test_shards(spark):
     docs = shared.documents(spark, SF)
     store = shards.ShardStore(spark, shared.scratch_path(spark, "store"), target_bytes=100_000)

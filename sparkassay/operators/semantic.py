@@ -51,10 +51,10 @@ def pattern(fmt: str) -> str:
     return f"^{out}$"
 
 
-def natural_language(df: DataFrame, column: str, least_words: int = 3, shortest: float = 2.5, longest: float = 8.0) -> DataFrame:
-    """(slice, considered, matched, is_natural_language): values cropped to 100 characters count if they have enough words of a usual mean length."""
-    crop = F.substring(F.col(column), 1, 100)
-    words = F.filter(F.split(crop, r"\s+"), lambda w: w != "")
+def natural_language(df: DataFrame, column: str, least_words: int = 3, shortest: float = 2.5, longest: float = 8.0, crop: int | None = 100) -> DataFrame:
+    """(slice, considered, matched, is_natural_language): values cropped to ``crop`` characters (None: whole) count if they have enough words of a usual mean length."""
+    text = F.col(column) if crop is None else F.substring(F.col(column), 1, crop)
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     size = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.size(words)
     fits = (F.size(words) >= least_words) & (size >= shortest) & (size <= longest)
     got = df.groupBy(SLICE).agg(F.count(column).alias("considered"), F.count_if(fits).alias("matched"), F.count_if(~F.is_valid_utf8(column)).alias("bad"))

@@ -84,11 +84,7 @@ def duplicate_lines(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     last = np.searchsorted(feeds, head)
     start = np.maximum(np.where(last > 0, feeds[np.maximum(last - 1, 0)] + 1, 0) if len(feeds) else 0, offs[row])
     end = np.minimum(np.where(last < len(feeds), feeds[np.minimum(last, len(feeds) - 1)], len(buf)) if len(feeds) else len(buf), offs[row + 1])
-    size = end - start
-    cut = np.cumsum(size) - size
-    inside = np.arange(size.sum()) - np.repeat(cut, size)
-    h = np.add.reduceat((buf[np.repeat(start, size) + inside].astype(np.uint64) + np.uint64(1)) * shared.powers(int(size.max()))[inside], cut)
-    h = shared.mix(h + size.astype(np.uint64))
+    h = shared.span_hash(buf, start, end - start)
     order = np.lexsort((h, row))
     again = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
     return np.bincount(row[order][1:][again], minlength=n_rows)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a numpy kernel takes at a time; it bounds a worker's memory whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 20
@@ -45,6 +46,18 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *more: tuple[str, T.DataType]) -> DataFrame:
+    """``docs`` mapped by ``run``, which keeps its columns in place and may add ``more``. Columns go by place, so any names do, also dotted or repeated ones."""
+    fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)] + [T.StructField(*x) for x in more]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, [f.name for f in fields])
+
+    plain = docs.toDF(*[f.name for f in fields[: len(docs.columns)]])
+    return plain.mapInArrow(named, T.StructType(fields)).toDF(*docs.columns, *[name for name, _ in more])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -104,14 +117,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers = np.cumprod(np.full(4096, _P, np.uint64))
+_CHUNK_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if n > len(_powers):
-        _powers = np.cumprod(np.full(2 * n, _P, np.uint64))
-    return _powers
+def span_hash(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes. Runs of eight bytes are each mixed with their place before they are summed, so unlike a polynomial's, no pattern of bytes cancels out."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    with np.errstate(over="ignore"):
+        salt = mix(np.array([seed], np.uint64) + _P)[0]
+        count = np.maximum(1, -(-sizes // 8))
+        if int(count.max()) == 1:
+            return mix(mix((eight[starts] & _CHUNK_MASK[sizes]) ^ mix(salt + np.zeros(1, np.uint64))) + sizes.astype(np.uint64) * _P)
+        cut = np.cumsum(count) - count
+        inside = np.arange(int(count.sum())) - np.repeat(cut, count)
+        value = eight[np.repeat(starts, count) + 8 * inside] & _CHUNK_MASK[np.minimum(8, np.repeat(sizes, count) - 8 * inside)]
+        return mix(np.add.reduceat(mix(value ^ mix(salt + inside.astype(np.uint64))), cut) + sizes.astype(np.uint64) * _P)
 
 
 class Words:
@@ -135,13 +158,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offs)
         self.hash = np.zeros(0, np.uint64)
         if hashed and len(self.starts):
-            size = self.ends - self.starts
-            at = np.flatnonzero(mask)
-            word_at = np.concatenate([[0], np.cumsum(size)[:-1]])
-            inside = np.arange(len(at)) - np.repeat(word_at, size)
-            b = (_LOWER[buf[at]] if lower else buf[at]).astype(np.uint64) + np.uint64(1)
-            b *= powers(int(size.max()))[inside]
-            self.hash = mix(np.add.reduceat(b, word_at) + size.astype(np.uint64))
+            self.hash = span_hash(_LOWER[buf] if lower else buf, self.starts, self.ends - self.starts)
 
     def __len__(self) -> int:
         return len(self.starts)

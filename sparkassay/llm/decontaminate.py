@@ -200,7 +200,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
 
         yield from _search(sent, window, batches, text_at, add)
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.map_rows(docs, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

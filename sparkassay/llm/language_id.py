@@ -139,16 +139,14 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Network | None:
     """A network trained on the rows that aren't held out; None if no row has text and a language."""
     rows = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return None
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    # a hash of the id chooses each language's share, so what is collected is bounded by languages x documents x windows
+    # a hash of id and text chooses each language's share and repeated rows count once, so what is collected is bounded by languages x documents x windows
     share = F.lit(0)
     for name, n in counts.items():
         share = F.when(F.col("lang") == name, F.lit(min(1 << 20, -(-(sample_docs << 20) // n)))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < share)
+    chosen = rows.where(F.pmod(F.xxhash64("k", "text"), F.lit(1 << 20)) < share)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,7 +159,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text", lan
                 take = np.flatnonzero((place % every == 0) & ((held > 40) | (own[row] == 1)))
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(at + row[take])), b.column(1).cast(pa.string()).take(pa.array(at + row[take])), pa.array([w.tobytes() for w in x[take]], pa.binary())], ["k", "lang", "w"])
 
-    got = sorted((r.k if r.k is not None else -1, r.lang, bytes(r.w)) for r in chosen.mapInArrow(cut, "k long, lang string, w binary").collect())
+    got = sorted((r.k if r.k is not None else -1, r.lang, bytes(r.w)) for r in chosen.mapInArrow(cut, "k long, lang string, w binary").distinct().collect())
     if not got:
         return None
     langs = sorted({r[1] for r in got})
@@ -201,7 +199,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", key: str =
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is known with at least that score."""
+    """The rows of ``docs``, all columns as they are, whose language is known with at least that score. Without a network (no row has a language) the rows that hold a letter stay."""
     at_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +207,10 @@ def keep_known(docs: DataFrame, net: Network | None, least: float = 0.5, text: s
             keep = [np.zeros(0, bool)]
             for _, _, buf, offs in shared.Texts(b.column(at_text)).slices():
                 names, score = judge(net, buf, offs)
-                keep.append((np.array(names) != "und") & (score >= least))
+                keep.append(has_letter(buf, offs) if net is None else (np.array(names) != "und") & (score >= least))
             yield b.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.map_rows(docs, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,18 @@
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of at least ``min_chars``
 code points that ``min_docs`` documents hold lose their lines in all but the largest doc_id that holds them.
 
-Keys go as 128-bit hashes to shards by hash range. A shard's cuckoo filter tells new keys from possibly known ones: new
-keys are appended to the reference-count table without a look-up, the others are looked up in it exactly. Mappers
-count keys within each batch first, so a line found everywhere reaches its shard as one row a batch. The postings
-(key, doc_id) are written once; they are what a document's deletion takes its references from, so that
-:class:`LineStore` can insert and delete documents and always judge as if built anew.
+Keys go as 128-bit hashes to shards. A shard keeps a cuckoo filter and a sorted table of exact reference counts. The filter
+tells new keys from possibly known ones: new keys join the table without a look-up, the others are looked up exactly.
+Mappers count keys within each batch first, so a line found everywhere reaches its shard as one row a batch.
+:class:`LineStore` writes filters and tables between updates: an insertion adds to the counts of the shards, a deletion takes
+from them, and a key whose count reaches 0 leaves table and filter. Postings (key, doc_id) tell which keys a deleted
+document held, and which document is the largest when the largest goes. So the store always judges as if built anew.
 
-Verdicts go back to texts by broadcast while they are few (their size is checked), else by a join on doc_id.
+Verdicts go back to texts by broadcast while they are few (their size is checked), else by a join on doc_id and text hash.
 
 Null and empty texts are one empty line. A row is a document: repeated rows count once each, and rows that share the
 largest doc_id all keep their lines. A null doc_id counts as smaller than any other. Texts of any length are split whole.
+All columns of ``docs`` stay; :func:`dedup` replaces columns that are named n_lines or n_dropped, :func:`keep_first` doesn't.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
+from .blobs import pack, unpack
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Verdicts (24 bytes each) up to which they are sent to every task; beyond, texts and verdicts are joined.
 BROADCAST_VERDICTS = 1_000_000
 NULL_ID = -(1 << 63)
-_P2 = np.uint64(0xC2B2AE3D27D4EB4F)
-_powers2 = np.cumprod(np.full(4096, _P2, np.uint64))
 
 
 class Lines:
@@ -41,7 +43,6 @@ class Lines:
     __slots__ = ("end", "first", "k1", "k2", "long", "row", "start")
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, min_chars: int):
-        global _powers2
         feeds = np.flatnonzero(buf == 10)
         feed_row = np.searchsorted(offs, feeds, "right") - 1
         n_rows = len(offs) - 1
@@ -64,15 +65,9 @@ class Lines:
         self.k1, self.k2 = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
         at = np.flatnonzero(self.long)
         if len(at):
-            size = (to - fro)[at]
-            cut = np.concatenate([[0], np.cumsum(size)[:-1]])
-            inside = np.arange(size.sum()) - np.repeat(cut, size)
-            byte = shared.lowered(buf[np.repeat(fro[at], size) + inside]).astype(np.uint64) + np.uint64(1)
-            if size.max() > len(_powers2):
-                _powers2 = np.cumprod(np.full(2 * int(size.max()), _P2, np.uint64))
-            salt = size.astype(np.uint64)
-            self.k1[at] = shared.mix(np.add.reduceat(byte * shared.powers(int(size.max()))[inside], cut) + salt)
-            self.k2[at] = shared.mix(np.add.reduceat(byte * _powers2[inside], cut) ^ salt)
+            low = shared.lowered(buf)
+            self.k1[at] = shared.span_hash(low, fro[at], (to - fro)[at], 1)
+            self.k2[at] = shared.span_hash(low, fro[at], (to - fro)[at], 2)
 
     def postings(self) -> np.ndarray:
         """One index of a line for each distinct long key of each row."""
@@ -134,62 +129,110 @@ class CuckooFilter:
 
     def delete(self, keys: np.ndarray) -> None:
         """Takes away one fingerprint for each key; only keys that were inserted may be deleted."""
-        for fp, one, two in zip(*(x.tolist() for x in self._places(keys))):
-            for b in (one, two):
-                at = np.flatnonzero(self.table[b] == fp)
-                if len(at):
-                    self.table[b, at[0]] = 0
-                    break
-            else:
-                key = (min(one, two), fp)
+        fp, one, two = self._places(keys)
+        while len(fp):
+            at_one = self.table[one] == fp[:, None]
+            bucket = np.where(at_one.any(1), one, two)
+            hit = self.table[bucket] == fp[:, None]
+            there = hit.any(1)
+            place = bucket * 4 + hit.argmax(1)
+            for b, o, f in zip(one[~there].tolist(), two[~there].tolist(), fp[~there].tolist()):
+                key = (min(b, o), f)
                 self.spilled[key] = self.spilled.get(key, 0) - 1
                 if self.spilled[key] <= 0:
                     self.spilled.pop(key)
+            fp, one, two, place = fp[there], one[there], two[there], place[there]
+            _, chosen = np.unique(place, return_index=True)  # keys of one place wait for the next round
+            self.table.reshape(-1)[place[chosen]] = 0
+            rest = np.ones(len(fp), bool)
+            rest[chosen] = False
+            fp, one, two = fp[rest], one[rest], two[rest]
+
+
+def _find(k1: np.ndarray, k2: np.ndarray, ask1: np.ndarray, ask2: np.ndarray) -> np.ndarray:
+    """Places of keys in a table sorted by (k1, k2); -1 where they aren't."""
+    out = np.full(len(ask1), -1)
+    todo, at = np.arange(len(ask1)), np.searchsorted(k1, ask1)
+    while len(todo):  # keys that share the first half stand side by side
+        ok = at < len(k1)
+        todo, at = todo[ok], at[ok]
+        ok = k1[at] == ask1[todo]
+        todo, at = todo[ok], at[ok]
+        hit = k2[at] == ask2[todo]
+        out[todo[hit]] = at[hit]
+        todo, at = todo[~hit], at[~hit] + 1
+    return out
 
 
 class Shard:
-    """One shard's cuckoo filter and exact table of key -> (references, largest document)."""
+    """One shard's cuckoo filter and exact table, sorted by key, of references and largest document."""
 
     def __init__(self, expected: int = 1 << 14):
         self.filter, self.room = CuckooFilter(expected), expected
-        self.at: dict[tuple[int, int], int] = {}
-        self.refs, self.largest = [], []
+        self.k1, self.k2, self.refs, self.largest = (np.zeros(0, np.int64) for _ in range(4))
+
+    def _put(self, k1: np.ndarray, k2: np.ndarray, refs: np.ndarray, largest: np.ndarray) -> None:
+        order = np.lexsort((k2, k1))
+        self.k1, self.k2, self.refs, self.largest = k1[order], k2[order], refs[order], largest[order]
 
     def insert(self, k1: np.ndarray, k2: np.ndarray, refs: np.ndarray, largest: np.ndarray) -> None:
-        if len(self.refs) + len(k1) > self.room:
-            while self.room < len(self.refs) + len(k1):
-                self.room *= 2
-            self.filter = CuckooFilter(self.room)
-            if self.at:
-                self.filter.insert(np.array([a for a, _ in self.at], np.int64).view(np.uint64))
-        order = np.lexsort((k2, k1))  # equal keys of a batch meet first
-        k1, k2, refs, largest = k1[order], k2[order], refs[order], largest[order]
         if not len(k1):
             return
+        order = np.lexsort((k2, k1))  # equal keys of a batch meet first
+        k1, k2, refs, largest = k1[order], k2[order], refs[order], largest[order]
         head = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
-        refs, largest = np.add.reduceat(refs, head), np.maximum.reduceat(largest, head)
-        k1, k2 = k1[head], k2[head]
-        known = self.filter.contains(k1.view(np.uint64))
-        new = []
-        for i, (key, n, d, seen) in enumerate(zip(zip(k1.tolist(), k2.tolist()), refs.tolist(), largest.tolist(), known.tolist())):
-            at = self.at.get(key) if seen else None  # the filter has no false negatives: unseen keys need no look-up
-            if at is None:
-                self.at[key] = len(self.refs)
-                self.refs.append(n)
-                self.largest.append(d)
-                new.append(i)
-            else:
-                self.refs[at] += n
-                self.largest[at] = max(self.largest[at], d)
+        k1, k2, refs, largest = k1[head], k2[head], np.add.reduceat(refs, head), np.maximum.reduceat(largest, head)
+        if len(self.k1) + len(k1) > self.room:
+            while self.room < len(self.k1) + len(k1):
+                self.room *= 2
+            self.filter = CuckooFilter(self.room)
+            self.filter.insert(self.k1.view(np.uint64))
+        maybe = np.flatnonzero(self.filter.contains(k1.view(np.uint64)))  # no false negatives: unseen keys need no look-up
+        at = _find(self.k1, self.k2, k1[maybe], k2[maybe])
+        known, at = maybe[at >= 0], at[at >= 0]
+        self.refs[at] += refs[known]
+        self.largest[at] = np.maximum(self.largest[at], largest[known])
+        new = np.ones(len(k1), bool)
+        new[known] = False
         self.filter.insert(k1[new].view(np.uint64))
+        self._put(*(np.concatenate(x) for x in ((self.k1, k1[new]), (self.k2, k2[new]), (self.refs, refs[new]), (self.largest, largest[new]))))
+
+    def delete(self, k1: np.ndarray, k2: np.ndarray, refs: np.ndarray, largest: np.ndarray) -> None:
+        """Takes ``refs`` (distinct keys) from the counts; ``largest`` is the largest document that still holds a key. Keys without references leave."""
+        at = _find(self.k1, self.k2, k1, k2)
+        k1, refs, largest, at = k1[at >= 0], refs[at >= 0], largest[at >= 0], at[at >= 0]
+        self.refs[at] -= refs
+        self.largest[at] = largest
+        stay = self.refs > 0
+        self.filter.delete(self.k1[~stay].view(np.uint64))
+        self.k1, self.k2, self.refs, self.largest = (x[stay] for x in self.table())
 
     def table(self) -> list[np.ndarray]:
-        keys = np.array(list(self.at), np.int64).reshape(-1, 2)
-        return [keys[:, 0], keys[:, 1], np.array(self.refs, np.int64), np.array(self.largest, np.int64)]
+        return [self.k1, self.k2, self.refs, self.largest]
+
+    def dump(self) -> tuple[bytes, bytes, bytes]:
+        """(table, filter, what found no place in it)."""
+        spilled = np.array([(b, f, n) for (b, f), n in self.filter.spilled.items()], np.int64).reshape(-1, 3).T
+        return pack(*self.table()), pack(self.filter.table.reshape(-1).view(np.int64)), pack(*map(np.ascontiguousarray, spilled))
+
+    @classmethod
+    def load(cls, table: bytes, places: bytes, spilled: bytes) -> Shard:
+        s = cls.__new__(cls)
+        s.k1, s.k2, s.refs, s.largest = unpack(table)
+        s.filter = CuckooFilter.__new__(CuckooFilter)
+        s.filter.table = unpack(places)[0].view(np.uint16).reshape(-1, 4).copy()
+        s.filter.bits = len(s.filter.table).bit_length() - 1
+        s.filter.spilled = {(b, f): n for b, f, n in zip(*(x.tolist() for x in unpack(spilled)))}
+        s.room = int(3.2 * len(s.filter.table) / 2)
+        return s
+
+
+COUNTS = "k1 long, k2 long, refs long, largest long"
+INSERT, DELETE = 0, 1
 
 
 def postings(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(k1, k2, doc_id): each long key of each row once; a null doc_id is NULL_ID."""
+    """(k1, k2, doc_id, t): each long key of each row once; a null doc_id is NULL_ID; ``t`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,13 +240,18 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", ke
             for at, to, buf, offs in shared.Texts(b.column(1)).slices():
                 lines = Lines(buf, offs, min_chars)
                 own = lines.postings()
-                yield pa.RecordBatch.from_arrays([pa.array(lines.k1[own].view(np.int64)), pa.array(lines.k2[own].view(np.int64)), pa.array(ids[at:to][lines.row[own]])], ["k1", "k2", "doc_id"])
+                row = lines.row[own]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lines.k1[own].view(np.int64), lines.k2[own].view(np.int64), ids[at:to][row], text_hash(buf, offs)[row])], ["k1", "k2", "doc_id", "t"])
 
-    return shared.only(docs, key, text).mapInArrow(run, "k1 long, k2 long, doc_id long")
+    return shared.only(docs, key, text).mapInArrow(run, "k1 long, k2 long, doc_id long, t long")
 
 
-def reference_counts(posted: DataFrame) -> DataFrame:
-    """(k1, k2, refs, largest) of postings: counted within batches, then in shards by key."""
+def text_hash(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    return shared.span_hash(buf, offs[:-1], np.diff(offs), 3).view(np.int64)
+
+
+def _counted(posted: DataFrame) -> DataFrame:
+    """(k1, k2, refs, largest) of postings, counted within batches."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,21 +263,38 @@ def reference_counts(posted: DataFrame) -> DataFrame:
             head = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
             yield pa.RecordBatch.from_arrays([pa.array(k1[head]), pa.array(k2[head]), pa.array(np.diff(np.append(head, len(k1)))), pa.array(np.maximum.reduceat(d, head))], ["k1", "k2", "refs", "largest"])
 
+    return posted.select("k1", "k2", "doc_id").mapInArrow(combine, COUNTS)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], held: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """The columns of some batches at a time, ever more of them, so that what they are merged into is copied few times."""
+    some, rows = [], 0
+    for b in batches:
+        some.append([c.to_numpy() for c in b.columns])
+        rows += b.num_rows
+        if rows >= held:
+            yield [np.concatenate(x) for x in zip(*some)]
+            some, rows, held = [], 0, min(2 * held, 1 << 20)
+    if some:
+        yield [np.concatenate(x) for x in zip(*some)]
+
+
+def reference_counts(posted: DataFrame) -> DataFrame:
+    """(k1, k2, refs, largest) of postings: counted within batches, then in shards by key."""
+
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shard()
-        for b in batches:
-            s.insert(*(c.to_numpy() for c in b.columns))
+        for columns in _gathered(batches):
+            s.insert(*columns)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in s.table()], ["k1", "k2", "refs", "largest"])
 
-    schema = "k1 long, k2 long, refs long, largest long"
-    n = shared.partitions(posted.sparkSession)
-    return posted.mapInArrow(combine, schema).repartition(n, "k1").mapInArrow(shard, schema)
+    return _counted(posted).repartition(shared.partitions(posted.sparkSession), "k1").mapInArrow(shard, COUNTS)
 
 
 def drop_lines(docs: DataFrame, posted: DataFrame, verdicts: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", broadcast: int = BROADCAST_VERDICTS) -> DataFrame:
-    """``docs`` with ``text`` rewritten where lines go, and with n_lines and n_dropped. Lines go whose key is in ``verdicts`` (k1, k2, largest) with another document as largest. A text that loses nothing stays as it is."""
-    names, schema = docs.columns, f"{docs._jdf.schema().toDDL()}, n_lines long, n_dropped long"
-    text_at, key_at = names.index(text), names.index(key)
+    """``docs`` with ``text`` rewritten where lines go, and with __assay_lines and __assay_dropped, their numbers. Lines go whose key is in ``verdicts`` (k1, k2, largest) with another document as largest. A text that loses nothing stays as it is."""
+    width, more = len(docs.columns), [("__assay_lines", T.LongType()), ("__assay_dropped", T.LongType())]
+    text_at, key_at = docs.columns.index(text), docs.columns.index(key)
 
     def rewrite(b: pa.RecordBatch, gone) -> pa.RecordBatch:
         texts = shared.Texts(b.column(text_at))
@@ -249,15 +314,15 @@ def drop_lines(docs: DataFrame, posted: DataFrame, verdicts: DataFrame, min_char
             mask = np.zeros(len(ids), bool)
             mask[list(changed)] = True
             column = pc.replace_with_mask(column.cast(pa.string()), pa.array(mask), pa.array([changed[r] for r in sorted(changed)], pa.string()))
-        flat = [column if k == text_at else b.column(k) for k in range(len(names))]
+        flat = [column if k == text_at else b.column(k) for k in range(width)]
         counts = [pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in (n_lines, n_dropped)]
-        return pa.RecordBatch.from_arrays([*flat, *counts], [*names, "n_lines", "n_dropped"])
+        return pa.RecordBatch.from_arrays([*flat, *counts], [str(k) for k in range(width + 2)])
 
     few = verdicts.limit(broadcast + 1).count()
     if few <= broadcast:
         table = verdicts.select("k1", "k2", "largest").toArrow()
         k1, k2, largest = (table[c].to_numpy() for c in ("k1", "k2", "largest"))
-        order = np.argsort(k1, kind="stable")
+        order = np.lexsort((k2, k1))
         sent = docs.sparkSession.sparkContext.broadcast((k1[order], k2[order], largest[order]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,75 +331,153 @@ def drop_lines(docs: DataFrame, posted: DataFrame, verdicts: DataFrame, min_char
             def gone(lines: Lines, ids: np.ndarray, at: int) -> np.ndarray:
                 out = np.zeros(len(lines.row), bool)
                 own = np.flatnonzero(lines.long)
-                mine1, mine2 = lines.k1[own].view(np.int64), lines.k2[own].view(np.int64)
-                fro = np.searchsorted(k1, mine1)
-                while len(own):  # keys that share the first half stand side by side
-                    ok = (fro < len(k1)) & (k1[np.minimum(fro, len(k1) - 1)] == mine1 if len(k1) else False)
-                    own, mine1, mine2, fro = own[ok], mine1[ok], mine2[ok], fro[ok]
-                    out[own] |= (k2[fro] == mine2) & (largest[fro] != ids[lines.row[own]])
-                    fro = fro + 1
+                found = _find(k1, k2, lines.k1[own].view(np.int64), lines.k2[own].view(np.int64))
+                own, found = own[found >= 0], found[found >= 0]
+                out[own] = largest[found] != ids[lines.row[own]]
                 return out
 
             for b in batches:
                 yield rewrite(b, gone)
 
-        return docs.mapInArrow(run, schema)
+        return shared.map_rows(docs, run, *more)
 
+    # rows of equal id and text lose the same lines, so a list is never longer than one text's lines
     losing = posted.join(verdicts.select("k1", "k2", "largest"), ["k1", "k2"]).where("doc_id != largest")
-    lists = losing.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("__assay_gone")).withColumnRenamed("doc_id", "__assay_id")
-    joined = docs.withColumn("__assay_key", F.coalesce(F.col(key), F.lit(NULL_ID))).join(lists, F.col("__assay_key") == F.col("__assay_id"), "left").select(*[docs[c] for c in names], "__assay_gone")
+    lists = losing.groupBy(F.col("doc_id").alias("__assay_id"), F.col("t").alias("__assay_t")).agg(F.sort_array(F.collect_set(F.struct("k1", "k2"))).alias("__assay_gone"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = shared.Texts(b.column(text_at))
+            own = [*b.columns, pa.array(text_hash(texts.buf, texts.offs)), shared.row_ids(b.column(key_at)).fill_null(NULL_ID)]
+            yield pa.RecordBatch.from_arrays(own, [str(k) for k in range(width + 2)])
+
+    keyed = shared.map_rows(docs, hashed, ("__assay_hash", T.LongType()), ("__assay_key", T.LongType())).toDF(*[f"c{k}" for k in range(width)], "__assay_hash", "__assay_key")
+    on = (F.col("__assay_key") == F.col("__assay_id")) & (F.col("__assay_hash") == F.col("__assay_t"))
+    joined = keyed.join(lists, on, "left").drop("__assay_hash", "__assay_key", "__assay_id", "__assay_t")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone_of = b.column(len(names))
-            offs = gone_of.offsets.to_numpy()
-            pairs = gone_of.values.flatten()
-            g1, g2 = (p.to_numpy(zero_copy_only=False).view(np.uint64) for p in pairs) if len(gone_of.values) else (np.zeros(0, np.uint64),) * 2
+            gone_of = b.column(width)
+            count = np.diff(gone_of.offsets.to_numpy())
+            g1, g2 = (p.to_numpy(zero_copy_only=False) for p in gone_of.flatten().flatten()) if count.sum() else (np.zeros(0, np.int64),) * 2
+            row = np.repeat(np.arange(len(count)), count)
 
-            def gone(lines: Lines, ids: np.ndarray, at: int, offs=offs, g1=g1, g2=g2) -> np.ndarray:
+            def gone(lines: Lines, ids: np.ndarray, at: int, g1=g1, g2=g2, row=row) -> np.ndarray:
+                # lines and keys that go, of equal row and key, stand side by side once sorted
+                own = np.flatnonzero(lines.long)
+                mine = slice(*np.searchsorted(row, [at, at + len(ids)]))
+                r = np.concatenate([row[mine] - at, lines.row[own]])
+                a, z = np.concatenate([g1[mine], lines.k1[own].view(np.int64)]), np.concatenate([g2[mine], lines.k2[own].view(np.int64)])
+                of_list = np.arange(len(r)) < mine.stop - mine.start
+                order = np.lexsort((~of_list, z, a, r))
+                r, a, z, of_list = r[order], a[order], z[order], of_list[order]
+                head = np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (z[1:] != z[:-1])]) if len(r) else np.zeros(0, bool)
+                drops = of_list[np.flatnonzero(head)][np.cumsum(head) - 1] & ~of_list if len(r) else of_list
                 out = np.zeros(len(lines.row), bool)
-                for r in np.flatnonzero(np.diff(offs[at : at + len(ids) + 1])):
-                    mine = set(zip(g1[offs[at + r] : offs[at + r + 1]].tolist(), g2[offs[at + r] : offs[at + r + 1]].tolist()))
-                    own = range(lines.first[r], lines.first[r + 1])
-                    out[own.start : own.stop] = [lines.long[i] and (int(lines.k1[i]), int(lines.k2[i])) in mine for i in own]
+                out[own[order[drops] - (mine.stop - mine.start)]] = True
                 return out
 
-            yield rewrite(pa.RecordBatch.from_arrays(b.columns[: len(names)], names), gone)
+            yield rewrite(b, gone)
 
-    return joined.mapInArrow(run_joined, schema)
+    fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)] + [T.StructField(*x) for x in more]
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run_joined(batches):
+            yield b.rename_columns([f.name for f in fields])
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, text: str = "text", key: str = "doc_id", broadcast: int = BROADCAST_VERDICTS) -> DataFrame:
-    """``docs`` without the repeated lines, all its columns, and n_lines and n_dropped."""
+    return joined.mapInArrow(named, T.StructType(fields)).toDF(*docs.columns, *[name for name, _ in more])
+
+
+def _judged(docs: DataFrame, min_chars: int, min_docs: int, text: str, key: str, broadcast: int) -> DataFrame:
     posted = shared.materialize(postings(docs, min_chars, text, key), "line-postings")
     verdicts = shared.materialize(reference_counts(posted).where(F.col("refs") >= min_docs), "line-verdicts")
     return drop_lines(docs, posted, verdicts, min_chars, text, key, broadcast)
 
 
+def _named(judged: DataFrame, columns: list[str]) -> DataFrame:
+    own = [F.col(f"`{c}`") for c in columns if c not in ("n_lines", "n_dropped")]
+    return judged.select(*own, F.col("__assay_lines").alias("n_lines"), F.col("__assay_dropped").alias("n_dropped"))
+
+
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, text: str = "text", key: str = "doc_id", broadcast: int = BROADCAST_VERDICTS) -> DataFrame:
+    """``docs`` without the repeated lines, its columns, and n_lines and n_dropped."""
+    return _named(_judged(docs, min_chars, min_docs, text, key, broadcast), docs.columns)
+
+
+def keep_first(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, text: str = "text", key: str = "doc_id", broadcast: int = BROADCAST_VERDICTS) -> DataFrame:
+    """``docs`` without the repeated lines, exactly its columns."""
+    return shared.only(_judged(docs, min_chars, min_docs, text, key, broadcast), *docs.columns)
+
+
 class LineStore:
-    """Incremental line deduplication: versions of the postings, to which documents are inserted and from which they are deleted.
+    """Incremental line deduplication: each shard's cuckoo filter and reference counts are kept between updates.
 
-    Reference counts always follow from the postings that are left, so a deletion takes back all an insertion did.
+    ``insert`` adds documents, ``delete`` takes back all that the documents of some ids added (a null id names the rows without
+    id). Both read the changed documents' postings and rewrite the shards; texts inserted before aren't read again.
     """
 
-    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
-        self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
-        self.posted = spark.createDataFrame([], "k1 long, k2 long, doc_id long")
+    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None):
+        self.spark, self.min_chars, self.min_docs, self.shards = spark, min_chars, min_docs, shards or shared.partitions(spark)
+        self.posted = spark.createDataFrame([], "k1 long, k2 long, doc_id long, t long")
+        self.state = spark.createDataFrame([], "shard int, counts binary, places binary, spilled binary")
+
+    def _update(self, changes: DataFrame, kind: int) -> None:
+        """Adds or takes ``changes`` (k1, k2, refs, largest) in the shards."""
+        none = lambda *names: [F.lit(None).cast(t).alias(x) for x, t in names]
+        shard = F.pmod(F.xxhash64("k1"), F.lit(self.shards)).cast("int").alias("shard")
+        rows = changes.select(shard, *none(("counts", "binary"), ("places", "binary"), ("spilled", "binary")), "k1", "k2", "refs", "largest")
+        kept = self.state.select("*", *none(("k1", "long"), ("k2", "long"), ("refs", "long"), ("largest", "long")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            state: dict[int, Shard] = {}
+            for b in batches:
+                table = pa.Table.from_batches([b])
+                whole = pc.is_valid(b.column(1))
+                for s, *parts in zip(*(c.to_pylist() for c in table.filter(whole).columns[:4])):
+                    state[s] = Shard.load(*parts)
+                delta = table.filter(pc.invert(whole))
+                number = delta["shard"].to_numpy()
+                columns = [delta[c].to_numpy() for c in ("k1", "k2", "refs", "largest")]
+                for s in np.unique(number).tolist():
+                    held.setdefault(s, []).append([c[number == s] for c in columns])
+            for s in sorted(set(held) | set(state)):
+                own = state.pop(s, None) or Shard()
+                if s in held:
+                    columns = [np.concatenate(x) for x in zip(*held.pop(s))]
+                    own.insert(*columns) if kind == INSERT else own.delete(*columns)
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in own.dump())], ["shard", "counts", "places", "spilled"])
+
+        both = kept.unionByName(rows).repartition(self.shards, "shard")
+        self.state = shared.materialize(both.mapInArrow(run, "shard int, counts binary, places binary, spilled binary"), "line-shards")
 
     def insert(self, docs: DataFrame) -> None:
-        self.posted = shared.materialize(self.posted.unionByName(postings(docs, self.min_chars)), "line-store")
+        new = shared.materialize(postings(docs, self.min_chars), "line-postings")
+        self._update(_counted(new), INSERT)
+        self.posted = self.posted.unionByName(new)
 
     def delete(self, doc_ids: DataFrame) -> None:
-        gone = shared.only(doc_ids, "doc_id").distinct()
-        self.posted = shared.materialize(self.posted.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "line-store")
+        gone = doc_ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")).distinct()
+        rest = shared.materialize(self.posted.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id", "t"), "line-postings")
+        taken = self.posted.join(gone, "doc_id", "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("refs"))
+        left = rest.groupBy("k1", "k2").agg(F.max("doc_id").alias("left"))
+        self._update(taken.join(left, ["k1", "k2"], "left").select("k1", "k2", "refs", F.coalesce("left", F.lit(NULL_ID)).alias("largest")), DELETE)
+        self.posted = rest
 
     def counts(self) -> DataFrame:
-        return reference_counts(self.posted)
+        """(k1, k2, refs, largest) of the keys that documents in the store hold."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for table in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(table)], ["k1", "k2", "refs", "largest"])
+
+        return self.state.select("counts").mapInArrow(run, COUNTS)
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` judged by the documents now in the store."""
+        """``docs``, and n_lines and n_dropped, judged by the documents now in the store, of which ``docs`` are some."""
         verdicts = shared.materialize(self.counts().where(F.col("refs") >= self.min_docs), "line-verdicts")
-        return drop_lines(docs, self.posted, verdicts, self.min_chars)
+        return _named(drop_lines(docs, postings(docs, self.min_chars), verdicts, self.min_chars), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +492,7 @@ lines AS (
 keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
 held AS (SELECT k, count(DISTINCT r) AS n, max(doc_id) AS top FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3),
-judged AS (SELECT r, keyed.doc_id, i, line, held.k IS NOT NULL AND keyed.doc_id <> top AS gone FROM keyed LEFT JOIN held USING (k))
+judged AS (SELECT r, keyed.doc_id, i, line, held.k IS NOT NULL AND keyed.doc_id IS DISTINCT FROM top AS gone FROM keyed LEFT JOIN held USING (k))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY r, doc_id

@@ -6,13 +6,16 @@ is met, so a word runs through one table and misspelled terms are caught without
 its window: other hits close by raise it, quotation marks around it count apart. A logistic regression over these figures,
 fitted on the other half of the sample, gives the score.
 
-The sample: about SAMPLE_DOCS rows of each label, of at most SAMPLE_BYTES of text, chosen by a hash of doc_id; of near copies one.
-All rows are scored over their whole text. Null, empty and word-less texts get the score of a text without hits. Without
-labelled rows of both kinds the score is 0. Labels, language, source and id are no input of a score.
+The sample: about SAMPLE_DOCS rows of each label, of at most SAMPLE_BYTES of text, chosen by a hash of doc_id; of near copies one,
+of rows that share a doc_id the smallest text. Terms of equal worth are ordered by their letters, so a fit repeats exactly.
+All rows are scored over their whole text, each by itself, repeated rows alike. Null, empty and word-less texts get the score
+of a text without hits. Without labelled rows of both kinds the score is 0. A doc_id with both labels counts as toxic. Labels,
+language, source and id are no input of a score, and further columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -186,7 +189,7 @@ def _terms_of(text: bytes) -> tuple[set[str], int]:
     low = shared.lowered(buf).tobytes()
     words = [low[a:b].decode(errors="ignore") for a, b in zip(start.tolist(), end.tolist()) if b > a]
     found = set(words)
-    least = min((hash(tuple(words[k : k + 5])) for k in range(max(1, len(words) - 4))), default=0)
+    least = min((zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))), default=0)
     return found | {x[:k] + "*" for x in found for k in STEMS if len(x) > k}, least
 
 
@@ -244,9 +247,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, text
     for value, n in counts.items():
         share = F.when(F.col("toxic") == value, F.lit(min(1 << 20, -(-(sample_docs << 20) // n)))).otherwise(share)
     chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < share).groupBy("k").agg(F.max("toxic").alias("toxic"))
-    # about 2 * sample_docs ids, so they may be sent to all tasks
+    # about 2 * sample_docs ids, so they may be sent to all tasks; of rows that share an id one text is taken, so no more texts come back
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= SAMPLE_BYTES))
-    got = sorted((r.k, r.t, r.toxic) for r in texts.join(F.broadcast(chosen), "k").collect())
+    got = sorted((r.k, r.t, r.toxic) for r in texts.join(F.broadcast(chosen), "k").groupBy("k", "toxic").agg(F.min("t").alias("t")).collect())
     model = learn([t.encode() for _, t, _ in got], np.array([x for _, _, x in got], int))
     if model is not None:  # the sample holds more of the rarer label than the table
         have = Counter(x for _, _, x in got)

@@ -1,19 +1,30 @@
 """Operator 3: n-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows are documents, columns their distinct shingles in one global order: shingles that repeat within some block of rows
-come last, by their count, the rest by hash. Two sets can only reach the threshold if they share a column among each
-one's first ``n - ceil(t n) + 1``, so only those entries of the matrix are multiplied. Columns are dealt to blocks by
-hash range; a block sorts its columns, multiplies, and emits each pair with its partial overlap. Overlaps are summed over
-blocks, and a pair is discarded when the sum and what the rest of the smaller prefix could add stay below the least
-overlap that the two sizes ask for. What is left is decided by the two whole texts.
-
-Equal sets are one row of the matrix (their class). A column with more than ``WIDE`` rows emits no square: each row meets
-another of the column, at a distance given by the column's hash, which joins a large group of near copies in a few steps. Rows of
-wide columns that then lie outside a column's main component, and that share enough columns to link at all, are
-multiplied with all documents, a bounded block of them at a time, so no link is lost.
+Rows are classes of documents with equal shingle sets, columns the shingles (by 48 bits of their hash; shingles that share
+them are one column, which can only add candidates). All columns have one global order: by their count over all rows, then
+by code. Two sets can only reach the threshold if they share a column among each one's first ``n - ceil(t n) + 1``, and only
+if at the first column they share each has as much left as the least overlap that the two sizes ask for. Only entries that
+can meet these bounds are multiplied.
+
+Counting. A task cuts its rows into blocks. A block sends its codes, packed, to shards by code range; a code that a block
+holds several times goes once, with its count, and its rows stay with the block. A shard sums the counts over blocks and
+answers each block with the codes that stand in more than one row. So a shingle that a third of all rows hold is one entry
+for each block.
+
+Products, in blocks of columns:
+
+1. Hubs. The row of a column with the fewest rarer shingles is its hub, and each row of the column meets the hub: as many
+   products as entries, whatever the width. Pairs that pass the bounds are decided by the two whole texts; links are
+   contracted to components.
+2. The rest. Columns that still hold several components are multiplied in full between different components, without rows
+   that no row of the column could reach by its size. Overlaps are summed over columns, and pairs are discarded whose sum and
+   what the rest could add stay below what the sizes ask for. Pairs left are decided by their texts, so no link is lost.
+
+Both products group and join by column with partial sums, and Spark's adaptive execution splits a column that stands out.
 
 Null and empty texts have no shingles and are their own component; so is a row without doc_id (component null). Rows that
-share a doc_id are one vertex. Texts are taken whole. Repeated rows are copies of each other.
+share a doc_id are one vertex, whatever texts they hold. Texts are taken whole. Repeated rows are copies of each other. Further
+columns are not read. ``docs`` should be a table or another scan that gives a task the same rows again if it is repeated.
 """
 
 from __future__ import annotations
@@ -22,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +42,12 @@ from .blobs import pack, shard_of, unpack
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Rows of a column up to which its whole square is emitted.
-WIDE = 32
-#: Entries of the table of repeated shingles that is sent to every task (16 bytes each, so 32 MB at most).
-HOT_ENTRIES = 1 << 21
-#: Bytes of text of the documents that are multiplied with all rows at a time.
-QUERY_BYTES = 8 << 20
 #: Ids (8 bytes each) up to which they are sent to every task.
 BROADCAST_IDS = 1_000_000
-#: Shingles of a task that are counted together, and postings that are packed together.
-BLOCK, PACKED = 1 << 21, 1 << 19
+#: Entries and rows that close a block.
+BLOCK, BLOCK_ROWS = 1 << 20, 1 << 17
+#: Bits of a shingle's hash that are dropped from its column's code.
+DROP = np.uint64(16)
 _A = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -75,239 +83,190 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np
 
 def set_keys(flat: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each row's set."""
-    one = np.concatenate([[0], np.cumsum(shared.mix(flat ^ _A), dtype=np.uint64)]).astype(np.uint64)
-    two = np.concatenate([[0], np.cumsum(shared.mix(flat + _A), dtype=np.uint64)]).astype(np.uint64)
+    none = np.zeros(1, np.uint64)
+    one = np.concatenate([none, np.cumsum(shared.mix(flat ^ _A), dtype=np.uint64)])
+    two = np.concatenate([none, np.cumsum(shared.mix(flat + _A), dtype=np.uint64)])
     return (one[to[1:]] - one[to[:-1]]).view(np.int64), (two[to[1:]] - two[to[:-1]]).view(np.int64)
 
 
-def least_common(n: np.ndarray, percent: int) -> np.ndarray:
-    """Elements that a set of ``n`` shares with any set it links to, at least."""
-    return -(-percent * n // 100)
-
-
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - least_common(n, percent) + 1, 0)
-
-
-def _scan(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    """Rows of two kinds: (false, doc_id, n, k1, k2) of each document; (true, null, count, shingle, null) of shingles met twice or more in a block."""
+    """Columns, from the rarest on, among which a set of ``n`` shares one with any set it links to."""
+    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+
+
+HOME, ASK, ANSWER = 0, 1, 2
+
+
+class Block:
+    """Rows of a task and the incidence of one row of each class among them."""
+
+    def __init__(self):
+        self.ids, self.present, self.n, self.k1, self.k2, self.flat = [], [], [], [], [], []
+        self.entries = self.rows = 0
+
+    def add(self, ids: np.ndarray, present: np.ndarray, flat: np.ndarray, cut: np.ndarray) -> None:
+        k1, k2 = set_keys(flat, cut)
+        for held, x in ((self.ids, ids), (self.present, present), (self.n, np.diff(cut)), (self.k1, k1), (self.k2, k2), (self.flat, flat >> DROP)):
+            held.append(x)
+        self.entries += len(flat)
+        self.rows += len(ids)
+
+    def full(self) -> bool:
+        return self.entries >= BLOCK or self.rows >= BLOCK_ROWS
+
+    def close(self, shards: int) -> tuple[bytes, bytes, list[tuple[int, bytes]]]:
+        """(rows, entries of codes held several times, [(shard, codes each with its row, or less than 0: how often it is held)])."""
+        ids, present, n, k1, k2, flat = (np.concatenate(x) for x in (self.ids, self.present, self.n, self.k1, self.k2, self.flat))
+        fit = np.flatnonzero(present & (n > 0))  # a row without an id is not posted, so it never stands for its class
+        order = fit[np.lexsort((k2[fit], k1[fit]))]
+        posted = np.zeros(len(n), bool)
+        if len(order):
+            posted[order[np.concatenate([[True], (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])])]] = True
+        code, row = flat[np.repeat(posted, n)], np.repeat(np.arange(len(n))[posted], n[posted])
+        order = np.argsort(code)
+        code, row = code[order], row[order]
+        head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        count = np.diff(np.append(head, len(code)))
+        many = np.repeat(count > 1, count)
+        ask, mark = code[head], np.where(count > 1, -count, row[head])
+        cuts = np.searchsorted(shard_of(ask << DROP, shards), np.arange(shards + 1))
+        asked = [(s, pack(ask[a:b], mark[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        return pack(ids, present, n, k1, k2), pack(code[many], row[many]), asked
+
+
+def place(rows: list[np.ndarray], own: list[np.ndarray], answers: list[list[np.ndarray]], percent: int) -> list[np.ndarray]:
+    """(column, row, position) of a block's entries within the prefixes, without those of columns that no other row holds."""
+    n = rows[2]
+    code, mark, count = (np.concatenate(x) for x in zip(*answers)) if answers else (np.zeros(0, np.int64),) * 3
+    alone = mark >= 0
+    shared_code, shared_count = code[~alone], count[~alone]
+    order = np.argsort(shared_code)
+    at = order[np.searchsorted(shared_code, own[0], sorter=order)]
+    code, row, count = np.concatenate([code[alone], own[0]]), np.concatenate([mark[alone], own[1]]), np.concatenate([count[alone], shared_count[at]])
+    order = np.lexsort((code, count, row))
+    code, row = code[order], row[order]
+    held = np.bincount(row, minlength=len(n))
+    # what no other row holds comes first, in any order
+    position = np.arange(len(row)) - (np.cumsum(held) - held)[row] + (n - held)[row]
+    keep = position < prefix_length(n, percent)[row]
+    return [code[keep], row[keep], position[keep]]
+
+
+def incidence(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Rows of two kinds: (false, doc_id, k1, k2, n) of each document; (true, doc_id, k1, null, n, column, pos) of each entry that is multiplied."""
+    shards = shared.partitions(docs.sparkSession)
+    binary = "kind int, shard int, block long, blob binary, more binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hot", "doc_id", "n", "k1", "k2"]
-        held, amount, seen = [], 0, set()
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
 
-        def hot() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            h, c = h[c > 1], c[c > 1]
-            none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), bool)), none, pa.array(c), pa.array(h.view(np.int64)), none], names)
+        def closed(block: Block) -> pa.RecordBatch:
+            rows, own, asked = block.close(shards)
+            kind = [HOME] + [ASK] * len(asked)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([number % shards, *(s for s, _ in asked)], pa.int32()), pa.array([number] * len(kind), pa.int64()), pa.array([rows, *(x for _, x in asked)], pa.binary()), pa.array([own] + [None] * len(asked), pa.binary())], ["kind", "shard", "block", "blob", "more"])
 
+        block = Block()
         for b in batches:
             ids = shared.row_ids(b.column(0))
+            present, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             for at, to, buf, offs in shared.Texts(b.column(1)).slices():
-                flat, cut = shingles(buf, offs, size)
-                k1, k2 = set_keys(flat, cut)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(to - at, bool)), ids.slice(at, to - at), pa.array(np.diff(cut)), pa.array(k1), pa.array(k2)], names)
-                new = _first_seen(seen, k1, k2)
-                held.append(flat[np.repeat(new, np.diff(cut))])
-                amount += len(held[-1])
-                if amount >= BLOCK:
-                    yield hot()
-                    held, amount, seen = [], 0, set()
-        if held:
-            yield hot()
-
-    return shared.only(docs, key, text).mapInArrow(run, "hot boolean, doc_id long, n long, k1 long, k2 long")
-
-
-def _first_seen(seen: set, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(k1), bool)
-    for i, k in enumerate(zip(k1.tolist(), k2.tolist())):
-        if k not in seen:
-            seen.add(k)
-            out[i] = True
-    return out
-
-
-def _hot_table(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated shingles and their counts, as many of the most frequent as the table may hold. It only orders columns, so results don't depend on it."""
-    counts = shared.materialize(scan.where("hot").groupBy("k1").agg(F.sum("n").alias("n")), "shingle-counts")
-    powers = dict(counts.groupBy(F.floor(F.log2("n")).alias("p")).count().collect())
-    total, least = 0, 62
-    for p in sorted(powers, reverse=True):
-        total += powers[p]
-        if total > HOT_ENTRIES:
-            break
-        least = int(p)
-    table = counts.where(F.col("n") >= (1 << least)).toArrow()
-    h, n = table["k1"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def _postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards: int, size: int, percent: int, text: str, key: str) -> DataFrame:
-    """(shard, blob of ascending shingle, doc_id, n): the prefix entries of one document of each class and task."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_hash, hot_count = sent.value
-        near = np.zeros(1 << 20, bool)
-        near[(hot_hash >> np.uint64(44)).astype(np.int64)] = True
-        seen: set = set()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        amount = 0
-
-        def packed() -> pa.RecordBatch:
-            h, d, n = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(h)
-            h, d, n = h[order], d[order], n[order]
-            cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(h[a:b], d[a:b], n[a:b]) for a, b in zip(cuts[full], cuts[full + 1])], pa.binary())], ["shard", "blob"])
-
-        for b in batches:
-            ids_all = shared.row_ids(b.column(0))
-            present = ids_all.is_valid().to_numpy(zero_copy_only=False)
-            ids = ids_all.fill_null(0).to_numpy()
-            for at, to, buf, offs in shared.Texts(b.column(1)).slices():
-                flat, cut = shingles(buf, offs, size)
-                n = np.diff(cut)
-                fit = present[at:to] & (n > 0)  # a row without an id is not posted, so it never stands for its class
-                k1, k2 = set_keys(flat, cut)
-                new = np.zeros(len(n), bool)
-                new[fit] = _first_seen(seen, k1[fit], k2[fit])
-                p = prefix_length(n, percent)
-                row = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(flat)) - cut[:-1][row]
-                weight = np.zeros(len(flat), np.int64)
-                if len(hot_hash):
-                    maybe = np.flatnonzero(near[(flat >> np.uint64(44)).astype(np.int64)])
-                    where = np.minimum(np.searchsorted(hot_hash, flat[maybe]), len(hot_hash) - 1)
-                    hit = hot_hash[where] == flat[maybe]
-                    weight[maybe[hit]] = hot_count[where[hit]]
-                    for r in np.unique(row[maybe[hit]]):  # rows with repeated shingles are put in the global order
-                        own = slice(cut[r], cut[r + 1])
-                        flat[own] = flat[own][np.lexsort((flat[own], weight[own]))]
-                take = new[row] & (place < p[row])
-                held.append((flat[take], ids[at:to][row[take]], n[row[take]]))
-                amount += int(take.sum())
-                if amount >= PACKED:
-                    yield packed()
-                    held, amount = [], 0
-                if len(seen) > 1_000_000:
-                    seen.clear()
-        if amount:
-            yield packed()
-
-    return shared.only(docs, key, text).mapInArrow(run, "shard int, blob binary")
-
-
-def multiply(h: np.ndarray, d: np.ndarray, n: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """One block: ([a, b, n of a, n of b, overlap (0: of a wide column)], [column, doc, n of wide columns], [doc, how many of its entries stand in columns it shares])."""
-    order = np.lexsort((d, n, h))
-    h, d, n = h[order], d[order], n[order]
-    same = np.concatenate([[False], (h[1:] == h[:-1]) & (d[1:] == d[:-1])])  # a doc_id that came twice
-    h, d, n = h[~same], d[~same], n[~same]
-    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    count = np.diff(np.append(head, len(h)))
-    end = np.repeat(head + count, count)
-    narrow = np.flatnonzero(np.repeat((count > 1) & (count <= WIDE), count))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(1, WIDE):
-        narrow = narrow[narrow + k < end[narrow]]
-        narrow = narrow[100 * n[narrow] >= percent * n[narrow + k]]  # sizes ascend, so a row that fails once fails from there on
-        if not len(narrow):
-            break
-        a.append(narrow)
-        b.append(narrow + k)
-    i, j = np.concatenate(a), np.concatenate(b)
-    lo, hi = np.minimum(d[i], d[j]), np.maximum(d[i], d[j])
-    n_lo, n_hi = np.where(d[i] < d[j], n[i], n[j]), np.where(d[i] < d[j], n[j], n[i])
-    order = np.lexsort((hi, lo))
-    lo, hi, n_lo, n_hi = lo[order], hi[order], n_lo[order], n_hi[order]
-    first = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(lo) else np.zeros(0, np.int64)
-    pairs = [lo[first], hi[first], n_lo[first], n_hi[first], np.diff(np.append(first, len(lo)))]
-    wide = np.repeat(count > WIDE, count)
-    column, doc, size = h[wide], d[wide], n[wide]
-    if len(column):
-        start, many = np.repeat(head, count)[wide], np.repeat(count, count)[wide]
-        mine = np.flatnonzero(wide) - start
-        step = 1 + (shared.mix(column) % (many - 1).astype(np.uint64)).astype(np.int64)
-        other = start + (mine + step) % many
-        fit = (100 * np.minimum(size, n[other]) >= percent * np.maximum(size, n[other])) & (doc != d[other])
-        x, y, nx, ny = doc[fit], d[other][fit], size[fit], n[other][fit]
-        new = [np.minimum(x, y), np.maximum(x, y), np.where(x < y, nx, ny), np.where(x < y, ny, nx), np.zeros(len(x), np.int64)]
-        pairs = [np.concatenate(z) for z in zip(pairs, new)]
-    return pairs, [column.view(np.int64), doc, size], list(np.unique(d[np.repeat(count > 1, count)], return_counts=True))
-
-
-PAIR, WIDE_ENTRY, SUPPORT = 0, 1, 2
-
-
-def _products(posted: DataFrame, shards: int, percent: int) -> DataFrame:
-    """(kind, a, b, na, nb, overlap): pairs with partial overlaps; entries of wide columns (a: column, b: document, na: its size); shared entries of documents (a: document, na: how many)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                block.add(ids[at:to], present[at:to], *shingles(buf, offs, size))
+                if block.full():
+                    yield closed(block)
+                    block, number = Block(), number + 1
+        if block.rows:
+            yield closed(block)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "block", "blob", "more"]
         held: dict[int, list] = {}
-        for batch in batches:
-            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.setdefault(s, []).append(unpack(blob.as_buffer().to_pybytes()))
-        for s in sorted(held):
-            h, d, n = (np.concatenate(x) for x in zip(*held.pop(s)))
-            pairs, wide, support = multiply(h.view(np.uint64), d, n, percent)
-            zero, none = np.zeros(len(wide[0]), np.int64), np.zeros(len(support[0]), np.int64)
-            columns = [np.concatenate(x) for x in zip(pairs, [*wide, zero, zero], [support[0], none, support[1], none, none])]
-            kind = np.repeat(np.array([PAIR, WIDE_ENTRY, SUPPORT], np.int32), [len(pairs[0]), len(zero), len(none)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], ["kind", "a", "b", "na", "nb", "overlap"])
-
-    return posted.repartition(shards, "shard").mapInArrow(run, "kind int, a long, b long, na long, nb long, overlap long")
-
-
-def _wanted(na: Column, nb: Column, percent: int) -> Column:
-    """The least number of common columns within both prefixes: what the sizes ask for, less all that can lie beyond a prefix."""
-    need = F.ceil(percent * (na + nb) / (100 + percent))
-    return need - F.greatest(*[F.ceil(F.lit(percent) * n / 100) - 1 for n in (na, nb)])
-
-
-def _least_wanted(n: Column, low: Column, high: Column, percent: int) -> Column:
-    """The least of ``_wanted(n, m)`` over all sizes m from ``low`` <= n to ``high`` >= n.
-
-    Up to n it grows with m. Beyond, it is less than 2 above, and never below, a line that falls by p^2 / (100 (100 + p)) a
-    size; so sizes from which the line still falls by 2 ask for more than ``high`` itself, and only those near it are tried.
-    """
-    steps = -(-200 * (100 + percent) // percent**2)
-    near = F.sequence(F.greatest(n, high - steps), high)
-    return F.least(_wanted(n, low, percent), F.array_min(F.transform(near, lambda m: _wanted(n, m, percent))))
-
-
-def _support(products: DataFrame) -> DataFrame:
-    """(doc, support): entries of each document in columns it shares; no pair can have more in common."""
-    return products.where(F.col("kind") == SUPPORT).groupBy(F.col("a").alias("doc")).agg(F.sum("na").alias("support"))
-
-
-def _bounded(products: DataFrame, support: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose summed overlap, or for pairs of wide columns the smaller support, may still reach what their sizes ask for."""
-    both = products.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("overlap").alias("overlap"), F.min("overlap").alias("least"))
-    wanted = _wanted(F.col("na"), F.col("nb"), percent)
-    narrow = both.where((F.col("least") > 0) & (F.col("overlap") >= wanted)).select("a", "b")
-    hubs = both.where("least = 0").join(support.toDF("a", "sa"), "a").join(support.toDF("b", "sb"), "b")
-    return narrow.unionByName(hubs.where(F.least("sa", "sb") >= wanted).select("a", "b"))
-
-
-def _apart(products: DataFrame, support: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(column, doc, n, label, support): entries of wide columns that hold several components, without documents whose support is too small for every size of the column."""
-    wide = products.where(F.col("kind") == WIDE_ENTRY).select(F.col("a").alias("column"), F.col("b").alias("doc"), F.col("na").alias("n"))
-    labelled = wide.join(roots, wide.doc == roots.node, "left").select("column", "doc", "n", F.coalesce("root", "doc").alias("label")).join(support, "doc")
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        ends = rows.groupBy("column").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("low"), F.max("n").alias("high")).where("x <> y")
-        return rows.join(ends.drop("x", "y"), "column")
-
-    rows = mixed(labelled)
-    low = F.greatest("low", F.ceil(F.col("n") * percent / 100))
-    high = F.least("high", F.floor(F.col("n") * 100 / percent))
-    rows = rows.where(F.col("support") >= _least_wanted(F.col("n"), low, high, percent)).drop("low", "high")
-    return mixed(rows).drop("low", "high").select("column", "doc", "n", "label", "support")
+        for b in batches:
+            home = np.flatnonzero(b.column(0).to_numpy() == HOME)
+            if len(home):
+                yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(home)) for k in (0, 2, 3, 4)], names)
+            for kind, shard, block, blob in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if kind == ASK:
+                    held.setdefault(shard, []).append((block, blob))
+        for shard in sorted(held):
+            blocks, asked = zip(*((block, unpack(blob)) for block, blob in held.pop(shard)))
+            code, mark = (np.concatenate(x) for x in zip(*asked))
+            order = np.argsort(code)
+            ordered = code[order]
+            head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            count = np.empty(len(code), np.int64)
+            count[order] = np.repeat(np.add.reduceat(np.maximum(1, -mark)[order], head), np.diff(np.append(head, len(code))))
+            del order, ordered
+            out, at = [], 0
+            for c, m in asked:
+                n = count[at : at + len(c)]
+                at += len(c)
+                send = np.flatnonzero(n > 1)
+                out.append(pack(c[send], m[send], n[send]))
+            yield pa.RecordBatch.from_arrays([pa.array([ANSWER] * len(out), pa.int32()), pa.array(blocks, pa.int64()), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, answers = {}, {}
+        for b in batches:
+            for kind, block, blob, more in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == HOME:
+                    home[block] = (blob, more)
+                else:
+                    answers.setdefault(block, []).append(blob)
+        names = ["entry", "doc_id", "k1", "k2", "n", "column", "pos"]
+        for block, (rows, own) in home.items():
+            rows, own = unpack(rows), unpack(own)
+            ids, present, n, k1, k2 = rows
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), pa.array(ids, mask=present == 0), pa.array(k1), pa.array(k2), pa.array(n), none, none], names)
+            column, row, position = place(rows, own, [unpack(x) for x in answers.pop(block, [])], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), bool)), pa.array(ids[row]), pa.array(k1[row]), pa.nulls(len(row), pa.int64()), pa.array(n[row]), pa.array(column), pa.array(position)], names)
+
+    asked = shared.only(docs, key, text).mapInArrow(ask, binary).repartition(shards, "shard")
+    answered = asked.mapInArrow(answer, "kind int, block long, blob binary, more binary").repartition(shards, "block")
+    return answered.mapInArrow(settle, "entry boolean, doc_id long, k1 long, k2 long, n long, column long, pos long")
+
+
+def _reaches(n: Column, pos: Column, other_n: Column, other_pos: Column, percent: int) -> Column:
+    """Whether from here on, where each has ``n - pos`` left, two sets can still have the overlap that their sizes ask for."""
+    return (100 + percent) * F.least(n - pos, other_n - other_pos) >= percent * (n + other_n)
+
+
+def _ordered(met: DataFrame, *more: str) -> DataFrame:
+    """(ka, kb, a, b) of rows (k1, doc_id, hub_k1, hub_id), the smaller class first."""
+    first = F.col("k1") < F.col("hub_k1")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return met.select(pick("k1", "hub_k1").alias("ka"), pick("hub_k1", "k1").alias("kb"), pick("doc_id", "hub_id").alias("a"), pick("hub_id", "doc_id").alias("b"), *more)
+
+
+def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Each row of a column with its hub, the one with the fewest rarer shingles; each pair of classes once."""
+    hubs = entries.groupBy("column").agg(F.min(F.struct("pos", "k1", "doc_id", "n")).alias("h"), F.max("k1").alias("x"), F.min("k1").alias("y")).where("x <> y")
+    hubs = hubs.select("column", F.col("h.k1").alias("hub_k1"), F.col("h.doc_id").alias("hub_id"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
+    met = entries.join(hubs, "column").where(F.col("k1") != F.col("hub_k1")).where(_reaches(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent))
+    # a hub pair is met only where that hub is, so its sum over columns would bound nothing
+    return _ordered(met).groupBy("ka", "kb").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+
+
+def _bounded(met: DataFrame) -> DataFrame:
+    """(ka, kb, a, b) of pairs met at columns, whose overlap summed over columns (``common``) can with what the last of them left to the two (``rest``) reach what they need."""
+    # a class posted by several blocks, or a pair met from both sides, is one at each column
+    each = _ordered(met, "column", "need", "left").groupBy("ka", "kb", "column").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("need").alias("need"), F.min("left").alias("left"))
+    both = each.groupBy("ka", "kb").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.count("*").alias("common"), F.min("left").alias("rest"), F.min("need").alias("need"))
+    return both.where("common - 1 + rest >= need").select("ka", "kb", "a", "b")
+
+
+def _rest_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a column, without those that the bounds exclude."""
+    reach = F.expr(f"{100 + percent} * (n - pos) - {percent} * n")
+    labelled = entries.join(roots, entries.doc_id == roots.node, "left").select("column", "doc_id", "k1", "n", "pos", F.coalesce("root", "doc_id").alias("label"))
+    ends = labelled.groupBy("column").agg(F.min(F.struct("pos", "k1", "label")).alias("h"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(reach).alias("far"), F.min("n").alias("small")).where("x <> y")
+    # a row whose size the farthest reach of the column excludes, or that reaches none of its sizes, has no partner there
+    mixed = labelled.join(ends.select("column", F.col("h.label").alias("main"), "far", "small"), "column").where((F.col("far") >= percent * F.col("n")) & (reach >= percent * F.col("small")))
+    mixed = shared.materialize(mixed.select("column", "doc_id", "k1", "n", "pos", "label", "main"), "mixed")
+    one = mixed.where("label <> main").select("column", F.col("doc_id").alias("hub_id"), F.col("k1").alias("hub_k1"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label"))
+    met = mixed.join(one, "column").where((F.col("label") != F.col("hub_label")) & _reaches(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent))
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("hub_n")) / (100 + percent))
+    return _bounded(met.withColumn("need", need).withColumn("left", F.least(F.expr("n - pos"), F.expr("hub_n - hub_pos"))))
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -315,114 +274,75 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
+def overlaps(x: np.ndarray, x_row: np.ndarray, y: np.ndarray, y_row: np.ndarray, rows: int) -> np.ndarray:
+    """For each row the shingles that both sides hold; each side's are distinct within a row."""
+    h, row = np.concatenate([x, y]), np.concatenate([x_row, y_row])
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    return np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=rows)
+
+
 def decide(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
-    """The pairs whose whole texts link. Only documents of some pair are read into the joins."""
+    """(a, b): the documents of ``pairs`` whose whole texts link. Only documents of some pair are read into the joins."""
     ids = _small(shared.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids"))
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__assay_text")).join(ids, "doc_id", "left_semi")
-    one = texts.select(F.col("doc_id").alias("a"), F.col("__assay_text").alias("ta"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("__assay_text").alias("tb"))
-    # a column's own hash chose the partners of hubs, so no document has many more pairs than others
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(ids, "doc_id", "left_semi")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, to, buf, offs in shared.Texts(b.column(1)).slices():
+                k1, _ = set_keys(*shingles(buf, offs, size))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(k1), b.column(1).slice(at, to - at)], ["doc_id", "k", "t"])
+
+    # rows that share a doc_id but not their words are different classes; repeated ones are one
+    texts = shared.materialize(texts.mapInArrow(keyed, "doc_id long, k long, t string"), "pair-texts").dropDuplicates(["doc_id", "k"])
+    rows = pairs.join(texts.toDF("a", "ka", "ta"), ["a", "ka"]).join(texts.toDF("b", "kb", "tb"), ["b", "kb"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = shared.Texts(batch.column(2)), shared.Texts(batch.column(3))
-            link = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, _ = shingles(*_single(left, i), size)
-                y, _ = shingles(*_single(right, i), size)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                link[i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+            link, at = np.zeros(batch.num_rows, bool), 0
+            both = left.offs + right.offs
+            while at < batch.num_rows:  # about a slice of text at a time
+                to = min(batch.num_rows, max(at + 1, int(np.searchsorted(both, both[at] + shared.SLICE_BYTES, "right")) - 1))
+                sides = []
+                for t in (left, right):
+                    flat, cut = shingles(t.buf[t.offs[at] : t.offs[to]], t.offs[at : to + 1] - t.offs[at], size)
+                    sides.append((flat, np.repeat(np.arange(to - at), np.diff(cut)), np.diff(cut)))
+                (x, x_row, nx), (y, y_row, ny) = sides
+                common = overlaps(x, x_row, y, y_row, to - at)
+                link[at:to] = (common > 0) & (100 * common >= percent * (nx + ny - common))
+                at = to
             got = batch.filter(pa.array(link))
             yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _against_all(docs: DataFrame, chosen: DataFrame, size: int, percent: int, text: str, key: str) -> Iterator[DataFrame]:
-    """For blocks of the ``chosen`` documents (``doc``), the links of a block with all rows: the block's incidence matrix, transposed, goes to every task and is multiplied with the rows there. Only links leave a task."""
-    queries = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(_small(chosen), "doc", "left_semi")
-    total = queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // QUERY_BYTES))
-    for k in range(blocks):
-        part = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("doc"), F.lit(blocks)) == k)).toArrow()
-        ids = part["doc"].to_numpy()
-        flat, cut = shingles(*(lambda t: (t.buf, t.offs))(shared.Texts(part["t"])), size)
-        n = np.diff(cut)
-        order = np.argsort(flat, kind="stable")
-        columns, first = np.unique(flat[order], return_index=True)
-        sent = docs.sparkSession.sparkContext.broadcast((columns, np.append(first, len(flat)), np.repeat(np.arange(len(ids)), n)[order].astype(np.int32), ids, n))
-        yield shared.only(docs, key, text).mapInArrow(_multiplier(sent, size, percent), "a long, b long")
-
-
-def _multiplier(sent, size: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, first, query, ids, n_query = sent.value
-        near = np.zeros(1 << 20, bool)
-        near[(columns >> np.uint64(44)).astype(np.int64)] = True
-        for b in batches:
-            own = shared.row_ids(b.column(0))
-            present, own = own.is_valid().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy()
-            for at, to, buf, offs in shared.Texts(b.column(1)).slices():
-                flat, cut = shingles(buf, offs, size)
-                n = np.diff(cut)
-                row = np.repeat(np.arange(to - at), n)
-                maybe = np.flatnonzero(near[(flat >> np.uint64(44)).astype(np.int64)])
-                where = np.minimum(np.searchsorted(columns, flat[maybe]), len(columns) - 1)
-                hit = columns[where] == flat[maybe]
-                where, row = where[hit], row[maybe[hit]]
-                # a linked row has nearly all its columns in the block
-                ok = (np.bincount(row, minlength=to - at) >= np.maximum(1, least_common(n, percent))) & present[at:to]
-                where, row = where[ok[row]], row[ok[row]]
-                for r in np.unique(row):
-                    mine = where[row == r]
-                    count = first[mine + 1] - first[mine]
-                    spread = np.repeat(first[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    common = np.bincount(query[spread], minlength=len(ids))
-                    link = np.flatnonzero((common > 0) & (100 * common >= percent * (n_query + n[r] - common)))
-                    if len(link):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[link]), pa.array(np.full(len(link), own[at + r]))], ["a", "b"])
-
-    return run
-
-
-def _single(t: shared.Texts, i: int) -> tuple[np.ndarray, np.ndarray]:
-    return t.buf[t.offs[i] : t.offs[i + 1]], np.array([0, t.offs[i + 1] - t.offs[i]])
-
-
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    shards = shared.partitions(docs.sparkSession)
-    scan = shared.materialize(_scan(docs, size, text, key), "shingle-scan")
-    rows = scan.where("NOT hot").select("doc_id", "n", "k1", "k2")
-    products = shared.materialize(_products(_postings(docs, _hot_table(scan), shards, size, percent, text, key), shards, percent), "products")
-    support = shared.materialize(_support(products), "support")
-    pairs = shared.materialize(_bounded(products, support, percent), "pairs")
-    links = shared.materialize(decide(docs, pairs, size, percent, text, key), "links")
+    table = shared.materialize(incidence(docs, size, percent, text, key), "incidence")
+    rows = table.where("NOT entry").select("doc_id", "n", "k1", "k2")
+    entries = table.where("entry").select("column", "doc_id", "k1", "n", "pos")
     # classes of equal sets: the smallest doc_id of each, counted in salted parts first, as one class may hold a third of all rows
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt")
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     parts = some.groupBy("k1", "k2", salt).agg(F.min("doc_id").alias("part"))
     tops = parts.groupBy("k1", "k2").agg(F.min("part").alias("top"))
-    classes = some.select("doc_id", "k1", "k2", salt).join(parts.join(tops, ["k1", "k2"]), ["k1", "k2", "salt"]).select("doc_id", "top").where("doc_id <> top").distinct()
-    copies = shared.materialize(classes.select(F.col("doc_id").alias("a"), F.col("top").alias("b")), "copies")
-    roots = components(links.unionByName(copies))
-    apart = _apart(products, support, roots, percent)
-    sizes = apart.groupBy("column", "label").agg(F.count("*").alias("c")).groupBy("column").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    rest = shared.materialize(apart.join(sizes, "column").where("label <> main").select("doc").distinct(), "rest")
+    copies = some.select("doc_id", "k1", "k2", salt).join(parts.join(tops, ["k1", "k2"]), ["k1", "k2", "salt"]).where("doc_id <> top").select(F.col("doc_id").alias("a"), F.col("top").alias("b")).distinct()
+    pairs = shared.materialize(_hub_pairs(entries, percent), "hub-pairs")
+    links = shared.materialize(decide(docs, pairs, size, percent, text, key).unionByName(copies), "links")
+    roots = components(links)
+    rest = shared.materialize(_rest_pairs(entries, roots, percent), "rest-pairs")
     if rest.limit(1).count():
-        more = [shared.materialize(x, "links") for x in _against_all(docs, rest, size, percent, text, key)]
-        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        for x in more:
-            edges = edges.unionByName(x)
-        roots = components(edges)
+        more = shared.materialize(decide(docs, rest, size, percent, text, key), "links")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return rows.join(roots, rows.doc_id == roots.node, "left").select(rows.doc_id, F.col("n").alias("n_shingles"), F.coalesce("root", rows.doc_id).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those whose component has a smaller doc_id."""
     found = shared.materialize(join(docs, text=text, key=key).where("component_id <> doc_id").select(F.col("doc_id").alias("__assay_gone")).distinct(), "near-copies")
-    return docs.join(found, docs[key] == F.col("__assay_gone"), "left_anti")
+    return docs.join(found, F.col(f"`{key}`") == F.col("__assay_gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents hold stay in the one with the largest doc_id only."""
-    return line_dedup.dedup(docs).select(*[f"`{c}`" for c in docs.columns])
+    return line_dedup.keep_first(docs)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -347,3 +347,22 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(shared.documents(spark, sf_dir))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT r, doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT r, doc_id, count(*) AS n FROM shingles GROUP BY r, doc_id),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+linked AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM common JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y
+  WHERE 100 * c >= 80 * (a.n + b.n - c) AND a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL),
+both_ways AS (SELECT u, v FROM linked UNION SELECT v, u FROM linked),
+reach AS (SELECT u, v FROM both_ways UNION SELECT reach.u, both_ways.v FROM reach JOIN both_ways ON reach.v = both_ways.u),
+smallest AS (SELECT u, min(v) AS least FROM reach GROUP BY u)
+SELECT words.doc_id, coalesce(sizes.n, 0) AS n_shingles, least(words.doc_id, coalesce(least, words.doc_id)) AS component_id
+FROM words LEFT JOIN sizes USING (r) LEFT JOIN smallest ON words.doc_id = smallest.u
+"""

@@ -121,4 +121,27 @@ def rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MA
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(shared.documents(spark, sf_dir))
+    return rules(shared.documents(spark, sf_dir)).drop("n_covered", "longest_repeat")
+
+
+#: A word lies in a repeat of at least k words if a window of k words that stands twice holds it, and the longest repeat has more than k words if a window of k + 1 stands twice.
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+places AS (
+  SELECT r, n, i, md5(array_to_string(w[i : i + n - 1], ' ')) AS s
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (VALUES (6), (8), (101)) AS v (n) WHERE len(w) >= n)),
+twice AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY r, n, s) AS c FROM places) WHERE c > 1),
+inside AS (SELECT r, n, count(DISTINCT j) AS c FROM (SELECT r, n, unnest(range(i, i + n)) AS j FROM twice) GROUP BY r, n),
+base AS (
+  SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce((SELECT c FROM inside WHERE inside.r = docs.r AND n = 8), 0) AS n_repeat_words,
+    coalesce((SELECT c FROM inside WHERE inside.r = docs.r AND n = 6), 0) AS n_covered, EXISTS (SELECT 1 FROM inside WHERE inside.r = docs.r AND n = 101) AS long_repeat
+  FROM docs LEFT JOIN lines USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_covered <= 0.3::DOUBLE * n_words AND NOT long_repeat AS kept
+FROM base
+"""

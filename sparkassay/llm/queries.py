@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op3_jaccard_join": jaccard_join.ORACLE_SQL, "op5_quality": quality.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}

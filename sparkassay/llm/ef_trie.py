@@ -1,84 +1,136 @@
-"""Elias-Fano sequences and a two-level n-gram trie over them, in one memory-mapped file."""
+"""Elias-Fano sequences and an n-gram trie over them, in one anonymous memory map."""
 
 from __future__ import annotations
 
-import tempfile
+import mmap
 
 import numpy as np
 
-#: log10 probabilities are stored in 16 bits, in steps of 1 / STEPS.
-STEPS = 4096
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-_ONES = _BYTE_BITS.sum(1).astype(np.int64)
-#: place of the k-th zero of a byte
-_ZERO_AT = np.full((256, 8), 8, np.int64)
-for _b in range(256):
-    _z = np.flatnonzero(_BYTE_BITS[_b] == 0)
-    _ZERO_AT[_b, : len(_z)] = _z
+#: log10 probabilities are stored in 16 bits, in steps of 1 / STEPS; NONE stands for no entry.
+STEPS, NONE = 4096, 65535
+#: Words of 64 bits between two entries of a rank directory.
+GROUP = 4
+_ONE = np.uint64(1)
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 * STEPS), 0, 65535).astype(np.uint16)
+    return np.clip(np.rint(-log10 * STEPS), 0, NONE - 1).astype(np.uint16)
 
 
 def restore(q: np.ndarray) -> np.ndarray:
-    return q.astype(np.float64) / -STEPS
+    return np.where(q == NONE, -np.inf, q.astype(np.float64) / -STEPS)
+
+
+class Store:
+    """Arrays gathered first and then laid out one after the other in a memory map."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+        self.at: list[int] = []
+        self.size = 0
+        self.map: mmap.mmap | None = None
+
+    def keep(self, a: np.ndarray) -> int:
+        """The number by which ``close`` makes the array available."""
+        self.parts.append(np.ascontiguousarray(a))
+        self.at.append(self.size)
+        self.size += -(-a.nbytes // 64) * 64
+        return len(self.parts) - 1
+
+    def close(self) -> list[np.ndarray]:
+        self.map = mmap.mmap(-1, max(64, self.size))
+        out = []
+        for a, at in zip(self.parts, self.at):
+            self.map[at : at + a.nbytes] = a.tobytes()
+            out.append(np.frombuffer(self.map, a.dtype, a.size, at))
+        self.parts = []
+        return out
 
 
 class EliasFano:
-    """An ascending sequence below ``universe``: low bits packed, high bits in unary; parts are kept by ``store``."""
+    """An ascending sequence of integers, packed: low bits as they are, high bits in unary, with a directory of their ones and zeros."""
 
-    def __init__(self, values: np.ndarray, universe: int, store):
+    def __init__(self, values: np.ndarray, store: Store):
         n = self.n = len(values)
-        self.low_bits = max(0, (universe // max(1, n)).bit_length() - 1)
         v = values.astype(np.int64)
-        high = v >> self.low_bits
-        size = n + (universe >> self.low_bits) + 2
-        bits = np.zeros(-(-size // 8) * 8, np.uint8)
-        bits[high + np.arange(n)] = 1
-        packed = np.packbits(bits, bitorder="little")
-        zeros = np.concatenate([[0], np.cumsum(8 - _ONES[packed])])
-        self.high = store(packed)
-        #: zeros before each run of 16 bytes
-        self.zeros = store(zeros[::16].astype(np.int64))
-        if self.low_bits:
-            low = v & ((1 << self.low_bits) - 1)
-            self.low = store(np.packbits(((low[:, None] >> np.arange(self.low_bits)) & 1).astype(np.uint8).reshape(-1), bitorder="little"))
-        self.low_bytes = (self.low_bits + 14) // 8
-
-    def _before(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a smaller high part: the place of zero number ``high - 1``, less the zeros up to it."""
-        k = high - 1  # the zero wanted
-        block = np.searchsorted(self.zeros, np.maximum(k, 0), "right") - 1
-        left = np.maximum(k, 0) - self.zeros[block]
-        at = block * 16
-        out = np.zeros(len(high), np.int64)
-        todo = np.arange(len(high))
-        for _ in range(17):
-            have = 8 - _ONES[self.high[at[todo]]]
-            on = left[todo] >= have
-            done = todo[~on]
-            out[done] = at[done] * 8 + _ZERO_AT[self.high[at[done]], left[done]]
-            todo, have = todo[on], have[on]
-            if not len(todo):
-                break
-            left[todo] -= have
-            at[todo] += 1
-        return np.where(k < 0, 0, out - k)
+        top = int(v[-1]) if n else 0
+        self.low_bits = max(0, (top // max(1, n)).bit_length() - 1)
+        high = (v >> self.low_bits) + np.arange(n)
+        size = n + (top >> self.low_bits) + 2
+        words = np.zeros(-(-size // (64 * GROUP)) * GROUP, np.uint64)
+        bit = _ONE << (high & 63).astype(np.uint64)
+        at = high >> 6
+        if n:
+            head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            words[at[head]] = np.bitwise_or.reduceat(bit, head)
+        ones = np.bitwise_count(words).reshape(-1, GROUP).sum(1, dtype=np.int64)
+        self._parts = [store.keep(words), store.keep(np.cumsum(ones) - ones)]
+        width = np.uint64(self.low_bits)
+        low = v.astype(np.uint64) & ((_ONE << width) - _ONE)
+        place = np.arange(n, dtype=np.uint64) * width
+        packed = np.zeros(int(n * self.low_bits // 64) + 2, np.uint64)
+        if n and self.low_bits:
+            word, shift = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
+            head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            packed[word[head]] = np.bitwise_or.reduceat(low << shift, head)
+            over = np.flatnonzero(shift + width > np.uint64(64))  # at most one value runs over the end of a word
+            packed[word[over] + 1] |= low[over] >> (np.uint64(64) - shift[over])
+        self._parts.append(store.keep(packed))
+
+    def open(self, arrays: list[np.ndarray]) -> None:
+        self.words, self.ones, self.low = (arrays[k] for k in self._parts)
+        self.zeros = np.arange(len(self.ones)) * (64 * GROUP) - self.ones
+
+    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of one (or zero) number ``k``."""
+        directory = self.ones if ones else self.zeros
+        group = np.searchsorted(directory, k, "right") - 1
+        left = k - directory[group]
+        at = group * GROUP
+        for _ in range(GROUP - 1):
+            have = np.bitwise_count(self.words[at]).astype(np.int64)
+            if not ones:
+                have = 64 - have
+            on = left >= have
+            left = left - np.where(on, have, 0)
+            at = at + on
+        word = self.words[at] if ones else ~self.words[at]
+        place = at * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            have = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
+            on = left >= have
+            left = left - np.where(on, have, 0)
+            word = np.where(on, word >> np.uint64(width), word)
+            place = place + np.where(on, width, 0)
+        return place
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.int64)
-        bit = i * self.low_bits
-        byte = bit >> 3
-        word = np.zeros(len(i), np.int64)
-        top = len(self.low) - 1
-        for k in range(self.low_bytes):
-            word |= self.low[np.minimum(byte + k, top)].astype(np.int64) << (8 * k)
-        return (word >> (bit & 7)) & ((1 << self.low_bits) - 1)
+        place = i.astype(np.uint64) * np.uint64(self.low_bits)
+        word, shift = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
+        up = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        return (((self.low[word] >> shift) | up) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """Values by number."""
+        return ((self._select(i, True) - i) << self.low_bits) | self._low(i)
+
+    def _before(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a smaller high part; all of them beyond the largest."""
+        k = np.minimum(high, self._most() + 1) - 1
+        return np.where(k < 0, 0, self._select(np.maximum(k, 0), False) - np.maximum(k, 0))
+
+    def _most(self) -> int:
+        """The largest high part."""
+        if not hasattr(self, "_top"):
+            self._top = int(self.at(np.array([self.n - 1]))[0]) >> self.low_bits if self.n else 0
+        return self._top
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first value that is at least ``x``, whether it equals ``x``)."""
+        """(number of the first value that is at least ``x``, whether it equals ``x``)."""
+        if not self.n:
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
         a, b = self._before(high), self._before(high + 1)
         end = b.copy()
@@ -94,49 +146,69 @@ class EliasFano:
         return a, found
 
 
-class Trie:
-    """Words (32-bit codes) with a payload, and under each the words that follow it, with theirs.
-
-    The followers of all contexts are one ascending sequence: a follower's number plus its context's number times the number
-    of words, so a query is a successor search relative to its context.
-    """
-
-    def __init__(self, codes: np.ndarray, uni_log10: np.ndarray, context: np.ndarray, follower: np.ndarray, bi_log10: np.ndarray):
-        """``codes``: ascending; ``context`` and ``follower``: word numbers, ordered by both."""
-        self._file = tempfile.TemporaryFile(prefix="trie-")  # has no name, so nothing stays behind
-        self.words = len(codes)
-        self.codes = EliasFano(codes, 1 << 32, self._keep)
-        self.uni = self._keep(quantise(uni_log10))
-        self.pairs = EliasFano(context.astype(np.int64) * self.words + follower, max(1, self.words * self.words), self._keep)
-        self.bi = self._keep(quantise(bi_log10))
-
-    def _keep(self, a: np.ndarray) -> np.ndarray:
-        if not a.nbytes:
-            return a
-        self._file.seek(0, 2)
-        at = -(-self._file.tell() // 64) * 64
-        self._file.seek(at)
-        self._file.write(a.tobytes())
-        self._file.flush()
-        return np.memmap(self._file, a.dtype, "r", at, a.shape)
-
-    def word(self, codes: np.ndarray) -> np.ndarray:
-        """Numbers of words; -1 for unknown ones."""
-        at, found = self.codes.successor(codes.astype(np.int64))
-        return np.where(found, at, -1)
-
-    def unigram(self, word: np.ndarray, unknown: float) -> np.ndarray:
-        out = np.full(len(word), unknown)
-        out[word >= 0] = restore(self.uni[word[word >= 0]])
+class Level:
+    """The ids below the nodes of the level above: pointers to each node's range, and the ids, each plus the last value before its range, so that the whole is one ascending sequence."""
+
+    def __init__(self, parent: np.ndarray, ids: np.ndarray, parents: int, store: Store):
+        """``ids`` from 1 on, ascending within each of the ascending ``parent`` numbers."""
+        count = np.bincount(parent, minlength=parents)
+        end = np.cumsum(count)
+        last = np.zeros(parents, np.int64)
+        full = count > 0
+        last[full] = ids[end[full] - 1]
+        before = np.cumsum(last) - last
+        self.pointers = EliasFano(np.concatenate([[0], end]), store)
+        self.ids = EliasFano(ids + before[parent], store)
+
+    def open(self, arrays: list[np.ndarray]) -> None:
+        self.pointers.open(arrays)
+        self.ids.open(arrays)
+
+    def find(self, parent: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Numbers of the nodes ``ids`` below ``parent`` (-1: none): a successor search relative to the context's range."""
+        out = np.full(len(ids), -1)
+        ask = np.flatnonzero(parent >= 0)
+        if not len(ask) or not self.ids.n:
+            return out
+        node, back = np.unique(parent[ask], return_inverse=True)
+        begin, end = self.pointers.at(node), self.pointers.at(node + 1)
+        base = np.where(begin > 0, self.ids.at(np.maximum(begin - 1, 0)), 0)
+        at, found = self.ids.successor(base[back] + ids[ask])
+        found &= at < end[back]
+        out[ask[found]] = at[found]
         return out
 
-    def bigram(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 of the stored share; -inf where the pair isn't stored."""
-        out = np.full(len(word), -np.inf)
-        ask = np.flatnonzero((context >= 0) & (word >= 0))
-        at, found = self.pairs.successor(context[ask].astype(np.int64) * self.words + word[ask])
-        out[ask[found]] = restore(self.bi[at[found]])
-        return out
 
-    def close(self) -> None:
-        self._file.close()
+class Trie:
+    """Three levels: words, the words that follow them, and those that follow such a pair. Pairs and triples have a quantised log10 share; pairs also the quantised log10 of what is left to the shorter context."""
+
+    def __init__(self, words: np.ndarray, pair_parent: np.ndarray, pair_ids: np.ndarray, pair_share: np.ndarray, pair_left: np.ndarray, triple_parent: np.ndarray, triple_ids: np.ndarray, triple_share: np.ndarray):
+        """``words`` ascending; parents are numbers within the level above, in order, and ids ascend within each parent."""
+        store = Store()
+        self.words = EliasFano(words, store)
+        self.pairs = Level(pair_parent, pair_ids, len(words), store)
+        self.triples = Level(triple_parent, triple_ids, len(pair_ids), store)
+        kept = [store.keep(quantise(x)) for x in (pair_share, pair_left, triple_share)]
+        arrays = store.close()
+        self.store = store
+        for part in (self.words, self.pairs, self.triples):
+            part.open(arrays)
+        self.pair_share, self.pair_left, self.triple_share = (arrays[k] for k in kept)
+
+    def word(self, ids: np.ndarray) -> np.ndarray:
+        at, found = self.words.successor(ids)
+        return np.where(found, at, -1)
+
+    def pair(self, word: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of pairs, their quantised share, and what is left to the shorter context; NONE where there is no pair)."""
+        at = self.pairs.find(word, ids)
+        some = at >= 0
+        share, left = np.full(len(ids), NONE, np.uint16), np.full(len(ids), NONE, np.uint16)
+        share[some], left[some] = self.pair_share[at[some]], self.pair_left[at[some]]
+        return at, share, left
+
+    def triple(self, pair: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = self.triples.find(pair, ids)
+        share = np.full(len(ids), NONE, np.uint16)
+        share[at >= 0] = self.triple_share[at[at >= 0]]
+        return share

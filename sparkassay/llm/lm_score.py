@@ -1,18 +1,27 @@
 """Operator 7: language-model scores from an Elias-Fano n-gram trie.
 
-A bigram model with unigram back-off over words and an end token:
-``p(w|v) = s(v) c(v w) / c(v) + (1 - s(v)) p(w)`` with ``s(v) = SHARE c(v) / (c(v) + 2)``, ``p(w) = (1 - u) c(w) / N`` and
-``u = (words counted once + 1) / (N + 1)`` for the one unknown word (Good and Turing). It is normalised over the known
-words and the unknown one. Counts come from all training documents.
+A trigram model with back-off over words and an end token, counted over all training documents:
 
-Documents are dealt to buckets by doc_id. A bucket sends its distinct words and word pairs with their training counts,
-packed, to shards by hash; a shard sums them over buckets and sends each bucket back the totals of what it asked for,
-where they differ from the bucket's own counts. So no task ever holds the whole model: each bucket
-builds a trie of the n-grams its own texts ask for, in memory-mapped levels, and scores its texts with it. Pair keys hold
-32 bits of each word's hash; words have 64.
+* ``p(w | u v) = s3 c(u v w) / c(u v) + (1 - s3) p(w | v)`` with ``s3 = SHARE3 c(u v) / (c(u v) + LAG3)``,
+* ``p(w | v) = s2 c(v w) / c(v) + (1 - s2) p(w)`` with ``s2 = SHARE2 c(v) / (c(v) + LAG2)``,
+* ``p(w) = (1 - z) c(w) / N`` and ``z = (words counted once + 1) / (N + 1)`` for the one unknown word (Good and Turing).
+
+It is normalised over the known words and the unknown one. A text's first token follows a start symbol; the second one's
+context is that symbol and the first.
+
+A task cuts its rows into blocks and asks shards in two rounds; answers go back to the block, where they meet the block's
+tokens, packed as numbers of its distinct words. So texts are never shuffled, and no task holds the whole model.
+
+1. Words, as 64-bit hashes: a shard sums their counts and gives each known word an id of its own, frequent words small ones.
+2. Pairs and triples of ids, each pair with its followers. A shard owns the contexts that a hash deals to it. It sums their counts over all blocks
+   and builds its part of the trie from them: the contexts' first words, the words that follow and the words that follow
+   both, each level an ascending sequence with monotone pointers to it, and quantised smoothed probabilities beside, in one
+   memory map. What blocks ask is then found in the trie by successor searches within the context's range.
+
+``docs`` should be a table or another scan that gives a task the same rows again if it is repeated; both rounds read it.
 
 Null and empty texts are the end token alone. A null doc_id trains. Rows are scored each by itself; repeated rows count
-each time. Without training documents N and V are 0 and every token is unknown.
+each time. Without training documents N and V are 0 and every token is unknown. Texts of any length are scored whole; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,264 +30,281 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .blobs import pack, unpack
-from .ef_trie import Trie
+from .blobs import pack, shard_of, unpack
+from .ef_trie import NONE, Trie, restore
 
-SHARE = 0.4
-#: Buckets of documents for each partition; a task handles its buckets one after the other, so this bounds its memory.
-BUCKETS = 4
-MODEL = -1
-START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
-_LOW = np.uint64(0xFFFFFFFF)
-_HALF = np.uint64(32)
+SHARE2, LAG2, SHARE3, LAG3 = 0.3, 20.0, 0.5, 0.5
+#: Tokens and rows that close a block.
+BLOCK, BLOCK_ROWS = 1 << 20, 1 << 17
+#: Shards for each shuffle partition.
+SHARDS = 2
+END = np.uint64(0x27D4EB2F165667C5)
+HOME, TOTAL = -1, -2
 
 
 def held_out(key: str = "doc_id", of: int = 7, left: int = 2):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % of == left, F.lit(False))
 
 
-class Tokens:
-    """The tokens of a bucket's rows: hash of each and of its context, and the row's place."""
+class Block:
+    """The tokens of a run of rows."""
 
     def __init__(self):
-        self.ids: list = []
-        self.held: list[np.ndarray] = []
-        self.hashes: list[np.ndarray] = []
-        self.contexts: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-
-    def add(self, ids: list, held: np.ndarray, texts: shared.Texts) -> None:
-        self.ids += ids
-        self.held.append(held)
-        for _, _, buf, offs in texts.slices():
-            w = shared.Words(buf, offs)
-            h = np.insert(w.hash, w.first[1:], END)
-            n = np.diff(w.first) + 1
-            context = np.empty_like(h)
-            context[1:] = h[:-1]
-            context[np.cumsum(n) - n] = START
-            self.hashes.append(h)
-            self.contexts.append(context)
-            self.counts.append(n)
-
-    def close(self) -> None:
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.held, self.hashes, self.contexts, self.counts = cat(self.held, bool), cat(self.hashes, np.uint64), cat(self.contexts, np.uint64), cat(self.counts, np.int64)
-        self.trains = np.repeat(~self.held, self.counts)
-        self.pairs = (self.contexts & ~_LOW) | (self.hashes >> _HALF)
-
-    def counted(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct keys, their training counts here)."""
-        known, counts = np.unique(keys[self.trains], return_counts=True)
-        rest = np.unique(keys[~self.trains])
-        at = np.minimum(np.searchsorted(known, rest), max(0, len(known) - 1))
-        rest = rest[known[at] != rest] if len(known) else rest
-        every = np.concatenate([known, rest])
-        order = np.argsort(every)
-        return every[order], np.concatenate([counts, np.zeros(len(rest), np.int64)])[order]
-
-
-def _buckets(batches: Iterator[pa.RecordBatch], start) -> Iterator[tuple[int, object]]:
-    """Runs of equal first column, which is sorted: (bucket, what ``start`` made and each run's part was added to)."""
-    now, state = None, None
-    for b in batches:
-        key = b.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-        for a, z in zip(cuts, cuts[1:]):
-            if a == z:
-                continue
-            if key[a] != now:
-                if now is not None:
-                    yield now, state
-                now, state = int(key[a]), start()
-            state.take(b.slice(a, z - a))
-    if now is not None:
-        yield now, state
-
-
-class _Counting:
-    def __init__(self):
-        self.tokens = Tokens()
-
-    def take(self, b: pa.RecordBatch) -> None:
-        self.tokens.add(b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False), shared.Texts(b.column(3)))
-
-
-class _Scoring(_Counting):
-    """A bucket's documents; rows of bucket MODEL, which come first, fill ``answers`` of all buckets of the task."""
-
-    def __init__(self, answers: dict[int, list]):
-        super().__init__()
-        self.answers = answers
-        self.sent: dict[int, list] = {0: [], 1: []}  # (shard, blob)
-
-    def take(self, b: pa.RecordBatch) -> None:
-        if b.column(0)[0].as_py() == MODEL:
-            for shard, kinds, buckets, blobs in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4))):
-                for kind, bucket, blob in zip(kinds, buckets, blobs):
-                    self.answers.setdefault(bucket, []).append((kind, shard, blob))
-        else:
-            self.tokens.add(b.column(5).to_pylist(), b.column(6).to_numpy(zero_copy_only=False), shared.Texts(b.column(7)))
-
-    def gather(self, bucket: int) -> None:
-        for kind, shard, blob in self.answers.pop(bucket, []):
-            self.sent[kind].append((shard, blob))
+        self.parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        self.tokens = self.rows = 0
 
-    def totals(self, kind: int, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct keys asked for, their training counts in all documents): places are those of the question, which is the same again."""
-        known, counts = self.tokens.counted(keys)
-        order, cuts = _by_shard(known, shards)
-        for shard, blob in self.sent.pop(kind):
-            place, total = unpack(blob)
-            counts[order[cuts[shard] + place]] = total
-        return known, counts
+    def add(self, ids: np.ndarray, present: np.ndarray, held: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> None:
+        w = shared.Words(buf, offs)
+        for part, x in zip(self.parts, (ids, present, held, np.diff(w.first) + 1, np.insert(w.hash, w.first[1:], END))):
+            part.append(x)
+        self.tokens += len(w) + len(ids)
+        self.rows += len(ids)
 
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """(distinct words, how often training rows hold each, number of each token's word, (ids, present, held, tokens of rows))."""
+        ids, present, held, n, h = (np.concatenate(x) for x in self.parts)
+        known, at = np.unique(h, return_inverse=True)
+        return known, np.bincount(at[np.repeat(~held, n)], minlength=len(known)), at, (ids, present, held, n)
 
-def _lookup(keys: np.ndarray, values: np.ndarray, ask: np.ndarray, default) -> np.ndarray:
-    if not len(keys):
-        return np.broadcast_to(np.asarray(default), len(ask)).copy()
-    at = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-    return np.where(keys[at] == ask, values[at], default)
-
-
-def _dealt(docs: DataFrame, groups: int, text: str, key: str) -> DataFrame:
-    """Documents with their bucket, which is part of a group; a group is a partition."""
-    bucket = F.pmod(F.coalesce(F.xxhash64(key), F.lit(0)), F.lit(groups * BUCKETS)).cast("int")
-    return docs.select(bucket.alias("bucket"), F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
-
-
-def _group(groups: int):
-    return F.pmod(F.col("bucket"), F.lit(groups))
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
+    number, block = TaskContext.get().partitionId() << 32, Block()
+    for b in batches:
+        ids = shared.row_ids(b.column(0))
+        present, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        held = b.column(1).to_numpy(zero_copy_only=False)
+        for at, to, buf, offs in shared.Texts(b.column(2)).slices():
+            block.add(ids[at:to], present[at:to], held[at:to], buf, offs)
+            if block.tokens >= BLOCK or block.rows >= BLOCK_ROWS:
+                yield number, block
+                number, block = number + 1, Block()
+    if block.rows:
+        yield number, block
 
-def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order by shard, keys ascending within each; where each shard begins)."""
-    shard = (shared.mix(keys) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
+_ROUND = "block long, shard int, blob binary, more binary"
 
-_PACKS = "kinds array<int>, buckets array<int>, blobs array<binary>"
 
+def _rows(block: list, shard: list, blob: list, more: list | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary()), pa.array(more or [None] * len(block), pa.binary())], ["block", "shard", "blob", "more"])
 
-def _packs(groups: list[int], shard: list[int], packs: list[list[tuple[int, int, bytes]]]) -> list[pa.Array]:
-    lists = [pa.array([[x[k] for x in p] for p in packs], pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.binary()))]
-    return [pa.array(groups, pa.int32()), pa.array(shard, pa.int32()), *lists]
 
+def _scanned(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), held_out(f"`{key}`").alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
 
-def counts(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(grp, shard, kinds, buckets, blobs, tokens, types, once): for each group and shard the places and totals of the words (kind 0) and pairs (1) that the group's buckets asked for, where they differ from a bucket's own counts; and each shard's sums over words (grp -1).
 
-    A task asks a shard in one row for all its buckets, so rows are as many as an exchange has blocks.
-    """
+def word_counts(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """First round: the counts and ids of each block's words (block, shard, blob), and a row of each shard's sums (block TOTAL, tokens, types, once)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        for bucket, state in _buckets(batches, _Counting):
-            t = state.tokens
-            t.close()
-            for kind, keys in ((0, t.hashes), (1, t.pairs)):
-                k, c = t.counted(keys)
-                order, cuts = _by_shard(k, shards)
-                for s in np.flatnonzero(np.diff(cuts)).tolist():
-                    mine = order[cuts[s] : cuts[s + 1]]
-                    held.setdefault((bucket % shards, s), []).append((kind, bucket, pack(k[mine], c[mine])))
-        if held:
-            yield pa.RecordBatch.from_arrays(_packs([g for g, _ in held], [s for _, s in held], list(held.values())), ["grp", "shard", "kinds", "buckets", "blobs"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in _blocks(batches):
+            known, count, _, _ = block.words()
+            cuts = np.searchsorted(shard_of(known, shards), np.arange(shards + 1))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            yield _rows([number] * len(full), full, [pack(known[cuts[s] : cuts[s + 1]], count[cuts[s] : cuts[s + 1]]) for s in full])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
-            for group, shard, *lists in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(shard, []).extend((group, *x) for x in zip(*lists))
+            for block, shard, blob in zip(*(b.column(k).to_pylist() for k in range(3))):
+                held.setdefault(shard, []).append((block, blob))
         for shard in sorted(held):
-            asked_all, out, mine = held.pop(shard), {}, [0, 0, 0]
-            for kind in (0, 1):
-                asked = [(group, bucket, *unpack(blob)) for group, k, bucket, blob in asked_all if k == kind]
-                if not asked:
-                    continue
-                known, back = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
-                sums = np.bincount(back, weights=np.concatenate([x[3] for x in asked]), minlength=len(known)).astype(np.int64)
-                if kind == 0:
-                    mine = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum())]
-                got, at = sums[back], 0
-                for group, bucket, k, c in asked:
-                    s = got[at : at + len(k)]
-                    at += len(k)
-                    send = np.flatnonzero(s != c)
-                    if len(send):
-                        out.setdefault(group, []).append((kind, bucket, pack(send, s[send])))
-            zero = [0] * len(out)
-            yield pa.RecordBatch.from_arrays([*_packs([*out, -1], [shard] * (len(out) + 1), [*out.values(), []]), *[pa.array([*zero, m], pa.int64()) for m in mine]], ["grp", "shard", "kinds", "buckets", "blobs", "tokens", "types", "once"])
-
-    dealt = _dealt(docs, shards, text, key).repartition(shards, _group(shards)).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(ask, f"grp int, shard int, {_PACKS}").repartition(shards, "shard").mapInArrow(total, f"grp int, shard int, {_PACKS}, tokens long, types long, once long")
+            blocks, asked = zip(*((block, unpack(blob)) for block, blob in held.pop(shard)))
+            known, back = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
+            total = np.bincount(back, weights=np.concatenate([c for _, c in asked]), minlength=len(known)).astype(np.int64)
+            rank = np.empty(len(known), np.int64)
+            rank[np.argsort(-total, kind="stable")] = np.arange(len(known))
+            ids, out, at = 1 + rank * shards + shard, [], 0
+            for k, _ in asked:
+                own = back[at : at + len(k)]
+                at += len(k)
+                out.append(pack(total[own], np.where(total[own] > 0, ids[own], 0)))
+            yield pa.RecordBatch.from_arrays([*_rows([*blocks, TOTAL], [shard] * (len(out) + 1), [*out, None]).columns[:3], *[pa.array([None] * len(out) + [int(x)], pa.int64()) for x in (total.sum(), (total > 0).sum(), (total == 1).sum())]], ["block", "shard", "blob", "tokens", "types", "once"])
+
+    asked = _scanned(docs, text, key).mapInArrow(ask, _ROUND).select("block", "shard", "blob")
+    return asked.repartition(shared.partitions(docs.sparkSession), "shard").mapInArrow(answer, "block long, shard int, blob binary, tokens long, types long, once long")
+
+
+def _homes(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(block, HOME, rows, number of each token's word): what a block needs once it is answered."""
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in _blocks(batches):
+            _, _, at, rows = block.words()
+            yield _rows([number], [HOME], [pack(*rows)], [pack(at)])
+
+    return _scanned(docs, text, key).mapInArrow(home, _ROUND)
+
+
+class Asked:
+    """A block with its words' counts and ids: its known pairs and triples, in the order in which they are asked and answered."""
+
+    def __init__(self, table: pa.Table, shards: int):
+        answers = []
+        for shard, blob, more in zip(*(table[c].to_pylist() for c in ("shard", "blob", "more"))):
+            if shard == HOME:
+                rows, at = unpack(blob), unpack(more)[0]
+            else:
+                answers.append((shard, blob))
+        self.ids, self.present, held, self.n = rows
+        self.held = held.astype(bool)
+        count, word = (np.concatenate(x) for x in zip(*(unpack(blob) for _, blob in sorted(answers))))  # shards are ranges, so their words follow each other
+        # the start symbol is word 0; it stands as often as the end token
+        self.first = np.cumsum(self.n) - self.n
+        last = np.zeros(len(at), bool)
+        last[self.first + self.n - 1] = True
+        start = count[at[last][0]] if len(at) else 0
+        self.count, self.word = np.concatenate([[start], count]), np.concatenate([[0], word])
+        self.w = at + 1
+        begins = np.zeros(len(at), bool)
+        begins[self.first] = True
+        self.v = np.where(begins, 0, np.concatenate([[0], self.w[:-1]]))
+        size = len(self.word)
+        known = self.count[self.w] > 0
+        follows = known & (self.count[self.v] > 0)
+        train = np.repeat(~self.held, self.n)
+        # pairs
+        key = self.v[follows] * size + self.w[follows]
+        pair, at_pair = np.unique(key, return_inverse=True)
+        pair_count = np.bincount(at_pair[train[follows]], minlength=len(pair))
+        self.u_of, self.v_of = np.divmod(pair, size)
+        shard = (shared.mix(shared.mix(self.word[self.u_of].astype(np.uint64)) + self.word[self.v_of].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((self.word[self.v_of], self.word[self.u_of], shard))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.u_of, self.v_of, self.pair_count, self.shard = self.u_of[order], self.v_of[order], pair_count[order], shard[order]
+        self.pair = np.full(len(at), -1)
+        self.pair[follows] = place[at_pair]
+        # triples: a known pair after a known pair of the same row
+        before = np.where(begins, -1, np.concatenate([[-1], self.pair[:-1]]))
+        third = (before >= 0) & known
+        rank = np.empty(size, np.int64)
+        rank[np.argsort(self.word, kind="stable")] = np.arange(size)  # so that followers ascend by id
+        triple, at_triple = np.unique(before[third] * size + rank[self.w[third]], return_inverse=True)
+        self.triple_count = np.bincount(at_triple[train[third]], minlength=len(triple))
+        self.context, follower = np.divmod(triple, size)
+        self.follower = self.word[np.argsort(self.word, kind="stable")][follower]
+        self.triple = np.full(len(at), -1)
+        self.triple[third] = at_triple
+        self.before = before
+
+    def asks(self) -> Iterator[tuple[int, bytes]]:
+        """(shard, what is asked of it)."""
+        n_followers = np.bincount(self.context, minlength=len(self.shard))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.shard)) + 1, [len(self.shard)]]) if len(self.shard) else np.zeros(1, np.int64)
+        triples = np.searchsorted(self.context, cuts)
+        for a, b, x, y in zip(cuts, cuts[1:], triples, triples[1:]):
+            u = self.u_of[a:b]
+            head = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+            parts = [pack(self.word[u[head]], self.count[u[head]], np.diff(np.append(head, b - a))), pack(self.word[self.v_of[a:b]], self.pair_count[a:b], n_followers[a:b]), pack(self.follower[x:y], self.triple_count[x:y])]
+            yield int(self.shard[a]), b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _parts(blob: bytes) -> list[list[np.ndarray]]:
+    out, at = [], 0
+    while at < len(blob):
+        size = int.from_bytes(blob[at : at + 4], "little")
+        out.append(unpack(blob[at + 4 : at + 4 + size]))
+        at += 4 + size
+    return out
+
+
+def _log10(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log10(x)
+
+
+def _share(c: np.ndarray, most: float, lag: float) -> np.ndarray:
+    return most * c / (c + lag)
+
+
+def answered(blobs: list[bytes]) -> list[bytes]:
+    """Builds a shard's trie of all that its blocks counted, and answers each from it: quantised shares of pairs, what pairs leave to the shorter context, and shares of triples."""
+    asked = [_parts(b) for b in blobs]
+    u = [np.repeat(a[0][0], a[0][2]) for a in asked]
+    sizes = [(len(x), len(a[2][0])) for x, a in zip(u, asked)]
+    first, at_first = np.unique(np.concatenate(u), return_inverse=True)
+    first_count = np.zeros(len(first), np.int64)
+    for a in asked:
+        first_count[np.searchsorted(first, a[0][0])] = a[0][1]
+    v = np.concatenate([a[1][0] for a in asked])
+    wide = int(v.max()) + 1
+    pair, at_pair = np.unique(at_first * wide + v, return_inverse=True)
+    sum_of = lambda at, c, n: np.bincount(at, weights=c, minlength=n).astype(np.int64)
+    pair_count = sum_of(at_pair, np.concatenate([a[1][1] for a in asked]), len(pair))
+    parent = at_pair[np.repeat(np.arange(len(at_pair)), np.concatenate([a[1][2] for a in asked]))]
+    w = np.concatenate([a[2][0] for a in asked])
+    broad = int(w.max(initial=0)) + 1
+    triple, at_triple = np.unique(parent * broad + w, return_inverse=True)
+    triple_count = sum_of(at_triple, np.concatenate([a[2][1] for a in asked]), len(triple))
+    # the trie holds what training rows hold
+    some, counted = np.flatnonzero(pair_count), np.flatnonzero(triple_count)
+    c, parent_count = pair_count[some].astype(float), first_count[pair[some] // wide].astype(float)
+    number = np.cumsum(pair_count > 0) - 1
+    below = triple[counted] // broad
+    share = _share(pair_count[below].astype(float), SHARE3, LAG3)
+    trie = Trie(first, pair[some] // wide, pair[some] % wide, _log10(_share(parent_count, SHARE2, LAG2) * c / parent_count), _log10(1 - _share(c, SHARE3, LAG3)), number[below], triple[counted] % broad, _log10(share * triple_count[counted] / pair_count[below]))
+    node, pair_share, pair_left = trie.pair(trie.word(first)[pair // wide], pair % wide)
+    triple_share = trie.triple(node[triple // broad], triple % broad)
+    out, at, to = [], 0, 0
+    for n, m in sizes:
+        mine, own = at_pair[at : at + n], at_triple[to : to + m]
+        at, to = at + n, to + m
+        parts = pack(pair_share[mine], pair_left[mine]), pack(triple_share[own])
+        out.append(b"".join(len(p).to_bytes(4, "little") + p for p in parts))
+    return out
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    shards = shared.partitions(docs.sparkSession)
-    table = shared.materialize(counts(docs, shards, text, key), "ngram-counts")
-    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once")]).first()
-    n, v, once = sums.tokens, sums.types, sums.once
-    none = lambda kind: F.lit(None).cast(kind)
-    model = table.where("grp >= 0").select(F.lit(MODEL).alias("bucket"), "shard", "kinds", "buckets", "blobs", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"), "grp")
-    rows = _dealt(docs, shards, text, key).select("bucket", none("int").alias("shard"), none("array<int>").alias("kinds"), none("array<int>").alias("buckets"), none("array<binary>").alias("blobs"), "doc_id", "held_out", "text", _group(shards).alias("grp"))
-    unknown = (once + 1) / (n + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers: dict[int, list] = {}
-        for bucket, state in _buckets(batches, lambda: _Scoring(answers)):
-            if bucket == MODEL:
-                continue
-            t = state.tokens
-            t.close()
-            state.gather(bucket)
-            words, counts_ = state.totals(0, t.hashes, shards)
-            words, counts_ = words[counts_ > 0], counts_[counts_ > 0]
-            c = _lookup(words, counts_, t.hashes, 0)
-            base = np.log10((c + 1) / (n + 1 * (v + 1)))
-            first = np.cumsum(t.counts) - t.counts
-            got = _model_log10(t, state, words, counts_, n, unknown, shards)
-            columns = [pa.array(t.ids, pa.int64()), pa.array(t.held), pa.array(t.counts.astype(np.int64)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.full(len(t.ids), n)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(got, first))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    both = model.unionByName(rows).repartition(shards, "grp").sortWithinPartitions("bucket").drop("grp")
-    return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _share(c: np.ndarray) -> np.ndarray:
-    return SHARE * c / (c + 2.0)
-
-
-def _model_log10(t: Tokens, state: _Scoring, words: np.ndarray, counts_: np.ndarray, n: int, unknown: float, shards: int) -> np.ndarray:
-    """log10 p of each token, from a trie of the bucket's n-grams."""
-    starts = np.uint64(START)
-    codes, at = np.unique(np.append(words, starts) >> _HALF, return_index=True)
-    # words of a bucket that share their 32 bits are one word to the trie; the start symbol's count is the end token's
-    c = np.append(counts_, _lookup(words, counts_, np.array([END]), 0))[at].astype(np.float64)
-    own, total = state.totals(1, t.pairs, shards)
-    own, total = own[total > 0], total[total > 0]
-    context = np.searchsorted(codes, own >> _HALF)
-    follower = np.searchsorted(codes, own & _LOW)
-    with np.errstate(divide="ignore"):
-        uni = np.log10(np.maximum(c, 1e-9) / max(n, 1) * (1 - unknown))
-        bi = np.log10(np.minimum(1.0, _share(c[context]) * total / c[context]))
-    trie = Trie(codes.astype(np.int64), uni, context, follower, bi)
-    try:
-        pair, back = np.unique(t.pairs, return_inverse=True)
-        v, w = trie.word((pair >> _HALF).astype(np.int64)), trie.word((pair & _LOW).astype(np.int64))
-        seen = np.append(c, 0.0)[v]  # an unknown context backs off wholly
-        p = 10.0 ** trie.bigram(v, w) + (1 - _share(seen)) * 10.0 ** trie.unigram(w, float(np.log10(unknown)))
-        return np.log10(p)[back]
-    finally:
-        trie.close()
+    partitions = shared.partitions(docs.sparkSession)
+    shards = SHARDS * partitions
+    words = shared.materialize(word_counts(docs, shards, text, key), "word-counts")
+    sums = words.where(F.col("block") == TOTAL).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once")]).first()
+    n, types, unknown = sums.tokens, sums.types, (sums.once + 1) / (sums.tokens + 1)
+    # both uses of the blocks share one exchange
+    blocks = _homes(docs, text, key).unionByName(words.where(F.col("block") != TOTAL).select("block", "shard", "blob", F.lit(None).cast("binary").alias("more"))).groupBy("block")
+
+    def ask(table: pa.Table) -> pa.Table:
+        number = table["block"][0].as_py()
+        asks = list(Asked(table, shards).asks())
+        return pa.Table.from_batches([_rows([number] * len(asks), [s for s, _ in asks], [b for _, b in asks])]).select(["block", "shard", "blob"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for block, shard, blob in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(shard, []).append((block, blob))
+        for shard in sorted(held):
+            numbers, blobs = zip(*held.pop(shard))
+            yield _rows(list(numbers), [shard] * len(numbers), answered(list(blobs))).select(["block", "shard", "blob"])
+
+    def finish(own: pa.Table, got: pa.Table) -> pa.Table:
+        a = Asked(own, shards)
+        parts = [_parts(blob) for _, blob in sorted(zip(got["shard"].to_pylist(), got["blob"].to_pylist()))]
+        pair_share, pair_left, triple_share = (np.concatenate([x[k][j] for x in parts] or [np.zeros(0, np.int64)]) for k, j in ((0, 0), (0, 1), (1, 0)))
+        prob = lambda q, at, default: np.where(at >= 0, np.append(10.0 ** restore(q), default)[at], default)
+        count = a.count.astype(float)
+        c = count[a.w]
+        one = np.where(c > 0, (1 - unknown) * c / max(n, 1), unknown)
+        two = prob(pair_share, a.pair, 0.0) + (1 - _share(count, SHARE2, LAG2))[a.v] * one
+        # a context that was never seen leaves all to the shorter one
+        left = np.where(pair_left == NONE, 0, pair_left)
+        p = prob(triple_share, a.triple, 0.0) + prob(left, a.before, 1.0) * two
+        base = np.log10((c + 1) / (n + 1 * (types + 1)))
+        add = lambda x: np.add.reduceat(x, a.first)
+        columns = [pa.array(a.ids, mask=a.present == 0), pa.array(a.held), pa.array(a.n), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(a.n), n, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))]
+        return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    asked = blocks.applyInArrow(ask, "block long, shard int, blob binary").repartition(partitions, "shard")
+    answers = asked.mapInArrow(answer, "block long, shard int, blob binary")
+    return blocks.cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(shared.documents(spark, sf_dir))
-

@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from sparkassay.llm import decontaminate, jaccard_join, language_id, line_dedup, lm_score, quality, sentencepiece_codec, shards, shared, token_count, toxicity
+from sparkassay.llm import decontaminate, jaccard_join, language_id, line_dedup, lm_score, quality, queries, sentencepiece_codec, shards, shared, token_count, toxicity
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -120,11 +120,13 @@ def test_lines_that_a_polynomial_hash_confuses():
     assert quality.duplicate_lines(buf, offs).tolist() == [1]
 
 
-def test_lines_query_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    q = line_dedup.query(spark, SF)
-    want = c.execute(line_dedup.ORACLE_SQL).fetchdf()[q.columns]
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    q = queries.queries()[name](spark, SF)
+    want = c.execute(queries.oracle_sql()[name]).fetchdf()[q.columns]
     assert sorted(map(tuple, q.toPandas().values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
@@ -220,27 +222,48 @@ def test_jaccard_join_posts_a_set_after_a_row_without_id(spark):
     assert got == Counter([(None, 56, None)] * 40 + [(k, 56, k - k % 2) for k in range(80)])
 
 
-def test_language_model(spark):
-    docs = shared.documents(spark, SF)
-    got = {r.doc_id: r for r in lm_score.query(spark, SF).collect()}
-    texts = {d.doc_id: [*WORD.findall(lower(d.text or "")), "\n"] for d in docs.collect()}
-    c, pairs = Counter(), Counter()
-    for k, w in texts.items():
-        if zlib.crc32(str(k).encode()) % 7 != 2:
-            c.update(w)
-            pairs.update(zip(["\r", *w], w))
+def brute_language_model(texts):
+    """(tokens, known tokens, N, base score, score) of each (id, text)."""
+    tokens = [[*WORD.findall(lower(t or "")), "\n"] for _, t in texts]
+    train = [w for (k, _), w in zip(texts, tokens) if k is None or zlib.crc32(str(k).encode()) % 7 != 2]
+    c, pairs, triples = (Counter(x for w in train for x in grams(["\r", *w])) for grams in (lambda w: w[1:], lambda w: zip(w, w[1:]), lambda w: zip(w, w[1:], w[2:])))
     n, v = sum(c.values()), len(c)
     unknown = (sum(x == 1 for x in c.values()) + 1) / (n + 1)
-    start = {**c, "\r": c["\n"]}
-    for k, w in texts.items():
-        r, s = got[k], 0.0
-        for a, b in zip(["\r", *w], w):
-            ca = start.get(a, 0)
-            share = lm_score.SHARE * ca / (ca + 2)
-            s += math.log10((share * pairs[a, b] / ca if ca else 0) + (1 - share) * ((1 - unknown) * c[b] / n if c[b] else unknown))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert abs(r.score - s) < 0.002 * len(w)
+    c["\r"] = len(train)
+    share = lambda x, most, lag: most * x / (x + lag)
+    for w in tokens:
+        s, line = 0.0, ["\r", *w]
+        for k, x in enumerate(w):
+            p = (1 - unknown) * c[x] / n if c[x] else unknown
+            if seen := c[line[k]]:
+                s2 = share(seen, lm_score.SHARE2, lm_score.LAG2)
+                p = s2 * pairs[line[k], x] / seen + (1 - s2) * p
+            if k and (seen := pairs[line[k - 1], line[k]]):
+                s3 = share(seen, lm_score.SHARE3, lm_score.LAG3)
+                p = s3 * triples[line[k - 1], line[k], x] / seen + (1 - s3) * p
+            s += math.log10(p)
+        yield len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), s
+
+
+@pytest.mark.parametrize("block", [300, 1 << 20])
+def test_language_model(spark, block, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK", block)
+    docs = shared.documents(spark, SF).select("doc_id", "text")
+    more = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, None), (3, ""), (5, "a b d a b c"), (9, "never seen so far " * 40)], "doc_id long, text string")
+    docs = shared.materialize(docs.unionByName(more), "documents")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    got = lm_score.score(docs).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+    want = sorted(((k if k is not None else -1), *x) for (k, _), x in zip(texts, brute_language_model(texts)))
+    got = sorted(((r[0] if r[0] is not None else -1), *r[1:]) for r in got)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:4] == w[:4]
+        assert g[4] == pytest.approx(w[4]) and abs(g[5] - w[5]) < 0.0005 * g[1] + 1e-6
+
+
+def test_language_model_beats_its_base_on_held_out_rows(spark):
+    r = lm_score.query(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert r[0] / r[2] > r[1] / r[2] + 0.3
 
 
 def test_blocks_of_items_agree(spark):

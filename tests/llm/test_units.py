@@ -143,22 +143,37 @@ def test_cuckoo_filter():
 
 def test_elias_fano():
     rng = np.random.default_rng(0)
-    for universe in (10, 1000, 1 << 20, 1 << 40):
-        for k in (0, 1, 5, 1000):
-            v = np.unique(rng.integers(0, universe, k))
-            e = ef_trie.EliasFano(v, universe, lambda a: a)
-            x = rng.integers(0, universe, 500)
-            x[: min(500, len(v))] = v[:500]
-            at, found = e.successor(x)
-            assert (at == np.searchsorted(v, x)).all() and (found == np.isin(x, v)).all()
+    for n, top in ((0, 1), (1, 0), (1, 5), (5, 4), (1000, 3), (1000, 10**6), (3000, 2**50), (50000, 2**33)):
+        values = np.sort(rng.integers(0, top + 1, n))
+        store = ef_trie.Store()
+        e = ef_trie.EliasFano(values, store)
+        e.open(store.close())
+        assert (e.at(np.arange(n)) == values).all()
+        ask = np.concatenate([rng.integers(0, top + 5, 2000), values, values + 1])
+        at, found = e.successor(ask)
+        assert (at == np.searchsorted(values, ask)).all() and (found == np.isin(ask, values)).all()
 
 
 def test_trie_is_a_memory_map():
-    t = ef_trie.Trie(np.array([3, 9, 11]), np.log10([0.5, 0.25, 0.25]), np.array([0, 2]), np.array([1, 0]), np.log10([0.4, 0.1]))
-    assert isinstance(t.bi, np.memmap)
-    assert t.word(np.array([9, 10])).tolist() == [1, -1]
-    assert 10 ** t.bigram(np.array([0, 0, 2]), np.array([1, 2, 0])) == pytest.approx([0.4, 0, 0.1], abs=1e-3)
-    t.close()
+    rng = np.random.default_rng(2)
+    words = np.unique(rng.integers(0, 5000, 300))
+    pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, len(words), 4000), rng.integers(1, 900, 4000))})
+    triples = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, len(pairs), 9000), rng.integers(1, 900, 9000))})
+    column = lambda rows, k: np.array([r[k] for r in rows])
+    shares = [-rng.random(len(x)) * 4 for x in (pairs, pairs, triples)]
+    t = ef_trie.Trie(words, column(pairs, 0), column(pairs, 1), shares[0], shares[1], column(triples, 0), column(triples, 1), shares[2])
+    assert isinstance(t.store.map, ef_trie.mmap.mmap) and (t.word(words) == np.arange(len(words))).all() and (t.word(words[:1] - 1) == -1).all()
+    at, share, left = t.pair(column(pairs, 0), column(pairs, 1))
+    assert (at == np.arange(len(pairs))).all()
+    assert np.abs(ef_trie.restore(share) - shares[0]).max() < 1 / ef_trie.STEPS and np.abs(ef_trie.restore(left) - shares[1]).max() < 1 / ef_trie.STEPS
+    ask = rng.integers(0, len(words), 3000), rng.integers(1, 900, 3000)
+    number = {p: k for k, p in enumerate(pairs)}
+    at, share, _ = t.pair(*ask)
+    assert at.tolist() == [number.get((int(a), int(b)), -1) for a, b in zip(*ask)] and ((share == ef_trie.NONE) == (at < 0)).all()
+    ask = np.concatenate([rng.integers(-1, len(pairs), 3000), column(triples, 0)]), np.concatenate([rng.integers(1, 900, 3000), column(triples, 1)])
+    have = dict(zip(triples, shares[2]))
+    got = ef_trie.restore(t.triple(*ask))
+    assert all(abs(g - have[k]) < 1 / ef_trie.STEPS if (k := (int(a), int(b))) in have else g == -np.inf for g, a, b in zip(got, *ask))
 
 
 def test_contract():

@@ -13,6 +13,8 @@ from .slicing import SLICE, with_slices
 #: Features aggregated together; more would outgrow generated code.
 GROUP = 60
 WEIGHT = "__weight"
+#: Weighted means of a slice by path, beside its rows.
+MEANS = "__means"
 
 
 def number(value: Column, f: Feature) -> Column:
@@ -106,7 +108,8 @@ def exploded(df: DataFrame, f: Feature) -> tuple[DataFrame, Column]:
     """Rows with one leaf value each, and that value."""
     if f.scalar:
         return df, f.read
-    return df.select(SLICE, WEIGHT, F.explode(f.values()).alias("__value")), F.col("__value")
+    kept = [c for c in (SLICE, WEIGHT, MEANS) if c in df.columns]
+    return df.select(*kept, F.explode(f.values()).alias("__value")), F.col("__value")
 
 
 def _by_shape(df: DataFrame, fs: list[Feature], aggs_of) -> DataFrame | None:
@@ -133,21 +136,40 @@ def numeric_stats(df: DataFrame, weighted: bool = False) -> DataFrame | None:
         out = {"mean": F.avg(x), "sd": F.stddev_pop(finite), "num_zeros": F.count_if(x == 0), "num_nan": F.count_if(F.isnan(raw)) if f.type == FLOAT else F.lit(0).cast("long"), "pos_inf": F.count_if(x == inf), "neg_inf": F.count_if(x == -inf), "min": F.min(x), "max": F.max(x), "finite_min": F.min(finite), "finite_max": F.max(finite), "values": F.count(x)}
         if weighted:
             w = F.when(x.isNotNull(), F.col(WEIGHT))
-            out |= {"sw": F.sum(w), "swx": F.sum(w * x), "swxx": F.sum(w * x * x)}
+            out |= {"sw": F.sum(w), "swdd": F.sum(w * F.pow(x - F.element_at(MEANS, F.lit(f.path)), F.lit(2)))}
         return out
 
+    def sums(f: Feature, value: Column) -> dict[str, Column]:
+        x = number(value, f)
+        w = F.when(x.isNotNull(), F.col(WEIGHT))
+        return {"mean": F.sum(w * x) / F.nullif(F.sum(w), F.lit(0.0))}
+
     fs = [f for f in features(df.schema) if f.type in (INT, FLOAT) and f.steps[0] not in (SLICE, WEIGHT)]
+    if weighted and fs:  # deviations from the mean, as squares of large values would cancel out; a row for each slice is joined
+        means = _by_shape(df, fs, sums).groupBy(SLICE).agg(F.map_from_entries(F.collect_list(F.struct("path", "mean"))).alias(MEANS))
+        df = df.join(F.broadcast(means), SLICE)
     got = _by_shape(df, fs, aggs)
     if got is None:
         return None
     any_inf = (F.col("pos_inf") + F.col("neg_inf")) > 0
     out = [SLICE, "path", F.col("mean"), F.when(any_inf, F.lit(0.0)).otherwise(F.col("sd")).alias("std_dev"), "num_zeros", "num_nan", "pos_inf", "neg_inf", "min", "max", "finite_min", "finite_max"]
     if weighted:
-        mean = F.col("swx") / F.col("sw")
-        out += [F.when(F.col("sw") != 0, mean).alias("weighted_mean"), F.when(F.col("sw") != 0, F.sqrt(F.greatest(F.lit(0.0), F.col("swxx") / F.col("sw") - mean * mean))).alias("weighted_std_dev")]
+        every = means.select(SLICE, F.explode(MEANS).alias("path", "weighted_mean"))
+        got = got.join(F.broadcast(every), [SLICE, "path"], "left")
+        out += ["weighted_mean", F.when(F.col("sw") != 0, F.sqrt(F.col("swdd") / F.col("sw"))).alias("weighted_std_dev")]
     return got.where("values > 0 OR num_nan > 0").select(*out)
 
 
+def covariances(df: DataFrame, paths: list[str]) -> DataFrame:
+    """(slice, path_x, path_y, count, covariance): the sample covariance matrix of single-valued numeric features, over rows that have both."""
+    fs = {f.path: f for f in features(df.schema)}
+    pairs = [(a, b) for i, a in enumerate(paths) for b in paths[i:]]
+    x = lambda p: number(fs[p].read, fs[p])
+    wide = df.groupBy(SLICE).agg(*[c for k, (a, b) in enumerate(pairs) for c in (F.covar_samp(x(a), x(b)).alias(f"v{k}"), F.count_if(x(a).isNotNull() & x(b).isNotNull()).alias(f"n{k}"))])
+    cells = [F.struct(F.lit(a).alias("path_x"), F.lit(b).alias("path_y"), F.col(f"n{k}").alias("count"), F.col(f"v{k}").alias("covariance")) for k, (a, b) in enumerate(pairs)]
+    return wide.select(SLICE, F.inline(F.array(*cells)))
+
+
 def string_stats(df: DataFrame, categorical: list[str] | None = None) -> DataFrame | None:
     """(slice, path, avg_length in bytes, invalid_utf8_count, min/max/avg_num_bytes); features listed as categorical count the length of their text."""
     chosen = set(categorical or [])

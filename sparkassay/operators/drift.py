@@ -29,6 +29,15 @@ def distances(a: DataFrame, b: DataFrame) -> DataFrame:
     return got.select(SLICE, "path", F.col("top.d").alias("l_infinity"), F.col("top.value").alias("l_infinity_value"), F.col("nad").alias("normalized_abs_difference"), F.least(F.greatest("jsd", F.lit(0.0)), F.lit(1.0)).alias("jensen_shannon"))
 
 
+def count_distances(a: dict[str, float], b: dict[str, float]) -> dict[str, float | str]:
+    """The same of one feature's collected counts, neither empty."""
+    ta, tb = sum(a.values()), sum(b.values())
+    shares = {v: (a.get(v, 0) / ta, b.get(v, 0) / tb) for v in {*a, *b}}
+    worst = max(shares, key=lambda v: (abs(shares[v][0] - shares[v][1]), v))
+    divergence = sum(x * math.log2(2 * x / (x + y)) / 2 for pair in shares.values() for x, y in (pair, pair[::-1]) if x)
+    return {"l_infinity": abs(shares[worst][0] - shares[worst][1]), "l_infinity_value": worst, "normalized_abs_difference": max(abs(a.get(v, 0) - b.get(v, 0)) for v in shares) / (ta + tb), "jensen_shannon": min(1.0, max(0.0, divergence))}
+
+
 Bucket = tuple[float, float, float]
 
 

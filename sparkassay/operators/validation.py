@@ -11,7 +11,7 @@ from typing import Any
 
 from ..functions.paths import parse, serialize
 from ..functions.schema import Comparator, Domain, Feature, Schema
-from .drift import histogram_jsd
+from .drift import count_distances, histogram_jsd
 from .inference import TYPES, create, is_float, is_int, value_count
 
 UNKNOWN, WARNING, ERROR = "UNKNOWN", "WARNING", "ERROR"
@@ -30,14 +30,18 @@ class Reason:
     type: str
     short: str
     long: str
+    severity: str = ERROR
 
 
 @dataclass
 class Anomaly:
     path: str
-    severity: str
     reasons: list[Reason]
 
+    @property
+    def severity(self) -> str:
+        return max((r.severity for r in self.reasons), key=_RANK.__getitem__)
+
     @property
     def type(self) -> str:
         return self.reasons[0].type if len(self.reasons) == 1 else "MULTIPLE_REASONS"
@@ -64,9 +68,9 @@ class Anomalies:
         return [(p, a.severity, r.type, r.short, r.long) for p, a in sorted(self.features.items()) for r in a.reasons] + [("", ERROR, r.type, r.short, r.long) for r in self.dataset]
 
     def without(self, types: set[str]) -> Anomalies:
-        """Reasons of some types taken out, and features with none left."""
-        kept = {p: Anomaly(p, a.severity, [r for r in a.reasons if r.type not in types]) for p, a in self.features.items()}
-        return Anomalies({p: a for p, a in kept.items() if a.reasons}, [r for r in self.dataset if r.type not in types], self.distances, self.data_missing)
+        """Reasons of some types taken out, and features with none left; descriptions and severity are those of what is left."""
+        kept = {p: Anomaly(p, [r for r in a.reasons if r.type not in types]) for p, a in self.features.items()}
+        return Anomalies({p: a for p, a in kept.items() if a.reasons}, [r for r in self.dataset if r.type not in types], self.distances, self.data_missing, self.unneeded)
 
 
 @dataclass
@@ -325,13 +329,10 @@ class _Check:
         out, a, b = [], self.f["values"] or {}, control["values"] or {}
         measures = []
         if a and b:
-            ta, tb = sum(a.values()), sum(b.values())
-            p = {v: (a.get(v, 0) / ta, b.get(v, 0) / tb) for v in sorted({*a, *b})}
-            worst = max(p, key=lambda v: (abs(p[v][0] - p[v][1]), v))
-            measures.append(("infinity_norm", "COMPARATOR_L_INFTY_HIGH", abs(p[worst][0] - p[worst][1]), worst))
-            measures.append(("normalized_abs_difference", "COMPARATOR_NORMALIZED_ABSOLUTE_DIFFERENCE_HIGH", max(abs(a.get(v, 0) - b.get(v, 0)) for v in p) / (ta + tb), None))
-            jsd = sum(x * math.log2(2 * x / (x + y)) / 2 if x else 0 for x, y in p.values()) + sum(y * math.log2(2 * y / (x + y)) / 2 if y else 0 for x, y in p.values())
-            measures.append(("jensen_shannon_divergence", "COMPARATOR_JENSEN_SHANNON_DIVERGENCE_HIGH", min(1.0, max(0.0, jsd)), None))
+            d = count_distances(a, b)
+            measures.append(("infinity_norm", "COMPARATOR_L_INFTY_HIGH", d["l_infinity"], d["l_infinity_value"]))
+            measures.append(("normalized_abs_difference", "COMPARATOR_NORMALIZED_ABSOLUTE_DIFFERENCE_HIGH", d["normalized_abs_difference"], None))
+            measures.append(("jensen_shannon_divergence", "COMPARATOR_JENSEN_SHANNON_DIVERGENCE_HIGH", d["jensen_shannon"], None))
         elif self.f["histograms"].get("STANDARD") and control["histograms"].get("STANDARD"):
             jsd = histogram_jsd(self.f["histograms"]["STANDARD"], control["histograms"]["STANDARD"], self.f["num_nan"], control["num_nan"])
             measures.append(("jensen_shannon_divergence", "COMPARATOR_JENSEN_SHANNON_DIVERGENCE_HIGH", jsd, None))
@@ -369,13 +370,9 @@ def validate(stats: dict[str, Any], schema: Schema, environment: str | None = No
     def put(path: str, reasons: list[Reason], severity: str = ERROR) -> None:
         if not reasons:
             return
-        level = max((o.severity_overrides.get(r.type, severity) for r in reasons), key=_RANK.__getitem__)
-        if path in out.features:
-            a = out.features[path]
-            a.reasons += reasons
-            a.severity = max(a.severity, level, key=_RANK.__getitem__)
-        else:
-            out.features[path] = Anomaly(path, level, reasons)
+        for r in reasons:
+            r.severity = o.severity_overrides.get(r.type, severity)
+        out.features.setdefault(path, Anomaly(path, [])).reasons.extend(reasons)
 
     for path, f in stats["features"].items():
         if path in gone or any(serialize(parse(path)[:k]) in gone for k in range(1, len(parse(path)))):
@@ -495,8 +492,8 @@ def validate_slices(stats: dict[str, dict[str, Any]], schema: Schema, **kw) -> d
 
 # Rules that need a whole dataset.
 GLOBAL_ONLY = {
-    "COMPARATOR_CONTROL_DATA_MISSING", "COMPARATOR_TREATMENT_DATA_MISSING", "COMPARATOR_L_INFTY_HIGH", "COMPARATOR_JENSEN_SHANNON_DIVERGENCE_HIGH", "COMPARATOR_LOW_NUM_EXAMPLES",
-    "COMPARATOR_HIGH_NUM_EXAMPLES", "NO_DATA_IN_SPAN", "DATASET_LOW_NUM_EXAMPLES", "DATASET_HIGH_NUM_EXAMPLES", "FEATURE_TYPE_LOW_UNIQUE", "FEATURE_TYPE_HIGH_UNIQUE", "FEATURE_TYPE_NO_UNIQUE", "COMPARATOR_NORMALIZED_ABSOLUTE_DIFFERENCE_HIGH",
+    "FEATURE_TYPE_LOW_FRACTION_PRESENT", "FEATURE_TYPE_LOW_NUMBER_PRESENT", "FEATURE_TYPE_NOT_PRESENT", "SCHEMA_TRAINING_SERVING_SKEW", "COMPARATOR_CONTROL_DATA_MISSING", "COMPARATOR_TREATMENT_DATA_MISSING",
+    "COMPARATOR_L_INFTY_HIGH", "COMPARATOR_JENSEN_SHANNON_DIVERGENCE_HIGH", "COMPARATOR_LOW_NUM_EXAMPLES", "COMPARATOR_HIGH_NUM_EXAMPLES", "NO_DATA_IN_SPAN", "DATASET_LOW_NUM_EXAMPLES", "DATASET_HIGH_NUM_EXAMPLES",
 }
 
 

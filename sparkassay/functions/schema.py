@@ -7,8 +7,10 @@ import json
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from typing import Any, get_type_hints
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
+from . import files
 from .paths import parse
 
 # Stages of a feature's life that take it out of validation.
@@ -191,14 +193,13 @@ class Schema:
     def from_json(text: str) -> Schema:
         return _build(Schema, json.loads(text))
 
-    def write(self, path: str) -> None:
-        with open(path, "w") as f:
-            f.write(self.to_json())
+    def write(self, spark: SparkSession, path: str) -> None:
+        """One JSON file on any file system that Spark reads."""
+        files.write(spark, path, self.to_json().encode())
 
     @staticmethod
-    def load(path: str) -> Schema:
-        with open(path) as f:
-            return Schema.from_json(f.read())
+    def load(spark: SparkSession, path: str) -> Schema:
+        return Schema.from_json(files.read(spark, path).decode())
 
 
 def dummy_schema(paths: list[str]) -> Schema:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 from itertools import combinations
 
@@ -177,14 +178,45 @@ def _neighbour_distance(points: np.ndarray, k: int) -> np.ndarray:
 
 def _within(points: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """How many points, itself included, lie nearer than each point's radius; the radius shrinks a little, so that rounding never takes in its end."""
-    v, r = np.sort(points), radius * (1 - 1e-9)
-    return np.searchsorted(v, points + r, "right") - np.searchsorted(v, points - r, "left")
+    r = radius * (1 - 1e-9)
+    if points.shape[1] == 1:
+        v = np.sort(points[:, 0])
+        return np.searchsorted(v, points[:, 0] + r, "right") - np.searchsorted(v, points[:, 0] - r, "left")
+    out = np.empty(len(points), np.int64)
+    for at in range(0, len(points), 64):
+        out[at : at + 64] = (np.abs(points[at : at + 64, None] - points[None]).max(2) <= r[at : at + 64, None]).sum(1)
+    return out
+
+
+def encode_categories(values: list[list], length: int) -> np.ndarray:
+    """Lists of categories as counts of the ``length`` - 1 most frequent ones (of equal counts the smaller first) and, in the last place, of all others."""
+    every, counts = np.unique([v for row in values for v in row], return_counts=True)
+    size = min(length, len(every))
+    order = np.lexsort((every, -counts))[: length - 1]
+    place = {every[k]: i for i, k in enumerate(order)}
+    out = np.zeros((len(values), size))
+    for r, row in enumerate(values):
+        for v in row:
+            out[r, place.get(v, size - 1)] += 1
+    return out
+
+
+def encode_numbers(values: list[list[float]], length: int) -> np.ndarray:
+    """Lists of numbers as a histogram each, of ``length`` - 1 bins of equal width over all values and one for the largest."""
+    flat = np.array([v for row in values for v in row], float)
+    ends = np.histogram_bin_edges(flat, bins=length - 1)
+    return np.stack([np.bincount(np.digitize(row, ends) - 1, minlength=length)[:length] for row in values]).astype(float)
+
+
+def column_partition(name: str, partitions: int) -> int:
+    """The part of the columns that a feature belongs to, by its name."""
+    return zlib.crc32(name.encode()) % partitions
 
 
 def knn_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discrete: bool, k: int = 3, seed: int = 0) -> float:
-    """Mutual information in bits of two samples: by counts if both are discrete, after Ross if one is, after Kraskov, Stoegbauer and Grassberger if none is."""
+    """Mutual information in bits of two samples: by counts if both are discrete, after Ross if one is, after Kraskov, Stoegbauer and Grassberger if none is. Continuous ones may have several columns."""
     n = len(x)
-    if n < 2 or len(np.unique(x)) < 2 or len(np.unique(y)) < 2:
+    if n < 2 or len(np.unique(x, axis=0 if x.ndim > 1 else None)) < 2 or len(np.unique(y, axis=0 if y.ndim > 1 else None)) < 2:
         return 0.0
     if x_discrete and y_discrete:
         _, a = np.unique(x, return_inverse=True)
@@ -192,7 +224,7 @@ def knn_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discrete:
         h = lambda i: -sum(p * np.log2(p) for p in np.bincount(i)[np.bincount(i) > 0] / n)
         return max(0.0, h(a) + h(b) - h(np.unique(a * (b.max() + 1) + b, return_inverse=True)[1]))
     rng = np.random.default_rng(seed)
-    jitter = lambda v: (v := np.asarray(v, float)) + rng.normal(0, 1e-10 * (np.std(v) + 1e-12), n)
+    jitter = lambda v: (v := np.asarray(v, float).reshape(n, -1)) + rng.normal(0, 1e-10 * (np.std(v) + 1e-12), v.shape)
     if x_discrete or y_discrete:
         if y_discrete:
             x, y = y, x
@@ -200,7 +232,7 @@ def knn_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discrete:
         radius, own = np.zeros(n), np.bincount(label)[label]
         for c in np.flatnonzero(np.bincount(label) > 1):
             at = np.flatnonzero(label == c)
-            radius[at] = _neighbour_distance(y[at, None], min(k, len(at) - 1))
+            radius[at] = _neighbour_distance(y[at], min(k, len(at) - 1))
         ok = own > 1
         if not ok.any():
             return 0.0
@@ -208,41 +240,65 @@ def knn_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discrete:
         kk = np.minimum(k, own[ok] - 1)
         return max(0.0, float(digamma(np.array([ok.sum()]))[0] + digamma(kk).mean() - digamma(own[ok]).mean() - digamma(np.maximum(m, 1)).mean()) / np.log(2))
     x, y = jitter(x), jitter(y)
-    radius = _neighbour_distance(np.stack([x, y], 1), k)
+    radius = _neighbour_distance(np.concatenate([x, y], 1), k)
     nx, ny = _within(x, radius), _within(y, radius)
     return max(0.0, float(digamma(np.array([k]))[0] + digamma(np.array([n]))[0] - digamma(np.maximum(nx, 1)).mean() - digamma(np.maximum(ny, 1)).mean()) / np.log(2))
 
 
-def adjusted_information(df: DataFrame, label: str, columns: list[str], partitions: int = 1, cap: int = 5000, seed: int = 0, normalize: bool = False, k: int = 3) -> DataFrame:
+def adjusted_information(df: DataFrame, label: str, columns: list[str], partitions: int = 1, cap: int = 5000, seed: int = 0, normalize: bool = False, k: int = 3, encoding: int = 512, column_partitions: int = 1) -> DataFrame:
     """(slice, path, adjusted_mutual_information): max(MI - MI after a shuffle, 0), the mean over random partitions of at most ``cap`` rows each.
 
-    The cap is the estimator's sample size. Rows are chosen by a hash, and each partition's sample is one pandas group.
+    The cap is the estimator's sample size. Rows are chosen by a hash, and each partition's sample is one pandas group; columns are
+    dealt to ``column_partitions`` groups by name, each with the label. Lists are encoded as vectors of at most ``encoding`` numbers. A
+    column without values, or a category that never repeats, tells nothing.
     """
     fs = {f.path: f for f in _plain(df)}
     chosen = [label, *columns]
-    discrete = {c: fs[c].type == STRING or fs[c].boolean for c in chosen}
-    cells = [(text_of(fs[c].read, fs[c]) if discrete[c] else single(fs[c])).alias(f"v{i}") for i, c in enumerate(chosen)]
+    text = {c: fs[c].type == STRING or fs[c].boolean for c in chosen}
+    lists = {c: not fs[c].scalar for c in chosen}
+    discrete = {c: text[c] and not lists[c] for c in chosen}
+
+    def cell(c: str) -> Column:
+        f = fs[c]
+        if not lists[c]:
+            return text_of(f.read, f) if text[c] else single(f)
+        one = (lambda x: text_of(x, f)) if text[c] else (lambda x: numeric(x, f.leaf).cast("double"))
+        kept = F.filter(F.transform(f.values(), one), lambda x: x.isNotNull() if text[c] else x.isNotNull() & ~F.isnan(x))
+        return F.when(F.size(kept) > 0, kept)
+
+    cells = [cell(c).alias(f"v{i}") for i, c in enumerate(chosen)]
     h = F.xxhash64(F.lit(seed), *[F.col(f"v{i}") for i in range(len(chosen))], F.monotonically_increasing_id())
     rows = df.select(SLICE, *cells).withColumn("h", h).withColumn("part", F.pmod("h", F.lit(partitions)))
     order = Window.partitionBy(SLICE, "part").orderBy("h")
-    sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap)
+    sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).drop("r")
 
     def estimate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
         pdf = pdf.sort_values("h")
 
+        def values(v: pd.Series, c: str) -> np.ndarray:
+            if not lists[c]:
+                return v.to_numpy()
+            return (encode_categories if text[c] else encode_numbers)([list(x) for x in v], encoding)
+
         def ami(i: int, j: int) -> float:
             both = pdf[[f"v{i}", f"v{j}"]].dropna() if i != j else pdf[[f"v{i}"]].dropna()
-            x, y = both[f"v{i}"].to_numpy(), both[f"v{j}"].to_numpy()
+            if not len(both) or any(discrete[chosen[c]] and both[f"v{c}"].is_unique for c in (i, j)):
+                return 0.0
+            x, y = values(both[f"v{i}"], chosen[i]), values(both[f"v{j}"], chosen[j])
             dx, dy = discrete[chosen[i]], discrete[chosen[j]]
             real = knn_information(x, y, dx, dy, k, seed)
             return max(0.0, real - knn_information(rng.permutation(x), y, dx, dy, k, seed))
 
         top = ami(0, 0) if normalize else 1.0
-        return pd.DataFrame([(key[0], c, ami(i, 0) / top if top > 0 else 0.0) for i, c in enumerate(chosen) if i], columns=[SLICE, "path", "ami"])
-
-    got = sample.groupBy(SLICE, "part").applyInPandas(estimate, f"{SLICE} string, path string, ami double")
-    return got.groupBy(SLICE, "path").agg(F.avg("ami").alias("adjusted_mutual_information"))
+        own = [i for i in range(1, len(chosen)) if f"v{i}" in pdf.columns]
+        return pd.DataFrame([(key[0], chosen[i], ami(i, 0) / top if top > 0 else 0.0) for i in own], columns=[SLICE, "path", "ami"])
+
+    groups: dict[int, list[str]] = {}
+    for i, c in enumerate(chosen[1:], 1):
+        groups.setdefault(column_partition(c, column_partitions), []).append(f"v{i}")
+    parts = [sample.select(SLICE, "part", "h", "v0", *own).groupBy(SLICE, "part").applyInPandas(estimate, f"{SLICE} string, path string, ami double") for _, own in sorted(groups.items())]
+    return reduce(DataFrame.unionByName, parts).groupBy(SLICE, "path").agg(F.avg("ami").alias("adjusted_mutual_information"))
 
 
 def partitioned(stats: DataFrame, value: str, least: int = 1) -> DataFrame:

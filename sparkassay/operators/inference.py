@@ -123,9 +123,14 @@ def enum_groups(stats: dict[str, Any], max_size: int) -> dict[str, str]:
     return {p: leader for p, leader in out.items() if sizes[leader] > 1}
 
 
+def without_composites(stats: dict[str, Any]) -> dict[str, Any]:
+    """Collected statistics of one slice without paths that only generators describe."""
+    return stats | {"features": {p: f for p, f in stats["features"].items() if f["type"] is not None}}
+
+
 def infer_schema(stats: dict[str, Any], max_string_domain_size: int = MAX_STRING_DOMAIN, infer_feature_shape: bool = True, group_enums: bool = False, transformations: list | None = None) -> Schema:
     """A schema from collected statistics of one slice."""
-    schema = Schema()
+    schema, stats = Schema(), without_composites(stats)
     groups = enum_groups(stats, max_string_domain_size) if group_enums else {}
     for p, leader in groups.items():
         schema.string_domains[leader] = sorted({*schema.string_domains.get(leader, []), *stats["features"][p]["values"]})

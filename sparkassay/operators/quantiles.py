@@ -45,6 +45,23 @@ def valencies(df: DataFrame) -> DataFrame:
     return df.select(SLICE, F.inline(cells)).where("value IS NOT NULL").groupBy(SLICE, "path", "value").agg(F.count("*").cast("double").alias("w"))
 
 
+def level_valencies(df: DataFrame) -> DataFrame | None:
+    """(slice, path, level, value, w): how often each list length occurs at the levels below the first of nested lists; None without such features."""
+    cells = []
+    for f in features(df.schema):
+        if f.repeated or f.nest < 2 or f.steps[0] in (SLICE, WEIGHT):
+            continue
+        lists = F.filter(f.read, lambda x: x.isNotNull())
+        for level in range(2, f.nest + 1):
+            cells.append(F.struct(F.lit(f.path).alias("path"), F.lit(level).alias("level"), F.transform(lists, F.size).alias("sizes")))
+            if level < f.nest:
+                lists = F.filter(F.flatten(lists), lambda x: x.isNotNull())
+    if not cells:
+        return None
+    rows = df.select(SLICE, F.inline(F.array(*cells))).select(SLICE, "path", "level", F.explode("sizes").alias("size"))
+    return rows.groupBy(SLICE, "path", "level", F.col("size").cast("double").alias("value")).agg(F.count("*").cast("double").alias("w"))
+
+
 def cumulative(values: DataFrame) -> DataFrame:
     """``values`` with ``cum`` (weight up to and with each value) and ``total`` of its slice and path."""
     spark = values.sparkSession
@@ -141,10 +158,10 @@ def standard_histogram(q: list[float], cum: list[float], buckets: int) -> list[t
     return out
 
 
-def histograms(values: DataFrame, quantile_buckets: int = 10, standard_buckets: int = 10, kinds: tuple[str, ...] = ("STANDARD", "QUANTILES")) -> DataFrame:
-    """(slice, path, kind, bucket, low, high, count). The step after the grid handles one feature's boundaries (100 for each bucket) at a time."""
+def histograms(values: DataFrame, quantile_buckets: int = 10, standard_buckets: int = 10, kinds: tuple[str, ...] = ("STANDARD", "QUANTILES"), summed: bool = False) -> DataFrame:
+    """(slice, path, kind, bucket, low, high, count) of values, or of their ``cumulative`` table if ``summed``. The step after the grid handles one feature's boundaries (100 for each bucket) at a time."""
     fine = FINE * quantile_buckets if "STANDARD" in kinds else quantile_buckets
-    points = grid(cumulative(values), fine)
+    points = grid(values if summed else cumulative(values), fine)
     schema = f"{SLICE} string, path string, kind string, bucket int, low double, high double, count double"
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +56,8 @@ class FeatureSkew:
         keys = [f"id{k}" for k in range(len(self.ids))]
         base, test = self._keyed(self.base), self._keyed(self.test)
         if not self.duplicates:
-            one = Window.partitionBy(*keys)  # the join needs this partitioning anyway
-            base, test = (x.withColumn("n", F.count("*").over(one)).where("n = 1").drop("n") for x in (base, test))
+            # counted with partial sums, so that an identifier that many rows share is dropped before it is gathered
+            base, test = (x.join(x.groupBy(*keys).agg(F.count("*").alias("n")).where("n = 1").select(*keys), keys, "left_semi") for x in (base, test))
         return base.join(test, keys).select(*keys, *base.columns[len(keys) :], *test.columns[len(keys) :], *[self._code(k, n).alias(f"code{k}") for k, n in enumerate(self.names)])
 
     def _code(self, k: int, name: str) -> Column:
@@ -114,3 +115,24 @@ class FeatureSkew:
         at = {n: k for k, n in enumerate(self.names)}
         cells = F.array(*[F.struct(F.lit(n).alias("feature_name"), text("b", at[n], self.base_kinds[n]).alias("base"), text("t", at[n], self.test_kinds[n]).alias("test")) for n in features])
         return self.pairs().select(F.inline(cells)).where(f"NOT (base = '{MISSING}' AND test = '{MISSING}')").groupBy("feature_name", "base", "test").agg(F.count("*").alias("count"))
+
+    def write(self, path: str, pairs: int | None = None, confusion: list[str] | None = None) -> None:
+        """Each result as Parquet below ``path``: features, match_stats, and if asked for a sample of that many skewed ``pairs`` and the ``confusion`` of features."""
+        path = path.rstrip("/")
+        self.results().write.parquet(f"{path}/features")
+        self.match_stats().write.parquet(f"{path}/match_stats")
+        if pairs is not None:
+            self.skewed_pairs(pairs).write.parquet(f"{path}/pairs")
+        if confusion:
+            self.confusion(confusion).write.parquet(f"{path}/confusion")
+
+
+KINDS = ("features", "match_stats", "pairs", "confusion")
+
+
+def skew_results(spark: SparkSession, path: str, kind: str) -> Iterator[dict]:
+    """Records of one kind that :meth:`FeatureSkew.write` left below ``path``, one partition on the driver at a time."""
+    if kind not in KINDS:
+        raise ValueError(f"kind is one of {', '.join(KINDS)}")
+    for row in spark.read.parquet(f"{path.rstrip('/')}/{kind}").toLocalIterator():
+        yield row.asDict(recursive=True)

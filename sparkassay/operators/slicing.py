@@ -74,6 +74,11 @@ def with_slices(df: DataFrame, slicers: list | None = None) -> DataFrame:
     return df.withColumn(SLICE, F.explode(keys(df, slicers)))
 
 
+def slice_count(rows: DataFrame) -> DataFrame:
+    """(slices): how many slices ``prepared`` rows fall into."""
+    return rows.select(SLICE).distinct().agg(F.count("*").alias("slices"))
+
+
 def from_config(specs: list[dict]) -> list[FeatureSlicer]:
     """Slicers from specs with ``feature_keys`` and ``feature_values``; the empty spec is the whole table, always there."""
     out = []

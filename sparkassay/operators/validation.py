@@ -5,14 +5,18 @@ Each rule states how the schema would have to change to accept the data; with ``
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
+from pyspark.sql import SparkSession
+
+from ..functions import files
 from ..functions.paths import parse, serialize
 from ..functions.schema import Comparator, Domain, Feature, Schema
 from .drift import count_distances, histogram_jsd
-from .inference import TYPES, create, is_float, is_int, value_count
+from .inference import TYPES, create, is_float, is_int, value_count, without_composites
 
 UNKNOWN, WARNING, ERROR = "UNKNOWN", "WARNING", "ERROR"
 _RANK = {UNKNOWN: 0, WARNING: 1, ERROR: 2}
@@ -73,6 +77,24 @@ class Anomalies:
         return Anomalies({p: a for p, a in kept.items() if a.reasons}, [r for r in self.dataset if r.type not in types], self.distances, self.data_missing, self.unneeded)
 
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> Anomalies:
+        got = json.loads(text)
+        reasons = lambda rows: [Reason(**r) for r in rows]
+        return Anomalies({p: Anomaly(p, reasons(a["reasons"])) for p, a in got["features"].items()}, reasons(got["dataset"]), got["distances"], got["data_missing"], got["unneeded"])
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        """One JSON file on any file system that Spark reads."""
+        files.write(spark, path, self.to_json().encode())
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Anomalies:
+        return Anomalies.from_json(files.read(spark, path).decode())
+
+
 @dataclass
 class Options:
     features_needed: set[str] | None = None
@@ -357,7 +379,7 @@ def _use_weights(stats: dict[str, Any]) -> bool:
 
 def validate(stats: dict[str, Any], schema: Schema, environment: str | None = None, previous: dict[str, Any] | None = None, serving: dict[str, Any] | None = None, version: dict[str, Any] | None = None, options: Options | None = None, update: bool = False, max_string_domain_size: int = 100) -> Anomalies:
     """Anomalies of one slice's collected statistics. With ``update`` the given schema is changed so that they vanish."""
-    o = options or Options()
+    o, stats = options or Options(), without_composites(stats)
     if environment is not None and environment not in schema.default_environment and not any(environment in f.in_environment or environment in f.not_in_environment for f in schema.features.values()) and schema.default_environment:
         raise ValueError(f"environment {environment} is not in the schema")
     out = Anomalies()

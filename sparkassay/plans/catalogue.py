@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.schema import Comparator, DatasetConstraints, Domain, Feature, Presence, Schema, ValueCount
-from ..operators import association, basic, display, drift, inference, quantiles, rows, semantic, validation, values
+from ..functions.schema import Comparator, DatasetConstraints, Domain, Feature, Presence, Schema, SparseFeature, ValueCount, WeightedFeature
+from ..operators import association, basic, display, drift, inference, quantiles, rows, semantic, slicing, validation, values
 from ..operators.skew import FeatureSkew
 from ..operators.slicing import SLICE, FeatureSlicer
 from ..streaming import profile
+from . import generators
 from .statistics import StatsOptions, generate_statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +112,46 @@ def weighted_moments(spark, sf_dir):
     return rounded(got.select("weighted_num_examples", "weighted_mean", "weighted_std_dev", "weighted_tot_num_values"))
 
 
+@query(_union([f"SELECT '{a}' AS path_x, '{b}' AS path_y, count(*) AS count, round(covar_samp({a}, {b}), 4) + 0.0 AS covariance FROM lineitem" for a, b in (("l_quantity", "l_quantity"), ("l_quantity", "l_extendedprice"), ("l_extendedprice", "l_extendedprice"))]))
+def sample_covariance(spark, sf_dir):
+    p = basic.prepared(table(spark, sf_dir, "lineitem"), columns=["l_quantity", "l_extendedprice"])
+    return rounded(basic.covariances(p, ["l_quantity", "l_extendedprice"]).drop(SLICE), 4).withColumn("covariance", F.col("covariance") + 0.0)
+
+
+@query("SELECT 'l_discount' AS path, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS weighted_mean FROM lineitem UNION ALL SELECT 'l_tax', round(sum(l_linenumber * l_tax) / sum(l_linenumber), 6) FROM lineitem")
+def weights_by_feature(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber", "l_discount", "l_tax")
+    got = generate_statistics(line, StatsOptions(weight="l_quantity", feature_weights={"l_tax": "l_linenumber"})).frame("numeric")
+    return rounded(got.where("path IN ('l_discount', 'l_tax')").select("path", "weighted_mean"))
+
+
+@query("WITH c AS (SELECT conv_id, list(string_split(text, ' ') ORDER BY turn) AS w FROM conversations GROUP BY conv_id), d AS (SELECT unnest(w) AS x FROM c) SELECT 2 AS level, len(x)::DOUBLE AS value, count(*)::DOUBLE AS w FROM d GROUP BY 2")
+def level_valencies(spark, sf_dir):
+    p = basic.prepared(_conversations(spark, sf_dir).select("words"))
+    return quantiles.level_valencies(p).select("level", "value", "w")
+
+
+@query("SELECT count(DISTINCT l_returnflag) + 1 AS slices FROM lineitem")
+def slice_count(spark, sf_dir):
+    return slicing.slice_count(basic.prepared(table(spark, sf_dir, "lineitem"), slices=[FeatureSlicer({"l_returnflag": None})]))
+
+
+@query("SELECT count(*) AS rows, sum(strlen(text) + strlen(lang) + strlen(source))::BIGINT AS bytes, 1::BIGINT AS slices, 3::BIGINT AS strings, 2::BIGINT AS integers FROM documents")
+def run_counters(spark, sf_dir):
+    got = generate_statistics(table(spark, sf_dir, "documents")).counters()
+    return spark.createDataFrame([(got["rows"], got["bytes"], got["slices"], got["features"]["STRING"], got["features"]["INT"])], "rows long, bytes long, slices long, strings long, integers long")
+
+
+@query("SELECT 'l_quantity' AS path, 'range' AS name, (max(l_quantity) - min(l_quantity))::DOUBLE AS value FROM lineitem UNION ALL SELECT 'l_tax', 'range', round(max(l_tax) - min(l_tax), 6) FROM lineitem UNION ALL SELECT 'l_quantity*l_tax', 'mean_product', round(avg(l_quantity * l_tax), 6) FROM lineitem UNION ALL SELECT 'l_quantity*l_tax', 'mean_quotient', round(sum(l_tax) / sum(l_quantity), 6) FROM lineitem")
+def custom_generators(spark, sf_dir):
+    p = basic.prepared(table(spark, sf_dir, "lineitem"), columns=["l_quantity", "l_tax"])
+    spread = generators.FeatureGenerator(lambda f, v: {"range": F.max(v) - F.min(v)})
+    n, q, t = generators.Part("n", F.count("*")), generators.Part("q", F.sum("l_quantity")), generators.Part("t", F.sum("l_tax"))
+    product = generators.Composite([n, generators.Part("qt", F.sum(F.col("l_quantity") * F.col("l_tax")))], lambda c: {("l_quantity*l_tax", "mean_product"): c["qt"] / c["n"]})
+    quotient = generators.Composite([n, q, t], lambda c: {("l_quantity*l_tax", "mean_quotient"): c["t"] / c["q"]})
+    return rounded(spread(p).unionByName(generators.composed([product, quotient])(p)).drop(SLICE))
+
+
 @query("SELECT count(*) FILTER (v = -1) AS int_minus_one, count(*) FILTER (strlen(s) = 0) AS str_empty FROM (SELECT CASE WHEN user_id % 7 = 0 THEN -1 ELSE user_id END AS v, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS s FROM events)")
 def empty_value_counter(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 7 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("v"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("event_type")).alias("s"))
@@ -140,21 +181,42 @@ def quantiles_histogram(spark, sf_dir):
     return rounded(quantiles.histograms(line, kinds=("QUANTILES",)).select("bucket", "low", "high", "count"))
 
 
-@query()
+_EDGES = "WITH m AS (SELECT min({c}) AS lo, max({c}) AS hi, {n}::DOUBLE AS n FROM lineitem) SELECT '{c}' AS path, k::INTEGER AS bucket, round(lo + k * (hi - lo) / 10, 6) AS low, round(CASE WHEN k = 9 THEN hi ELSE lo + (k + 1) * (hi - lo) / 10 END, 6) AS high, true AS near, round(n, 3) AS total FROM m, range(0, 10) t(k)"
+
+
+def _near(got: DataFrame, rows: DataFrame, weight: Column) -> DataFrame:
+    """Equal-width buckets beside their exact weights: a bucket's count is interpolated in a grid of thousandths, so it may be off by what a few cells of the grid hold, and by what stands on its edges."""
+    # weights below and up to an edge bracket what an interpolation may say
+    edges = got.join(rows, "path").groupBy("path", "bucket", "low", "high", "count").agg(F.sum(F.when((F.col("v") > F.col("low")) & (F.col("v") < F.col("high")), weight).otherwise(0)).alias("inner"), F.sum(F.when((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")), weight).otherwise(0)).alias("outer"), F.sum(weight).alias("total"))
+    slack = F.col("total") * 0.005
+    near = (F.col("count") >= F.col("inner") - slack) & (F.col("count") <= F.col("outer") + slack)
+    return rounded(edges.select("path", "bucket", "low", "high", near.alias("near"), F.round("total", 3).alias("total")))
+
+
+@query(_union([f"SELECT * FROM ({_EDGES.format(c=c, n='count(*)')})" for c in ("l_extendedprice", "l_discount")]))
 def standard_histogram(spark, sf_dir):
     line = quantiles.numeric_values(basic.prepared(table(spark, sf_dir, "lineitem"), columns=["l_extendedprice", "l_discount"]))
-    return rounded(quantiles.histograms(line, kinds=("STANDARD",)).select("path", "bucket", "low", "high", "count"), 3)
+    got = quantiles.histograms(line, kinds=("STANDARD",)).select("path", "bucket", "low", "high", "count")
+    return _near(got, line.select("path", F.col("value").alias("v"), "w"), F.col("w"))
 
 
-@query()
+@query(_EDGES.format(c="l_discount", n="sum(l_quantity)"))
 def weighted_histogram(spark, sf_dir):
     line = quantiles.numeric_values(basic.prepared(table(spark, sf_dir, "lineitem"), "l_quantity", columns=["l_discount"]), ["l_discount"], True)
-    return rounded(quantiles.histograms(line).select("path", "kind", "bucket", "low", "high", "count"), 3)
+    got = quantiles.histograms(line, kinds=("STANDARD",)).select("path", "bucket", "low", "high", "count")
+    return _near(got, line.select("path", F.col("value").alias("v"), "w"), F.col("w"))
 
 
-@query()
+@query(_union([f"SELECT '{c}' AS path, i::INTEGER AS i, true AS within FROM range(0, 11) t(i)" for c in LINE_NUMBERS]))
 def quantiles_approx(spark, sf_dir):
-    return quantiles.approximate(basic.prepared(table(spark, sf_dir, "lineitem"), columns=LINE_NUMBERS)).select("path", "quantiles")
+    p = basic.prepared(table(spark, sf_dir, "lineitem"), columns=LINE_NUMBERS)
+    marks = quantiles.approximate(p).select("path", F.posexplode("quantiles").alias("i", "q"))
+    exact = quantiles.numeric_values(p)
+    total = exact.groupBy("path").agg(F.sum("w").alias("n"))
+    # the share below and the share up to a mark bracket its rank, to 1 %
+    ranks = exact.join(F.broadcast(marks), "path").groupBy("path", "i").agg(F.sum(F.when(F.col("value") < F.col("q"), F.col("w")).otherwise(0)).alias("below"), F.sum(F.when(F.col("value") <= F.col("q"), F.col("w")).otherwise(0)).alias("upto"))
+    share = F.col("i") / 10
+    return ranks.join(total, "path").select("path", "i", ((F.col("below") / F.col("n") <= share + 0.01) & (F.col("upto") / F.col("n") >= share - 0.01)).alias("within"))
 
 
 # --- values
@@ -183,9 +245,16 @@ def uniques_exact(spark, sf_dir):
     return values.uniques(counts).select("path", "unique")
 
 
-@query()
+_SKETCHED = "SELECT '{c}' AS path, true AS near, (SELECT count(*) FROM (SELECT {c} FROM part GROUP BY 1)) <= 1000 AS few, CASE WHEN (SELECT count(DISTINCT {c}) FROM part) <= 1000 THEN (SELECT max(c) FROM (SELECT count(*) AS c FROM part GROUP BY {c})) END AS most"
+
+
+@query(_union([_SKETCHED.format(c=c) for c in ("p_name", "p_brand", "p_type")]))
 def uniques_and_topk_sketch(spark, sf_dir):
-    return values.sketched(basic.prepared(table(spark, sf_dir, "part"))).select("path", "unique", "top")
+    p = basic.prepared(table(spark, sf_dir, "part"))
+    exact = values.uniques(values.value_counts(p)).select("path", F.col("unique").alias("exact"))
+    got = values.sketched(p).join(exact, "path")
+    few = F.col("exact") <= 1000
+    return got.select("path", (F.abs(F.col("unique") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("near"), few.alias("few"), F.when(few, F.array_max(F.transform("top", lambda x: x["cnt"]))).alias("most"))
 
 
 @query("SELECT l_linenumber::VARCHAR AS value, count(*) AS cnt FROM lineitem GROUP BY 1")
@@ -288,10 +357,13 @@ def entropy(spark, sf_dir):
     return rounded(association.entropy(basic.prepared(table(spark, sf_dir, "events")), ["event_type"]).select("entropy"))
 
 
-@query()
+@query("SELECT 'l_quantity' AS path, abs(corr(l_extendedprice, l_quantity)) > 0.3 AS informs FROM lineitem UNION ALL SELECT 'l_discount', abs(corr(l_extendedprice, l_discount)) > 0.3 FROM lineitem UNION ALL SELECT 'l_returnflag', abs(corr(l_extendedprice, (l_returnflag = 'N')::INTEGER)) > 0.3 FROM lineitem")
 def mi_knn(spark, sf_dir):
-    p = basic.prepared(table(spark, sf_dir, "lineitem"), columns=["l_extendedprice", "l_quantity", "l_returnflag", "l_discount"])
-    return rounded(association.adjusted_information(p, "l_extendedprice", ["l_quantity", "l_returnflag", "l_discount"], partitions=4, cap=1000).select("path", "adjusted_mutual_information"), 3)
+    """All rows, in random partitions of about 1,000, which the estimator takes whole."""
+    line = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_returnflag", "l_discount")
+    p, n = basic.prepared(line), max(1, line.count() // 1000)
+    got = association.adjusted_information(p, "l_extendedprice", ["l_quantity", "l_returnflag", "l_discount"], partitions=n, cap=5000)
+    return got.select("path", (F.col("adjusted_mutual_information") > 0.05).alias("informs"))
 
 
 @query("WITH p AS (SELECT l_orderkey % 10 AS k, avg(l_quantity) AS v FROM lineitem GROUP BY 1) SELECT round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std_dev, count(*) AS num_partitions FROM p")
@@ -394,9 +466,10 @@ def row_anomalies(spark, sf_dir):
     return rows.anomaly_counts(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), _events_schema())
 
 
-@query()
+@query("SELECT 'event_type_ENUM_TYPE_UNEXPECTED_STRING_VALUES' AS reason, least(count(*), 5) AS rows, true AS distinct_rows FROM events WHERE event_type NOT IN ('click', 'view') HAVING count(*) > 0 UNION ALL SELECT 'value_FLOAT_TYPE_BIG_FLOAT', least(count(*), 5), true FROM events WHERE value > 50 HAVING count(*) > 0 UNION ALL SELECT 'value_FLOAT_TYPE_SMALL_FLOAT', least(count(*), 5), true FROM events WHERE value < 0 HAVING count(*) > 0 UNION ALL SELECT 'event_id_SCHEMA_NEW_COLUMN', least(count(*), 5), true FROM events UNION ALL SELECT 'gone_SCHEMA_MISSING_COLUMN', least(count(*), 5), true FROM events")
 def anomaly_samples(spark, sf_dir):
-    return rows.samples(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), _events_schema(), 5).select("reason", "event_id")
+    got = rows.samples(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), _events_schema(), 5)
+    return got.groupBy("reason").agg(F.count("*").alias("rows"), (F.count_distinct("event_id") == F.count("*")).alias("distinct_rows"))
 
 
 @query("SELECT 'slice(l_returnflag_' || l_returnflag || ')::l_quantity' AS feature, 'FLOAT_TYPE_BIG_FLOAT' AS type FROM lineitem GROUP BY l_returnflag HAVING max(l_quantity) > 40 UNION ALL SELECT 'slice(All Examples)::l_quantity', 'FLOAT_TYPE_BIG_FLOAT' FROM lineitem HAVING max(l_quantity) > 40")
@@ -418,12 +491,16 @@ def drift_distances(spark, sf_dir):
     return rounded(drift.distances(old, new).select("l_infinity", "normalized_abs_difference", "jensen_shannon"))
 
 
-@query()
+_PRICES = "m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), h AS (SELECT l_shipdate < TIMESTAMP '1998-07-01 00:00:00' AS old, least(floor((l_extendedprice - lo) * 10 / (hi - lo)), 9) AS k FROM lineitem, m), c AS (SELECT k, count(*) FILTER (old)::DOUBLE AS a, count(*) FILTER (NOT old)::DOUBLE AS b FROM h GROUP BY 1), p AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM c)"
+
+
+@query(f"WITH {_PRICES} SELECT 'l_extendedprice' AS path, 'drift' AS kind, 'jensen_shannon_divergence' AS measure, 0.1::DOUBLE AS threshold, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 > 0.1 AS high FROM p")
 def drift_numeric(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_shipdate")
     a, b = (generate_statistics(line.where(c).drop("l_shipdate")).collect()["All Examples"] for c in ("l_shipdate < TIMESTAMP '1998-07-01 00:00:00'", "l_shipdate >= TIMESTAMP '1998-07-01 00:00:00'"))
-    schema = Schema({"l_extendedprice": Feature("l_extendedprice", "FLOAT", drift_comparator=Comparator(jensen_shannon_divergence=0.01))})
-    return display.distances_frame(spark, validation.validate(b, schema, previous=a))
+    schema = Schema({"l_extendedprice": Feature("l_extendedprice", "FLOAT", drift_comparator=Comparator(jensen_shannon_divergence=0.1))})
+    got = display.distances_frame(spark, validation.validate(b, schema, previous=a))
+    return got.select("path", "kind", "measure", "threshold", (F.col("value") > F.col("threshold")).alias("high"))
 
 
 @query("WITH y AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1) SELECT 'COMPARATOR_LOW_NUM_EXAMPLES' AS type FROM (SELECT (SELECT n FROM y ORDER BY y DESC LIMIT 1) / (SELECT count(*) FROM orders) AS r) WHERE r < 0.9")
@@ -441,6 +518,86 @@ def custom_validation(spark, sf_dir):
     return rows.custom(table(spark, sf_dir, "lineitem"), {"positive": "l_quantity > 0", "few": "l_quantity < 10"}).select("rule", "passed")
 
 
+# --- anomalies by family: each rule has a case that it reports and one that it doesn't
+def _reported(spark, got: validation.Anomalies) -> DataFrame:
+    return spark.createDataFrame([(p, r.type) for p, x in got.features.items() for r in x.reasons] + [("", r.type) for r in got.dataset], "feature string, type string")
+
+
+def _cases(cases: list[tuple[str, str, str]]) -> str:
+    """Rows (feature, type) of the cases whose condition, over ``s``, holds."""
+    return _union([f"SELECT '{f}' AS feature, '{t}' AS type FROM s WHERE {c}" for f, t, c in cases])
+
+
+_ORDERS_NULLED = "o AS (SELECT CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS a, CASE WHEN o_orderkey < 0 THEN 1 END AS b, CASE WHEN o_orderkey % 4 = 0 THEN [1, 2, 3] ELSE [1] END AS list, [[1, 2], [3]] AS nested FROM orders)"
+
+
+@query(f"WITH {_ORDERS_NULLED}, s AS (SELECT count(*) AS n, count(a) AS here, count(b) AS nowhere, min(len(list)) AS least, max(len(list)) AS most, max(len(nested)) AS deep FROM o) " + _cases([("some", "FEATURE_TYPE_LOW_NUMBER_PRESENT", "here < n"), ("some", "FEATURE_TYPE_LOW_FRACTION_PRESENT", "here::DOUBLE / n < 0.9"), ("none", "FEATURE_TYPE_NOT_PRESENT", "nowhere = 0"), ("list", "FEATURE_TYPE_LOW_NUMBER_VALUES", "least < 2"), ("list", "FEATURE_TYPE_HIGH_NUMBER_VALUES", "most > 2"), ("nested", "VALUE_NESTEDNESS_MISMATCH", "deep > 1"), ("shaped", "INVALID_FEATURE_SHAPE", "least <> most")]))
+def anomalies_of_presence(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    lists = F.when(k % 4 == 0, F.array(*[F.lit(x) for x in (1, 2, 3)])).otherwise(F.array(F.lit(1)))
+    df = o.select(F.when(k % 4 != 0, F.col("o_custkey")).alias("some"), F.when(k < 0, F.lit(1)).alias("none"), lists.alias("list"), F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3))).alias("nested"), lists.alias("shaped"))
+    n = o.count()
+    schema = Schema({"some": Feature("some", "INT", Presence(n, 0.9)), "none": Feature("none", "INT", Presence(1)), "list": Feature("list", "INT", value_count=ValueCount(2, 2)), "nested": Feature("nested", "INT", value_count=ValueCount(1, 2)), "shaped": Feature("shaped", "INT", shape=[1])})
+    return _reported(spark, validation.validate(_stats(df), schema))
+
+
+_VALUES_SQL = "s AS (SELECT min(l_linenumber) AS least, max(l_linenumber) AS most, max(l_quantity) AS much, count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linestatus) AS statuses FROM lineitem)"
+
+
+@query(f"WITH {_VALUES_SQL} " + _cases([("small", "INT_TYPE_SMALL_INT", "least < 2"), ("small", "INT_TYPE_BIG_INT", "most > 5"), ("words", "INT_TYPE_NOT_INT_STRING", "flags > 0"), ("texts", "INT_TYPE_INT_STRING", "false"), ("floats", "FLOAT_TYPE_STRING_NOT_FLOAT", "flags > 0"), ("bools", "BOOL_TYPE_BIG_INT", "most > 1"), ("nan", "FLOAT_TYPE_HAS_NAN", "most >= 2"), ("inf", "FLOAT_TYPE_HAS_INF", "most >= 3"), ("flags", "FEATURE_TYPE_LOW_UNIQUE", "flags < 10"), ("statuses", "FEATURE_TYPE_HIGH_UNIQUE", "statuses > 1"), ("wrong", "DOMAIN_INVALID_FOR_TYPE", "true"), ("lost", "INVALID_DOMAIN_SPECIFICATION", "true"), ("untyped", "FEATURE_MISSING_TYPE", "true")]))
+def anomalies_of_values(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    df = line.select(n.alias("small"), F.col("l_returnflag").alias("words"), n.cast("string").alias("texts"), F.col("l_returnflag").alias("floats"), n.alias("bools"), F.when(n == 2, F.lit(float("nan"))).otherwise(n.cast("double")).alias("nan"), F.when(n == 3, F.lit(float("inf"))).otherwise(n.cast("double")).alias("inf"), F.col("l_returnflag").alias("flags"), F.col("l_linestatus").alias("statuses"), n.alias("wrong"), F.col("l_linestatus").alias("lost"), n.alias("untyped"))
+    schema = Schema({"small": Feature("small", "INT", domain=Domain("int", min=2, max=5)), "words": Feature("words", "BYTES", domain=Domain("int")), "texts": Feature("texts", "BYTES", domain=Domain("int")), "floats": Feature("floats", "BYTES", domain=Domain("float")), "bools": Feature("bools", "INT", domain=Domain("bool")), "nan": Feature("nan", "FLOAT", domain=Domain("float", disallow_nan=True)), "inf": Feature("inf", "FLOAT", domain=Domain("float", disallow_inf=True)), "flags": Feature("flags", "BYTES", unique_min=10), "statuses": Feature("statuses", "BYTES", unique_max=1), "wrong": Feature("wrong", "INT", domain=Domain("image")), "lost": Feature("lost", "BYTES", domain_ref="nowhere"), "untyped": Feature("untyped", "")})
+    return _reported(spark, validation.validate(_stats(df), schema))
+
+
+@query(f"WITH {_YEARS}, d AS (SELECT max(abs(ca / ta - cb / tb)) AS l, max(abs(ca - cb) / (ta + tb)) AS a, sum(CASE WHEN ca > 0 THEN ca / ta * log2(2 * ca / ta / (ca / ta + cb / tb)) / 2 ELSE 0 END + CASE WHEN cb > 0 THEN cb / tb * log2(2 * cb / tb / (ca / ta + cb / tb)) / 2 ELSE 0 END) AS j, any_value(ta) AS ta, any_value(tb) AS tb FROM j), s AS (SELECT * FROM d) " + _cases([("l_returnflag", "COMPARATOR_L_INFTY_HIGH", "l > 0.0001"), ("l_returnflag", "COMPARATOR_NORMALIZED_ABSOLUTE_DIFFERENCE_HIGH", "a > 0.1"), ("l_returnflag", "COMPARATOR_JENSEN_SHANNON_DIVERGENCE_HIGH", "j > 0.0000001"), ("new", "COMPARATOR_CONTROL_DATA_MISSING", "true"), ("", "COMPARATOR_LOW_NUM_EXAMPLES", "tb / ta < 0.5"), ("", "COMPARATOR_HIGH_NUM_EXAMPLES", "tb / ta > 0.01"), ("", "DATASET_LOW_NUM_EXAMPLES", "true"), ("", "DATASET_HIGH_NUM_EXAMPLES", "tb > 1")]))
+def anomalies_of_comparison(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    old, new = (line.where(c).select("l_returnflag") for c in ("l_shipdate < TIMESTAMP '1998-07-01 00:00:00'", "l_shipdate >= TIMESTAMP '1998-07-01 00:00:00'"))
+    limits = Comparator(infinity_norm=0.0001, normalized_abs_difference=0.1, jensen_shannon_divergence=0.0000001)
+    schema = Schema({"l_returnflag": Feature("l_returnflag", "BYTES", drift_comparator=limits), "new": Feature("new", "INT", drift_comparator=Comparator(infinity_norm=0.1))}, dataset_constraints=DatasetConstraints(num_examples_drift_min=0.5, num_examples_version_max=0.01, min_examples_count=10**12, max_examples_count=1))
+    before = _stats(old)
+    return _reported(spark, validation.validate(_stats(new.withColumn("new", F.lit(1))), schema, previous=before, version=before))
+
+
+_SPARSE_SQL = "c AS (SELECT conv_id, list(text ORDER BY turn) AS v, CASE WHEN conv_id % 3 = 0 THEN NULL WHEN conv_id % 3 = 1 THEN list(turn ORDER BY turn) ELSE list(turn ORDER BY turn)[2:] END AS i FROM conversations GROUP BY conv_id), s AS (SELECT count(*) FILTER (i IS NULL) AS missing, min(coalesce(len(i), 0) - len(v)) AS low, max(coalesce(len(i), 0) - len(v)) AS high FROM c)"
+
+
+@query(f"WITH {_SPARSE_SQL} " + _cases([("pair", "SPARSE_FEATURE_MISSING_INDEX", "missing > 0"), ("pair", "SPARSE_FEATURE_LENGTH_MISMATCH", "low <> 0 OR high <> 0"), ("v", "SPARSE_FEATURE_NAME_COLLISION", "true"), ("weighed", "WEIGHTED_FEATURE_MISSING_WEIGHT", "missing > 0"), ("weighed", "WEIGHTED_FEATURE_LENGTH_MISMATCH", "low <> 0 OR high <> 0")]))
+def anomalies_of_composites(spark, sf_dir):
+    rows_ = _sparse_rows(spark, sf_dir).select("v", "i")
+    stats = _stats(rows_, sparse_features={"pair": ("v", ["i"])}, weighted_features={"weighed": ("v", "i")})
+    schema = Schema({"v": Feature("v", "BYTES"), "i": Feature("i", "INT")}, sparse_features=[SparseFeature("pair", "v", ["i"]), SparseFeature("v", "v", [])], weighted_features=[WeightedFeature("weighed", "v", "i")])
+    return _reported(spark, validation.validate(stats, schema))
+
+
+@query(f"WITH {_TOKENS}, p AS (SELECT doc_id, count(*) AS n, count(v.token) AS k, sum(length(t.token)) AS c, count(*) FILTER (t.token = 'the') AS the FROM t LEFT JOIN v ON t.token = v.token GROUP BY 1), s AS (SELECT sum(k) / sum(n) AS coverage, sum(c) / sum(n) AS length, count(*) FILTER (the > 0) / count(*) AS share, min(the) AS least, max(the) AS most FROM p) " + _cases([("text", "FEATURE_COVERAGE_TOO_LOW", "coverage < 0.999"), ("text", "FEATURE_COVERAGE_TOO_SHORT_AVG_TOKEN_LENGTH", "length < 50"), ("text", "SEQUENCE_VALUE_TOO_SMALL_FRACTION", "share < 0.99"), ("text", "SEQUENCE_VALUE_TOO_FEW_OCCURRENCES", "least < 1"), ("text", "SEQUENCE_VALUE_TOO_MANY_OCCURRENCES", "most > 2"), ("text", "STATS_NOT_AVAILABLE", "true")]))
+def anomalies_of_natural_language(spark, sf_dir):
+    """The last constraint is on a token that was not followed."""
+    docs = table(spark, sf_dir, "documents").select("text")
+    stats = _stats(docs, natural_language={"text": {"vocabulary": _tokens(spark, sf_dir)[1], "tokens": ["the"]}})
+    limits = [{"token": "the", "min_fraction": 0.99, "min_per_sequence": 1, "max_per_sequence": 2}, {"token": "unfollowed", "min_fraction": 0.5}]
+    schema = Schema({"text": Feature("text", "BYTES", domain=Domain("natural_language", coverage_min=0.999, min_avg_token_length=50, token_constraints=limits))})
+    return _reported(spark, validation.validate(stats, schema))
+
+
+@query("WITH s AS (SELECT count(*) FILTER (page_id % 5 = 4) / count(*) AS unknown, max(strlen(html)) AS longest FROM pages) " + _cases([("image", "LOW_SUPPORTED_IMAGE_FRACTION", "1 - unknown < 0.95"), ("image", "MAX_IMAGE_BYTE_SIZE_EXCEEDED", "longest > 10"), ("made", "DERIVED_FEATURE_INVALID_SOURCE", "true"), ("given", "DERIVED_FEATURE_BAD_LIFECYCLE", "true")]))
+def anomalies_of_images_and_sources(spark, sf_dir):
+    heads = {0: "89504E470D0A1A0A", 1: "474946383961", 2: "FFD8FFE0", 3: "424D0000"}
+    v = F.col("html").cast("binary")
+    for k, h in heads.items():
+        v = F.when(F.col("page_id") % 5 == k, F.concat(F.unhex(F.lit(h)), F.col("html").cast("binary"))).otherwise(v)
+    df = table(spark, sf_dir, "pages").select(v.alias("image"), F.col("page_id").alias("made"), F.col("page_id").alias("given"))
+    source = {"deriver": "copy", "sources": ["page_id"]}
+    stats = _stats(df, semantic_domains=True, derived={"made": source, "given": source})
+    schema = Schema({"image": Feature("image", "BYTES", domain=Domain("image", minimum_supported_image_fraction=0.95, max_image_byte_size=10)), "made": Feature("made", "INT", derived_source={"deriver": "other", "sources": ["page_id"]}), "given": Feature("given", "INT")})
+    return _reported(spark, validation.validate(stats, schema))
+
+
 # --- skew
 _TEST_SQL = "t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0)"
 

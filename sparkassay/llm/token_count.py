@@ -7,11 +7,14 @@ the prefix had up to there; pieces are bounded, so states are finite in number.
 the change of the token count. They are compiled when first met and kept in a hash table of bounded size.
 
 Texts are cut into chunks that run side by side, a character of every chunk at each step. A chunk's map takes entry
-states to (exit state, tokens). Chunks are cut before a word where one begins, where the entry state is known; inside a
-longer word it is guessed from the characters before the cut, and chunks whose guess proves wrong are run again, all at
-once, until entries and exits agree. An inclusive prefix scan composes the maps of each text in log2 steps.
-
-Null and empty texts have no tokens; texts of any length count whole; repeated rows get equal counts.
+states to (exit state, tokens). Chunks are cut before a word where one begins; a new word starts alike after any state, so
+that map is constant. Inside a longer word a chunk runs in several lanes, one for each state that the characters before
+the cut lead to from some places further back. An inclusive prefix scan composes the maps of each text in log2 steps and
+picks the lanes that meet. Where none does, chunks get a lane more, from the state that stands before them, all at once, and the
+scan is repeated; so counts never rest on a guess.
+
+Null and empty texts have no tokens; texts of any length count whole, in time linear in their length; repeated rows get equal
+counts. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from .pieces import SPACE, PieceModel, load
 from .sentencepiece_codec import model_bytes
 
 CHUNK = 256
-#: Characters before a cut inside a word from which its entry state is guessed.
-WARM = 48
+#: Characters before a cut inside a word, and lanes: from so many places, one after the other, the states at the cut are found.
+WARM, LANES = 48, 4
 #: States after which compilation starts anew (memory only; counts are the same).
 MAX_STATES = 300_000
-START, NONE = 0, -1
+START, NONE, ANY = 0, -1, -2
 
 
 class Transducer:
@@ -214,7 +217,7 @@ class Transducer:
 
 
 def scan(entry: np.ndarray, exit_: np.ndarray, count: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inclusive prefix scan of state maps: [n, lanes] arrays of entry (-1: no lane), exit (-1: undefined) and tokens.
+    """Inclusive prefix scan of state maps: [n, lanes] arrays of entry (NONE: no lane; ANY: entered from every state), exit (NONE: undefined) and tokens.
 
     ``head``: index of the first map of each one's text. Gives for lane 0 of that first map the exit and tokens after each map.
     """
@@ -224,7 +227,8 @@ def scan(entry: np.ndarray, exit_: np.ndarray, count: np.ndarray, head: np.ndarr
         i = np.flatnonzero(fro > head)
         j = fro[i] - 1  # composed with what ends just before
         mid, mid_count = lanes_to[j], lanes_total[j]
-        match = (mid[:, :, None] == entry[fro[i]][:, None, :]) & (mid[:, :, None] >= 0)
+        into = entry[fro[i]][:, None, :]
+        match = ((mid[:, :, None] == into) | (into == ANY)) & (mid[:, :, None] >= 0)
         which = match.argmax(2)
         ok = match.any(2)
         rows = np.arange(len(i))[:, None]
@@ -257,19 +261,29 @@ class Counter:
         head = np.searchsorted(row, row)
         known = (cls[cuts] == m.space) & ((cls[np.maximum(cuts - 1, 0)] != m.space) | (cuts == begin[row]))
         known |= cuts == begin[row]
-        entry = np.full((len(cuts), 1), START, np.int64)
-        guess = np.flatnonzero(~known)
-        if len(guess):
-            fro = np.maximum(cuts[guess] - WARM, begin[row[guess]])
-            entry[guess, 0], _ = self._lanes(cls, fro, cuts[guess] - fro, np.zeros(len(guess), np.int64))
-        exit_, count = (x[:, None] for x in self._lanes(cls, cuts, size, entry[:, 0]))
-        while len(wrong := guess[entry[guess, 0] != exit_[guess - 1, 0]]):  # all wrong guesses at once, with what now stands before them
-            entry[wrong, 0] = exit_[wrong - 1, 0]
-            exit_[wrong, 0], count[wrong, 0] = self._lanes(cls, cuts[wrong], size[wrong], entry[wrong, 0])
-        # a chunk that begins a word is entered from any state alike: its map is constant, so it takes the exit before it
-        inner = np.flatnonzero(known & (np.arange(len(head)) != head))
-        entry[inner] = exit_[inner - 1]
-        _, total = scan(entry, exit_, count, head)
+        first = np.arange(len(head)) == head
+        entry = np.full((len(cuts), LANES), NONE, np.int64)
+        entry[:, 0] = np.where(first, START, np.where(known, ANY, NONE))
+        inside = np.flatnonzero(~known)
+        for k in range(LANES if len(inside) else 0):
+            fro = np.maximum(cuts[inside] - WARM - k, begin[row[inside]])
+            entry[inside, k], _ = self._lanes(cls, fro, cuts[inside] - fro, np.full(len(inside), START))
+        for k in range(1, LANES):  # lanes of one state are one lane
+            entry[(entry[:, :k] == entry[:, k : k + 1]).any(1), k] = NONE
+        exit_, count = np.full(entry.shape, NONE, np.int64), np.zeros(entry.shape, np.int64)
+        at, lane = np.nonzero(entry != NONE)
+        exit_[at, lane], count[at, lane] = self._lanes(cls, cuts[at], size[at], np.maximum(entry[at, lane], START))
+        to, total = scan(entry, exit_, count, head)
+        while len(lost := np.flatnonzero(to < 0)):
+            # the first of a text that is lost is entered from the true state, others from what their neighbour's last lane leaves
+            before = np.where(to[lost - 1] >= 0, to[lost - 1], exit_[lost - 1].max(1))
+            new = np.full((len(entry), 1), NONE, np.int64)
+            lost, before = lost[~known[lost]], before[~known[lost]]
+            fresh = (before >= 0) & ~(entry[lost] == before[:, None]).any(1)
+            new[lost[fresh], 0] = before[fresh]
+            entry, exit_, count = np.hstack([entry, new]), np.hstack([exit_, np.full_like(new, NONE)]), np.hstack([count, np.zeros_like(new)])
+            exit_[lost[fresh], -1], count[lost[fresh], -1] = self._lanes(cls, cuts[lost[fresh]], size[lost[fresh]], before[fresh])
+            to, total = scan(entry, exit_, count, head)
         last = np.flatnonzero(np.append(row[1:] != row[:-1], True))
         out = np.zeros(n, np.int64)
         out[full] = total[last]

@@ -48,10 +48,11 @@ def test_decode_of_any_ids(library):
         assert c.decode(ids, np.array([0, len(ids)]))[0].decode() == library.decode(ids.tolist())
 
 
-@pytest.mark.parametrize("chunk", [7, 256])
-def test_counts(library, chunk, monkeypatch):
-    monkeypatch.setattr(token_count, "CHUNK", chunk)
-    texts = ODD + random_texts(300, 3) + ["x" * 997 + "日" * 300]
+@pytest.mark.parametrize("chunk, warm, lanes", [(7, 48, 4), (256, 48, 4), (16, 2, 1), (64, 0, 2)])
+def test_counts(library, chunk, warm, lanes, monkeypatch):
+    for name, value in (("CHUNK", chunk), ("WARM", warm), ("LANES", lanes)):
+        monkeypatch.setattr(token_count, name, value)
+    texts = ODD + random_texts(300, 3) + ["x" * 997 + "日" * 300, "aab" * 700, "inter" * 300, "0" * 999, "ab ba" * 400]
     got = token_count.Counter(sentencepiece_codec.model_bytes(PATH)).count([t.encode() for t in texts])
     assert got.tolist() == [len(x) for x in library.encode(texts)]
 

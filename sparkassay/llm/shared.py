@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,29 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import scratch as materialize
+from ..sources.scratch import scratch_path, shared_dir
+
 #: Bytes of text that a numpy kernel takes at a time; it bounds a worker's memory whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 20
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where the session names none (tests) a folder of our own is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="assay-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it again, so that a lost executor costs no rerun of what came before."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ALNUM", "SPACED", "Texts", "Words", "by_row", "documents", "lowered", "map_rows", "materialize", "mix", "only", "partitions", "row_ids", "scratch_path", "shared_dir", "span_hash"]
 
 
 def partitions(spark: SparkSession) -> int:

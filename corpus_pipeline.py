@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkassay.llm import decontaminate, jaccard_join, language_id, line_dedup, sentencepiece_codec, shared
+from sparkassay.sources import scratch
 
 #: Share that the likeliest language must have at least; with four languages only texts that fit none fall below.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -54,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """What the last stage makes of ``documents``. A stage's own tables are removed once its rows are written, and those once the next stage has read them."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = shared.materialize(stage(spark, docs, sf_dir), name)
+        with scratch.scope(spark) as kept:
+            docs = shared.materialize(stage(spark, docs, sf_dir), name)
+        scratch.remove(spark, before)
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -340,9 +340,10 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without those whose component has a smaller doc_id."""
+    """The rows of ``docs``, all columns as they are whatever their names, without those whose component has a smaller doc_id. Rows without doc_id stay."""
     found = shared.materialize(join(docs, text=text, key=key).where("component_id <> doc_id").select(F.col("doc_id").alias("__assay_gone")).distinct(), "near-copies")
-    return docs.join(found, F.col(f"`{key}`") == F.col("__assay_gone"), "left_anti")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.join(found, plain[f"c{docs.columns.index(key)}"] == found["__assay_gone"], "left_anti").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Operators on small tables with nulls, empty texts, repeated rows, ties and clashing columns; queries against SQL and brute force."""
 
+import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -341,6 +345,102 @@ def test_shards_of_two_writers(spark):
         one.append(rows.drop("text"))
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_codec_and_count_queries_equal_the_library(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = {r.doc_id: r.text or "" for r in shared.documents(spark, SF).collect()}
+    encoded = {k: sp.encode(t) for k, t in texts.items()}
+    got = sentencepiece_codec.query(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert {tuple(r) for r in got} == {(k, len(i), sha(",".join(map(str, i))), sha(sp.decode(i))) for k, i in encoded.items()}
+    got = token_count.query(spark, SF).collect()
+    assert {tuple(r) for r in got} == {(k, len(t.encode()), len(encoded[k]), len(encoded[k]) > 4096) for k, t in texts.items()}
+
+
+def test_quality_repeats_equal_brute_force(spark):
+    """The method's own columns, which the query leaves out, over whole texts."""
+    for r in quality.rules(shared.documents(spark, SF)).join(shared.documents(spark, SF).select("doc_id", "text"), "doc_id").collect():
+        w = WORD.findall(r.text or "")
+        at = defaultdict(list)
+        for i in range(len(w) - quality.MIN_REPEAT + 1):
+            at[tuple(w[i : i + quality.MIN_REPEAT])].append(i)
+        twice = {j for places in at.values() if len(places) > 1 for i in places for j in range(i, i + quality.MIN_REPEAT)}
+        assert r.n_covered == len(twice)
+        n = r.longest_repeat
+        count = lambda k: max(Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)).values(), default=0)
+        assert (n == 0 or count(n) > 1) and count(n + 1) < 2
+
+
+def test_items_digest(spark):
+    texts = {r.doc_id: r.text for r in shared.documents(spark, SF).collect()}
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    windows = defaultdict(set)
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = word.findall(lower(r.text or ""))
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[i : i + 10])].add(r.item_id)
+    sizes = {len(x) for x in windows}
+    for r in decontaminate.query(spark, SF).collect():
+        w = word.findall(lower(texts[r.doc_id] or ""))
+        found, hit = set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if items := windows.get(tuple(w[i : i + n])):
+                    found |= items
+                    hit |= set(range(i, i + n))
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))))
+
+
+def test_toxicity_fit_repeats():
+    """Not even Python's salted hashes change a fit."""
+    code = "import sys; from sparkassay.llm import toxicity as t; import random; r = random.Random(1); w = [f'w{i}' for i in range(300)]; docs = [' '.join(r.choices(w, k=30) + (['nasty', 'vile'] if k % 3 == 0 else [])).encode() for k in range(300)]; import numpy as np; m = t.learn(docs, np.array([k % 3 == 0 for k in range(300)])); print(sorted(m.terms.items()), m.bias, m.coefficients.tolist())"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout for seed in ("1", "2", "3")}
+    assert len(got) == 1 and "nasty" in got.pop()
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """A doc_id that many rows share adds one text to the sample; rows are scored each by itself."""
+    rows = [(k, f"word{k} plain talk about item {k}" + (" you vile idiot" if k % 2 else " thank you"), k % 2) for k in range(80)] + [(1, f"copy {k}", 1) for k in range(50)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model)
+    assert got.count() == len(rows) and got.select("score").distinct().count() > 1
+    assert got.agg(F.min("score") >= 0, F.max("score") <= 1).first() == (True, True)
+
+
+def test_shards_query_keeps_every_row(spark):
+    docs = shared.documents(spark, SF)
+    got = [tuple(r) for r in shards.query(spark, SF).select("doc_id", "n_bytes", "text_sha256").collect()]
+    assert Counter(got) == Counter((r.doc_id, len((r.text or "").encode()), sha(r.text or "")) for r in docs.select("doc_id", "text").collect())
+
+
+def test_filters_take_odd_tables(spark, odd):
+    """Null, empty, long and repeated texts, null ids, columns of clashing and repeated names."""
+    wide = odd.withColumn("n_lines", F.lit(1)).withColumn("__assay_gone", F.lit(2)).withColumn("a.b", F.lit(3)).withColumn("root", F.lit(4)).withColumn("lang", F.lit("en"))
+    bench = spark.createDataFrame([(1, "a b c d"), (2, None), (None, "x"), (3, "")], "item_id long, text string")
+    letters = lambda rows: sum(any(c.isalpha() for c in r.text or "") for r in rows)
+    for docs in (wide, wide.limit(0)):
+        rows = docs.collect()
+        by_text = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+        known = language_id.keep_known(docs, language_id.fit(docs), 0.3)
+        assert known.columns == docs.columns and known.count() <= letters(rows)
+        assert language_id.keep_known(docs, None).count() == letters(rows)
+        near = jaccard_join.keep_one(docs)
+        component = brute_components([(r.doc_id, r.text) for r in rows if r.doc_id is not None])
+        assert near.columns == docs.columns and by_text(near) == Counter((r.doc_id, r.text) for r in rows if r.doc_id is None or component[r.doc_id][1] == r.doc_id)
+        clean = decontaminate.keep_clean(docs, bench)
+        assert clean.columns == docs.columns and by_text(clean) == Counter((r.doc_id, r.text) for r in rows if (r.text or "") != "a b c d")
+        lines = line_dedup.keep_first(docs)
+        assert lines.columns == docs.columns and lines.count() == len(rows)
+        store = shards.ShardStore(spark, shared.scratch_path(spark, "store"))
+        store.append(docs)
+        assert store.compact() and store.read().drop("__assay_shard").columns == docs.columns and store.read().count() == len(rows)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = shared.documents(spark, sf)
@@ -351,12 +451,39 @@ def test_held_out_accuracy(spark):
 
 
 def test_pipeline(spark):
+    """Each stage on what its predecessor kept: its columns, and brute force for what it does to texts."""
     import corpus_pipeline
 
     docs = shared.documents(spark, SF)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    bench = [word.findall(lower(r.text or "")) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 10]) for w in bench for i in range(max(1, len(w) - 9) if w else 0)}
     for name, stage in corpus_pipeline.STAGES:
         out = shared.materialize(stage(spark, docs, SF), name)
+        before, after = [r for r in docs.collect()], [r for r in out.collect()]
         if name != "sentencepiece":
             assert out.columns == docs.columns
-        assert 0.8 * docs.count() <= out.count() <= docs.count()
+        if name == "language_id":
+            assert 0.9 * len(before) <= len(after) and all(any(c.isalpha() for c in r.text) for r in after) and {tuple(r) for r in after} <= {tuple(r) for r in before}
+        if name == "line_dedup":
+            keys = lambda t: {k for line in (t or "").split("\n") if len(k := lower(line.strip(" \t\n\v\f\r"))) >= 20}
+            holders = defaultdict(list)
+            for r in before:
+                for k in keys(r.text):
+                    holders[k].append(r.doc_id)
+            top = {k: max(d) for k, d in holders.items() if len(d) >= 3}
+            stays = lambda r, line: top.get(lower(line.strip(" \t\n\v\f\r")), r.doc_id) == r.doc_id
+            assert {r.doc_id: r.text for r in after} == {r.doc_id: "\n".join(line for line in r.text.split("\n") if stays(r, line)) for r in before}
+        if name == "jaccard_join":
+            component = brute_components([(r.doc_id, r.text) for r in before])
+            assert {r.doc_id for r in after} == {k for k, (_, c) in component.items() if k == c}
+        if name == "decontaminate":
+            holds = lambda t: any(tuple(w[i : i + n]) in windows for w in [word.findall(lower(t))] for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+            assert {r.doc_id for r in after} == {r.doc_id for r in before if not holds(r.text)}
+        if name == "sentencepiece":
+            want = {(r.doc_id, len(i), sha(",".join(map(str, i))), sha(sp.decode(i))) for r in before for i in [sp.encode(r.text)]}
+            assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in after} == want
         docs = out
+    whole = corpus_pipeline.run(spark, SF)
+    assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, docs.collect()))

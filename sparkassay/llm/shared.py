@@ -16,7 +16,7 @@ from ..sources.scratch import scratch_path, shared_dir
 #: Bytes of text that a numpy kernel takes at a time; it bounds a worker's memory whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 20
 
-__all__ = ["ALNUM", "SPACED", "Texts", "Words", "by_row", "documents", "lowered", "map_rows", "materialize", "mix", "only", "partitions", "row_ids", "scratch_path", "shared_dir", "span_hash"]
+__all__ = ["ALNUM", "SPACED", "Texts", "Words", "by_row", "code_points", "documents", "lowered", "map_rows", "materialize", "mix", "only", "partitions", "row_ids", "scratch_path", "shared_dir", "span_hash"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -150,6 +150,17 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
+def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of UTF-8 bytes, how many begin before each byte and in all). Bytes that are no UTF-8 give some code point; none is lost."""
+    lead = (buf & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    padded = np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.int64)
+    a, b, c, d = (padded[at + k] for k in range(4))
+    b, c, d = b & 63, c & 63, d & 63
+    cps = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 31) << 6 | b, np.where(a < 0xF0, (a & 15) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d)))
+    return np.minimum(cps, 0x10FFFF), np.concatenate([[0], np.cumsum(lead)])
+
+
 def row_ids(column: pa.Array) -> pa.Array:
     return column.cast(pa.int64())
 

@@ -2,7 +2,8 @@
 
 A lexicon (words, and word beginnings marked as such) with log-odds weights is learned from a bounded sample of labelled
 rows. Its trie is intersected with the automaton of all strings within one edit; the product is made deterministic as it
-is met, so a word runs through one table and misspelled terms are caught without trying any edits. A hit is weighed in
+is met, so a word runs through one table, a character at a step, and misspelled terms are caught without trying any edits; an
+accented letter is one edit like any other. A hit is weighed in
 its window: other hits close by raise it, quotation marks around it count apart. A logistic regression over these figures,
 fitted on the other half of the sample, gives the score.
 
@@ -34,7 +35,7 @@ NEAR, QUOTED = 10, 3
 
 
 class Automaton:
-    """States are sets of (trie node, edits); made when met. ``table`` [state, byte] holds the next state, -1 unknown, 0 dead."""
+    """States are sets of (trie node, edits); made when met. ``table`` [state, class of the character] holds the next state, -1 unknown, 0 dead. Class 0 is of all characters that no term has."""
 
     def __init__(self, terms: dict[str, float]):
         """``terms``: weight of each word; a trailing * stands for any rest."""
@@ -42,12 +43,17 @@ class Automaton:
         self.word: list[float] = [0.0]
         self.stem: list[float] = [0.0]
         self.length: list[int] = [0]
+        letters = sorted({c for t in terms for c in t.removesuffix("*")})
+        self.classes = len(letters) + 1
+        self.class_of = np.zeros(0x110000, np.int16)
+        self.class_of[[ord(c) for c in letters]] = np.arange(1, self.classes)
+        number = {c: k for k, c in enumerate(letters, 1)}
         for term, weight in terms.items():
             stem, at = term.endswith("*"), 0
-            for b in term.removesuffix("*").encode():
-                nxt = self.children[at].get(b)
+            for c in term.removesuffix("*"):
+                nxt = self.children[at].get(number[c])
                 if nxt is None:
-                    nxt = self.children[at][b] = len(self.children)
+                    nxt = self.children[at][number[c]] = len(self.children)
                     self.children.append({})
                     self.word.append(0.0)
                     self.stem.append(0.0)
@@ -56,7 +62,7 @@ class Automaton:
             (self.stem if stem else self.word)[at] = weight
         self.states: list[tuple[frozenset, float]] = []
         self.number: dict[tuple[frozenset, float], int] = {}
-        self.table = np.zeros((0, 256), np.int32)
+        self.table = np.zeros((0, self.classes), np.int32)
         self.exact, self.fuzzy, self.begun = (np.zeros(0) for _ in range(3))
         self._state(frozenset(), 0.0)
         self.start = self._state(self._closed({(0, 0)}), 0.0)
@@ -74,7 +80,7 @@ class Automaton:
         self.states.append((places, stem))
         if k >= len(self.table):
             more = max(256, len(self.table))
-            self.table = np.concatenate([self.table, np.full((more, 256), -1, np.int32)])
+            self.table = np.concatenate([self.table, np.full((more, self.classes), -1, np.int32)])
             self.exact, self.fuzzy, self.begun = (np.concatenate([x, np.zeros(more)]) for x in (self.exact, self.fuzzy, self.begun))
         self.exact[k] = max([0.0, *(self.word[n] for n, e in places if e == 0)])
         self.fuzzy[k] = max([0.0, *(self.word[n] for n, e in places if e and self.length[n] >= FUZZY_LENGTH)])
@@ -83,11 +89,11 @@ class Automaton:
             self.table[k] = k  # nothing but a passed beginning is left
         return k
 
-    def _step(self, state: int, b: int) -> int:
+    def _step(self, state: int, cls: int) -> int:
         places, stem = self.states[state]
         new = set()
         for node, e in places:
-            child = self.children[node].get(b)
+            child = self.children[node].get(cls)
             if child is not None:
                 new.add((child, e))
             if e == 0:
@@ -99,17 +105,20 @@ class Automaton:
 
     def run(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(exact, misspelled, beginning) weights of words; 0 is no hit."""
+        cps, before = shared.code_points(shared.lowered(buf))
+        classes = self.class_of[cps].astype(np.int64)
+        start, end = before[start], before[end]
         state = np.full(len(start), self.start, np.int64)
         live, at = np.flatnonzero(end > start), 0
         while len(live):
-            byte = shared.lowered(buf[start[live] + at]).astype(np.int64)
-            nxt = self.table[state[live], byte]
+            cls = classes[start[live] + at]
+            nxt = self.table[state[live], cls]
             new = nxt < 0
             if new.any():
-                for key in np.unique(state[live[new]] * 256 + byte[new]).tolist():
-                    to = self._step(*divmod(key, 256))
-                    self.table[key // 256, key % 256] = to
-                nxt = self.table[state[live], byte]
+                for key in np.unique(state[live[new]] * self.classes + cls[new]).tolist():
+                    to = self._step(*divmod(key, self.classes))
+                    self.table[key // self.classes, key % self.classes] = to
+                nxt = self.table[state[live], cls]
             state[live] = nxt
             at += 1
             live = live[(start[live] + at < end[live]) & (nxt > 0)]

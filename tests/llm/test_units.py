@@ -205,6 +205,19 @@ def test_automaton_finds_one_edit():
     assert exact.tolist() == [2, 0, 0, 0, 0, 1, 0, 0, 0, 0]
     assert fuzzy.tolist() == [0, 2, 2, 2, 0, 0, 0, 0, 0, 0]
     assert begun.tolist() == [0, 0, 0, 0, 0, 0, 0, 3, 0, 0]
+    m = toxicity.Automaton({"dégoûtant": 2.0, "жирный": 1.0})
+    words = ["dégoûtant", "degoûtant", "dégoutant", "degoutant", "жирный", "жирны", "жірний", "日жирный"]
+    buf, offs = buffer(words)
+    exact, fuzzy, _ = m.run(buf, offs[:-1], offs[1:])
+    assert exact.tolist() == [2, 0, 0, 0, 1, 0, 0, 0] and fuzzy.tolist() == [0, 2, 2, 0, 0, 1, 0, 1]
+
+
+def test_code_points():
+    text = "aé日🎉\x00z"
+    cps, before = shared.code_points(np.frombuffer(text.encode(), np.uint8))
+    assert cps.tolist() == [ord(c) for c in text] and before[-1] == len(text)
+    cps, before = shared.code_points(np.frombuffer(b"\xff\x80a\xe9", np.uint8))
+    assert len(cps) == before[-1] == 3
 
 
 def test_toxicity_learns():

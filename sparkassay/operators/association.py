@@ -28,6 +28,13 @@ def single(f) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def cross_plan(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(pairs that can be crossed, pairs that are skipped as a side is no numeric feature with single values)."""
+    fs = {f.path for f in _plain(df) if f.type in (INT, FLOAT)}
+    fit = lambda p: p[0] in fs and p[1] in fs and p[0] != p[1]
+    return [p for p in pairs if fit(p)], [p for p in pairs if not fit(p)]
+
+
 def cross(df: DataFrame, pairs: list[tuple[str, str]] | None = None, rate: float = 1.0, seed: int = 0) -> DataFrame:
     """(slice, path_x, path_y, count, covariance, correlation) of numeric pairs, over rows with one value of each; all pairs in one aggregate. Correlation is null if a deviation is 0."""
     fs = {f.path: f for f in _plain(df) if f.type in (INT, FLOAT)}

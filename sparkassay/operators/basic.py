@@ -11,7 +11,7 @@ from ..functions.paths import BYTES, FLOAT, INT, STRING, STRUCT, Feature, featur
 from .slicing import SLICE, with_slices
 
 #: Features aggregated together; more would outgrow generated code.
-GROUP = 60
+GROUP = 16
 WEIGHT = "__weight"
 #: Weighted means of a slice by path, beside its rows.
 MEANS = "__means"

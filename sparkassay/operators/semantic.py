@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .slicing import SLICE
 
@@ -157,10 +158,17 @@ def images(df: DataFrame, column: str, least: int = LEAST_VALUES, ratio: float =
     return counts.groupBy(SLICE).agg(F.sum("c").alias("considered"), F.coalesce(F.sum(F.when(F.col("f") != "UNKNOWN", F.col("c"))), F.lit(0)).alias("matched"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("f", "c")))).alias("formats"), F.max("w").alias("max_width"), F.max("h").alias("max_height"), F.max("b").alias("max_bytes")).withColumn("is_image", (F.col("considered") >= least) & (F.col("matched") >= ratio * F.col("considered")))
 
 
-def tokens(df: DataFrame, column: str, sequence_id: str) -> DataFrame:
-    """(slice, sequence, position, token) of whitespace-separated text."""
-    words = F.filter(F.split(F.col(column), r"\s+"), lambda w: w != "")
-    return df.select(SLICE, F.col(sequence_id).alias("sequence"), F.posexplode(words).alias("position", "token"))
+def tokens(df: DataFrame, column: str, sequence_id: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(slice, sequence, position, token) of white-space separated text, or of lists of integers, which are the ids of tokens in ``vocabulary`` (token, id); an id that isn't there stands for itself as text."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.ArrayType):
+        words = F.filter(F.split(F.col(column), r"\s+"), lambda w: w != "")
+        return df.select(SLICE, F.col(sequence_id).alias("sequence"), F.posexplode(words).alias("position", "token"))
+    long = df.select(SLICE, F.col(sequence_id).alias("sequence"), F.posexplode(column).alias("position", "value")).where("value IS NOT NULL")
+    if isinstance(kind.elementType, T.StringType) or vocabulary is None or "id" not in vocabulary.columns:
+        return long.select(SLICE, "sequence", "position", F.col("value").cast("string").alias("token"))
+    names = vocabulary.select(F.col("id").alias("value"), F.col("token").alias("__token"))
+    return long.join(names, "value", "left").select(SLICE, "sequence", "position", F.coalesce("__token", F.col("value").cast("string")).alias("token"))
 
 
 def token_coverage(rows: DataFrame, vocabulary: DataFrame, excluded: list[str] | None = None) -> DataFrame:
@@ -200,3 +208,13 @@ def sequence_histograms(rows: DataFrame, buckets: int = 10) -> dict[str, DataFra
     sizes = per.groupBy(SLICE, F.lit("sequence_length").alias("path"), "value").agg(F.count("*").cast("double").alias("w"))
     counts = rows.groupBy(SLICE, F.lit("token").alias("path"), F.col("token").alias("value")).agg(F.count("*").alias("cnt"), F.count("*").cast("double").alias("wcnt"))
     return {"token_length": quantiles.histograms(lengths, buckets, buckets), "sequence_length": quantiles.histograms(sizes, buckets, buckets), "rank": values.rank_histogram(counts)}
+
+
+def position_histograms(rows: DataFrame, wanted: list[str], buckets: int = 10) -> DataFrame:
+    """(slice, path, kind, bucket, low, high, count): histograms of where in their sequences, from 0 to 1, the chosen tokens (``path``) stand."""
+    from . import quantiles
+
+    size = rows.groupBy(SLICE, "sequence").agg(F.max("position").alias("last"))
+    places = rows.where(F.col("token").isin(wanted)).join(size, [SLICE, "sequence"])
+    place = (F.col("position") / F.greatest("last", F.lit(1))).alias("value")
+    return quantiles.histograms(places.groupBy(SLICE, F.col("token").alias("path"), place).agg(F.count("*").cast("double").alias("w")), buckets, buckets)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.schema import Schema
-from ..sources import readers, statistics_io
+from ..sources import examples, readers, statistics_io
 from .statistics import StatsOptions, generate_statistics
 
 Stats = dict[str, dict[str, Any]]
@@ -31,7 +31,9 @@ def statistics_from_csv(spark: SparkSession, path: str, column_names: list[str]
 
 
 def statistics_from_rows(spark: SparkSession, path: str, format: str = "parquet", output_path: str | None = None, options: StatsOptions | None = None, schema: T.StructType | None = None, **reader_options) -> Stats:
-    """Statistics of row files that Spark reads: Parquet, JSON, ORC and others; compression by suffix."""
+    """Statistics of row files that Spark reads: Parquet, JSON, ORC and others, and of record files of serialized examples (format ``examples``); compression by suffix."""
+    if format == "examples":
+        return _collected(examples.read_examples(spark, path), options, output_path)
     return _collected(readers.read_rows(spark, path, format, schema, **reader_options), options, output_path)
 
 

@@ -38,6 +38,7 @@ class StatsOptions:
     num_top_values: int = values.TOP
     num_rank_buckets: int = values.RANKS
     frequency_threshold: int = 1
+    weighted_frequency_threshold: float = 0.0
     num_histogram_buckets: int = 10
     num_quantile_buckets: int = 10
     num_valency_buckets: int = 10
@@ -137,7 +138,7 @@ class Statistics:
         return values.top(self.frame("counts"), self.options.num_top_values, threshold=self.options.frequency_threshold)
 
     def _weighted_top(self):
-        return values.top(self.frame("counts"), self.options.num_top_values, "wcnt") if self.weighted else None
+        return values.top(self.frame("counts"), self.options.num_top_values, "wcnt", self.options.weighted_frequency_threshold) if self.weighted else None
 
     def _ranks(self):
         return values.rank_histogram(self.frame("counts"), self.options.num_rank_buckets)
@@ -282,14 +283,18 @@ class Statistics:
             elif vocabulary is None:
                 vocabulary = spark.createDataFrame([], "token string")
             texts = self.rows.where(F.col(f"`{name}`").isNotNull()).select(SLICE, F.col(f"`{name}`").alias("text"), F.monotonically_increasing_id().alias("sequence"))
-            tokens = scratch(semantic.tokens(texts, "text", "sequence"), "tokens")
+            tokens = scratch(semantic.tokens(texts, "text", "sequence", vocabulary), "tokens")
             for r in semantic.token_coverage(tokens, vocabulary, asked.get("excluded")).collect():
                 out[r[SLICE]]["features"][name]["custom"]["nl"] = {k: v for k, v in r.asDict().items() if k != SLICE} | {"tokens": {}, "worst": {}, "histograms": {}}
             if asked.get("tokens"):
                 for r in semantic.token_stats(tokens, list(asked["tokens"])).collect():
                     out[r[SLICE]]["features"][name]["custom"]["nl"]["tokens"][r.token] = {k: v for k, v in r.asDict().items() if k not in (SLICE, "token")}
             for r in semantic.worst_sequences(tokens, vocabulary).join(texts, [SLICE, "sequence"]).orderBy(SLICE, "kind", "rank").collect():
-                out[r[SLICE]]["features"][name]["custom"]["nl"]["worst"].setdefault(r.kind, []).append({"text": r.text, "score": r.score})
+                out[r[SLICE]]["features"][name]["custom"]["nl"]["worst"].setdefault(r.kind, []).append({"text": r.text if isinstance(r.text, str) else list(r.text), "score": r.score})
+            if asked.get("tokens"):
+                for r in semantic.position_histograms(tokens, list(asked["tokens"]), self.options.num_histogram_buckets).orderBy(SLICE, "path", "kind", "bucket").collect():
+                    held = out[r[SLICE]]["features"][name]["custom"]["nl"]["tokens"][r.path]
+                    held.setdefault(f"positions_{r.kind.lower()}", []).append([r.low, r.high, r["count"]])
             for kind, df in semantic.sequence_histograms(tokens, self.options.num_histogram_buckets).items():
                 for r in df.orderBy(*df.columns[:4]).collect():
                     held = out[r[SLICE]]["features"][name]["custom"]["nl"]["histograms"]

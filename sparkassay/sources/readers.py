@@ -13,7 +13,7 @@ from ..functions.schema import Schema
 
 
 def csv_header(spark: SparkSession, path: str, delimiter: str = ",") -> list[str]:
-    """Column names that all files of ``path`` share; ValueError for missing, empty or differing ones. Only first lines are read."""
+    """Column names that all files of ``path`` share; ValueError for missing, empty or differing ones. First blocks of the files are read."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -106,6 +106,6 @@ def from_dicts(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(token, id): a token a line, numbered by line within a file."""
+    """(token, id): a token a line, numbered by line within a file; uncompressed by suffix. A vocabulary file is read by one task."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("id", "token"))
     return lines.where("token <> ''").select("token", F.col("id").cast("long").alias("id"))

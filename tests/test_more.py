@@ -1,14 +1,16 @@
 """Entry points, sinks, lookups, weights by feature, generators of one's own, natural-language and image statistics, encoders, exact values."""
 
+import gzip
 import json
 import math
+import struct
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkassay.api import FeatureSkew, Schema, StatisticsView, StatsOptions, generate_statistics, infer_schema, load_statistics, skew_results, statistics_from_csv, statistics_from_pandas, statistics_from_rows, validate, validate_instance
+from sparkassay.api import FeatureSkew, Schema, StatisticsView, StatsOptions, generate_statistics, infer_schema, load_statistics, read_examples, skew_results, statistics_from_csv, statistics_from_pandas, statistics_from_rows, validate, validate_instance
 from sparkassay.functions import files
 from sparkassay.functions.schema import Comparator, Domain, Feature, Presence, ValueCount
 from sparkassay.operators import association, basic, drift, semantic, validation, values
@@ -131,6 +133,69 @@ def test_entry_points(spark, tmp_path):
     assert set(got) == {"b", "x"} and got["b"]["values"] == {"1": 2, "0": 1}
 
 
+def _message(*fields):
+    """Protocol-buffer fields (number, bytes or int)."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += _number(number << 3) + _number(value & (1 << 64) - 1)
+        else:
+            out += _number(number << 3 | 2) + _number(len(value)) + value
+    return out
+
+
+def _number(x):
+    out = b""
+    while x > 127:
+        out, x = out + bytes([x & 127 | 128]), x >> 7
+    return out + bytes([x])
+
+
+def _example(**features):
+    entries = []
+    for name, (kind, values) in features.items():
+        if kind == 1:
+            held = _message(*[(1, v) for v in values])
+        elif kind == 2:
+            held = _message((1, struct.pack(f"<{len(values)}f", *values)))
+        else:  # one packed, the rest one by one
+            held = _message((1, b"".join(_number(v & (1 << 64) - 1) for v in values[:1]))) + _message(*[(1, v) for v in values[1:]])
+        entries.append((1, _message((1, name.encode()), (2, _message((kind, held)) if kind else b""))))
+    return _message((1, _message(*entries)))
+
+
+def test_record_files_of_examples(spark, tmp_path):
+    some = [_example(i=(3, [5, -1]), x=(2, [0.5]), s=(1, [b"a", "é".encode()]), raw=(1, [b"\xff"])), _example(i=(3, [7]), none=(0, []), s=(1, [])), _example()]
+    framed = b"".join(struct.pack("<Q", len(e)) + b"\0" * 4 + e + b"\0" * 4 for e in some)
+    (tmp_path / "a.records").write_bytes(framed)
+    (tmp_path / "b.records.gz").write_bytes(gzip.compress(framed))
+    got = read_examples(spark, str(tmp_path))
+    assert got.dtypes == [("i", "array<bigint>"), ("none", "array<string>"), ("raw", "array<binary>"), ("s", "array<string>"), ("x", "array<double>")]
+    rows = [(r.i, r.none, r.raw and [bytes(v) for v in r.raw], r.s, r.x) for r in got.collect()]
+    want = [([5, -1], None, [b"\xff"], ["a", "é"], [0.5]), ([7], None, None, [], None), (None, None, None, None, None)]
+    assert sorted(map(str, rows)) == sorted(map(str, want * 2))
+    f = statistics_from_rows(spark, str(tmp_path), "examples")["All Examples"]["features"]
+    assert f["i"]["tot_num_values"] == 6 and f["i"]["num_missing"] == 2 and f["s"]["values"] == {"a": 2, "é": 2}
+    (tmp_path / "c.records").write_bytes(framed[:-3])
+    with pytest.raises(Exception, match="cut off"):
+        read_examples(spark, str(tmp_path)).collect()
+
+
+def test_integer_tokens_and_positions(spark):
+    vocabulary = spark.createDataFrame([("the", 0), ("cat", 1)], "token string, id long")
+    df = spark.createDataFrame([([0, 1, 9],), ([1],)], "t array<int>").coalesce(1)
+    nl = stats(df, natural_language={"t": {"vocabulary": vocabulary, "tokens": ["cat"]}}, histograms=False)["features"]["t"]["custom"]["nl"]
+    assert nl["feature_coverage"] == 3 / 4 and nl["tokens"]["cat"]["frequency"] == 2 and nl["histograms"]["rank"] == {"cat": 2, "the": 1, "9": 1}
+    assert sum(b[2] for b in nl["tokens"]["cat"]["positions_standard"]) == pytest.approx(2)
+
+
+def test_cross_plan_and_weighted_threshold(spark):
+    df = spark.createDataFrame([(1, 2.0, "a", [1]), (2, 3.0, "b", [2])], "i int, x double, s string, l array<int>")
+    assert association.cross_plan(basic.prepared(df), [("i", "x"), ("i", "s"), ("x", "x"), ("i", "none")]) == ([("i", "x")], [("i", "s"), ("x", "x"), ("i", "none")])
+    top = generate_statistics(df, StatsOptions(weight="x", weighted_frequency_threshold=2.5)).frame("weighted_top").collect()
+    assert [(r.value, r.wcnt) for r in top] == [("b", 3.0)]
+
+
 def test_sinks_and_loaders(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5, "a", [[1, 2], [3]]), (2, float("inf"), "b", [[1]]), (3, None, None, None)], "i int, x double, s string, n array<array<int>>")
     got = generate_statistics(df, StatsOptions(slicers=[FeatureSlicer({"s": None})], cross_features=[("i", "x")])).collect()

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import math
+import struct
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -103,6 +104,16 @@ class Options:
     exact_values: dict[str, dict[str, float]] | None = None  # all values of a path, instead of the rank histogram
 
 
+def single(x: float | None) -> float | None:
+    """A number as it is with 32 bits."""
+    if x is None or math.isnan(x) or math.isinf(x):
+        return x
+    try:
+        return struct.unpack("<f", struct.pack("<f", x))[0]
+    except OverflowError:
+        return math.copysign(math.inf, x)
+
+
 class _Check:
     """One feature's statistics against its schema entry."""
 
@@ -291,7 +302,13 @@ class _Check:
             least, most = min(numbers, default=None), max(numbers, default=None)
         else:
             least, most = f.get("min"), f.get("max")
-        self._range(d, least, most, "FLOAT_TYPE_SMALL_FLOAT", "FLOAT_TYPE_BIG_FLOAT", "value")
+        # floats are compared as 32-bit numbers, in which limits are kept
+        limits = Domain("float", min=single(d.min), max=single(d.max))
+        self._range(limits, single(least), single(most), "FLOAT_TYPE_SMALL_FLOAT", "FLOAT_TYPE_BIG_FLOAT", "value")
+        if limits.min != single(d.min):
+            d.min = limits.min
+        if limits.max != single(d.max):
+            d.max = limits.max
         if d.disallow_nan and f["num_nan"]:
             self.say("FLOAT_TYPE_HAS_NAN", "Float feature has NaN values", f"{f['num_nan']} values are NaN.", lambda: setattr(d, "disallow_nan", False))
         if d.disallow_inf and any(x is not None and math.isinf(x) for x in (least, most)):
@@ -380,6 +397,8 @@ def _use_weights(stats: dict[str, Any]) -> bool:
 def validate(stats: dict[str, Any], schema: Schema, environment: str | None = None, previous: dict[str, Any] | None = None, serving: dict[str, Any] | None = None, version: dict[str, Any] | None = None, options: Options | None = None, update: bool = False, max_string_domain_size: int = 100) -> Anomalies:
     """Anomalies of one slice's collected statistics. With ``update`` the given schema is changed so that they vanish."""
     o, stats = options or Options(), without_composites(stats)
+    if not update:
+        schema = schema.copy()  # an entry's own faults are mended before data are held against it
     if environment is not None and environment not in schema.default_environment and not any(environment in f.in_environment or environment in f.not_in_environment for f in schema.features.values()) and schema.default_environment:
         raise ValueError(f"environment {environment} is not in the schema")
     out = Anomalies()
@@ -406,8 +425,9 @@ def validate(stats: dict[str, Any], schema: Schema, environment: str | None = No
                 if update:
                     create(path, f, schema, max_string_domain_size)
             continue
-        c = _Check(path, f, entry, schema, weights, o, update)
+        c = _Check(path, f, entry, schema, weights, o, True)
         c.itself()
+        c.update = update
         if not entry.is_deprecated:
             needed = entry.presence is not None and ((entry.presence.min_count or 0) > 0 or (entry.presence.min_fraction or 0) > 0)
             if not f["num_non_missing"]:

@@ -359,9 +359,9 @@ def entropy(spark, sf_dir):
 
 @query("SELECT 'l_quantity' AS path, abs(corr(l_extendedprice, l_quantity)) > 0.3 AS informs FROM lineitem UNION ALL SELECT 'l_discount', abs(corr(l_extendedprice, l_discount)) > 0.3 FROM lineitem UNION ALL SELECT 'l_returnflag', abs(corr(l_extendedprice, (l_returnflag = 'N')::INTEGER)) > 0.3 FROM lineitem")
 def mi_knn(spark, sf_dir):
-    """All rows, in random partitions of about 1,000, which the estimator takes whole."""
+    """All rows, in random partitions of about 400, which the estimator takes whole."""
     line = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_returnflag", "l_discount")
-    p, n = basic.prepared(line), max(1, line.count() // 1000)
+    p, n = basic.prepared(line), max(1, line.count() // 400)
     got = association.adjusted_information(p, "l_extendedprice", ["l_quantity", "l_returnflag", "l_discount"], partitions=n, cap=5000)
     return got.select("path", (F.col("adjusted_mutual_information") > 0.05).alias("informs"))
 
@@ -598,6 +598,15 @@ def anomalies_of_images_and_sources(spark, sf_dir):
     return _reported(spark, validation.validate(stats, schema))
 
 
+@query("WITH s AS (SELECT min(l_linenumber) AS least, count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_discount) AS discounts, count(*) AS n FROM lineitem) " + _cases([("broken", "ENUM_TYPE_INVALID_UTF8", "n > 0"), ("below", "BOOL_TYPE_SMALL_INT", "least - 5 < 0"), ("half", "BOOL_TYPE_UNEXPECTED_FLOAT", "discounts > 2"), ("letters", "BOOL_TYPE_UNEXPECTED_STRING", "flags > 2"), ("nameless", "FEATURE_MISSING_NAME", "true"), ("share", "INVALID_SCHEMA_SPECIFICATION", "true"), ("counted", "FEATURE_TYPE_NO_UNIQUE", "true"), ("day", "SEMANTIC_DOMAIN_UPDATE", "n >= 100"), ("several", "ENUM_TYPE_UNEXPECTED_STRING_VALUES", "flags > 1"), ("several", "FEATURE_TYPE_HIGH_UNIQUE", "flags > 1"), ("mass", "ENUM_TYPE_UNEXPECTED_STRING_VALUES", "(SELECT count(*) FROM lineitem WHERE l_returnflag <> 'N') > 0.05 * n")]))
+def anomalies_of_schema(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    df = line.select(F.unhex(F.lit("FF")).cast("string").alias("broken"), F.when(n == 1, F.lit(-5)).otherwise(F.lit(1)).alias("below"), F.col("l_discount").alias("half"), flag.alias("letters"), n.alias("nameless"), n.alias("share"), n.alias("counted"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), flag.alias("several"), flag.alias("mass"))
+    schema = Schema({"broken": Feature("broken", "BYTES", domain=Domain("string", values=["a"])), "below": Feature("below", "INT", domain=Domain("bool")), "half": Feature("half", "FLOAT", domain=Domain("bool")), "letters": Feature("letters", "BYTES", domain=Domain("bool", true_value="A", false_value="N")), "nameless": Feature("", "INT"), "share": Feature("share", "INT", Presence(min_fraction=1.5)), "counted": Feature("counted", "INT", unique_min=1), "day": Feature("day", "BYTES"), "several": Feature("several", "BYTES", domain=Domain("string", values=["N"]), unique_max=1), "mass": Feature("mass", "BYTES", domain=Domain("string", values=["N"]), min_domain_mass=0.95)})
+    return _reported(spark, validation.validate(_stats(df, semantic_domains=True), schema))
+
+
 # --- skew
 _TEST_SQL = "t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0)"
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkassay.api import FeatureSkew, Schema, StatisticsView, StatsOptions, generate_statistics, infer_schema, load_statistics, read_examples, skew_results, statistics_from_csv, statistics_from_pandas, statistics_from_rows, validate, validate_instance
+from sparkassay.api import FeatureSkew, Schema, StatisticsView, StatsOptions, generate_statistics, infer_schema, load_statistics, read_examples, skew_results, statistics_from_csv, statistics_from_pandas, statistics_from_rows, update_schema, validate, validate_instance
 from sparkassay.functions import files
 from sparkassay.functions.schema import Comparator, Domain, Feature, Presence, ValueCount
 from sparkassay.operators import association, basic, drift, semantic, validation, values
@@ -89,6 +89,15 @@ def test_rules_of_single_examples(spark):
     assert {"FEATURE_TYPE_LOW_FRACTION_PRESENT", "FEATURE_TYPE_LOW_NUMBER_PRESENT", "FEATURE_TYPE_NOT_PRESENT", "SCHEMA_TRAINING_SERVING_SKEW", "COMPARATOR_CONTROL_DATA_MISSING", "COMPARATOR_TREATMENT_DATA_MISSING", "COMPARATOR_L_INFTY_HIGH", "COMPARATOR_JENSEN_SHANNON_DIVERGENCE_HIGH", "COMPARATOR_LOW_NUM_EXAMPLES", "COMPARATOR_HIGH_NUM_EXAMPLES", "NO_DATA_IN_SPAN", "DATASET_LOW_NUM_EXAMPLES", "DATASET_HIGH_NUM_EXAMPLES"} == validation.GLOBAL_ONLY
 
 
+def test_floats_are_compared_with_32_bits(spark):
+    schema = Schema({"x": Feature("x", "FLOAT", domain=Domain("float", min=0.1, max=0.3))})
+    near = spark.createDataFrame([(0.1 - 1e-12,), (0.3 + 1e-12,)], "x double")
+    assert not validate(stats(near), schema).features
+    off = spark.createDataFrame([(0.0999,), (1e300,)], "x double")
+    assert types(validate(stats(off), schema)) == {("x", "FLOAT_TYPE_SMALL_FLOAT"), ("x", "FLOAT_TYPE_BIG_FLOAT")}
+    assert not validate(stats(off), update_schema(schema, stats(off))).features
+
+
 def test_what_is_left_has_its_own_severity(spark, tmp_path):
     schema = Schema({"a": Feature("a", "INT", domain=Domain("int", min=5, max=6))})
     df = spark.createDataFrame([(1,), (9,)], "a int")

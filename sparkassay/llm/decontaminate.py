@@ -10,7 +10,8 @@ larger benchmark a task searches each shard for the blocks one after another and
 holds the phrases of all blocks.
 
 Null and empty texts have no words. Items without an id or without words take no part. Each row is judged by itself,
-whatever its id, and stays one row. Texts are searched whole.
+whatever its id, and stays one row; repeated rows are judged alike, and an empty table or benchmark gives no hit. Texts are
+searched whole. Further columns are not read by :func:`find` and kept by :func:`keep_clean`, whatever their names.
 """
 
 from __future__ import annotations

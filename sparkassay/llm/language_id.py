@@ -7,7 +7,9 @@ embedding is folded into the filters, so a filter is a sum of table rows. Every
 text's probabilities are the mean over its windows, weighted by their bytes.
 
 Null texts and texts without a letter are ``und`` with score 0. Without any labelled row all texts are ``und``. Long
-texts are scored whole. Labels are never an input of a prediction.
+texts are scored whole. Of equal probabilities the language that sorts first is taken; languages are at most ``MAX_LANGS``, the
+most frequent ones. Rows are predicted each by itself, and repeated rows of a sample count once. Labels are never an input of a
+prediction; further columns are not read by :func:`predict` and kept by :func:`keep_known`, whatever their names.
 """
 
 from __future__ import annotations

@@ -154,6 +154,8 @@ class Asked:
         self.ids, self.present, held, self.n = rows
         self.held = held.astype(bool)
         count, word = (np.concatenate(x) for x in zip(*(unpack(blob) for _, blob in sorted(answers))))  # shards are ranges, so their words follow each other
+        if len(count) != at.max() + 1:
+            raise RuntimeError("docs gave other rows when they were read again; write them to a table first")
         # the start symbol is word 0; it stands as often as the end token
         self.first = np.cumsum(self.n) - self.n
         last = np.zeros(len(at), bool)

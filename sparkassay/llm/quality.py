@@ -8,7 +8,8 @@ at least ``min_repeat`` words cover more than ``max_covered`` of it, or one is l
 Documents are taken in slices; a symbol is a word with its row, so suffixes of different rows never share a prefix.
 
 Null, empty and white-space texts have no words: counts of 0, base_failed, not kept. Texts of any length are taken whole.
-Each row stands alone.
+Each row stands alone: repeated rows and rows of one doc_id get equal figures, an empty table gives none. Further columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,21 +53,24 @@ def _top(fs: list[Feature]) -> list[Feature]:
     return [f for f in fs if not f.repeated]
 
 
-def common(df: DataFrame, weighted: bool = False) -> DataFrame:
-    """(slice, path, type, num_examples, num_non_missing, num_missing, min/max/avg/tot_num_values) of ``prepared`` rows; features inside arrays of structs count the parent's values as their examples."""
-    fs = [f for f in features(df.schema) if f.steps[0] not in (SLICE, WEIGHT)]
-    aggs = {}
-    for f in fs:
-        if f.repeated:
-            cells = f.read
-            lens = F.transform(F.filter(cells, lambda x: x.isNotNull()), F.size if f.nest else lambda x: F.lit(1))
-            a = {"non_missing": F.sum(F.coalesce(F.size(F.filter(cells, lambda x: x.isNotNull())), F.lit(0)).cast("long")), "tot": F.sum(F.when(cells.isNotNull(), F.aggregate(lens, F.lit(0), lambda s, x: s + x)).cast("long")), "least": F.min(F.array_min(lens)).cast("long"), "most": F.max(F.array_max(lens)).cast("long"), "all": F.sum(F.when(cells.isNotNull(), F.size(cells)).cast("long"))}
-        else:
-            size = f.sizes()
-            a = {"non_missing": F.count(f.read), "tot": F.sum(size), "least": F.min(size), "most": F.max(size), "all": F.count("*")}
-        if weighted:
-            a |= {"w_present": F.sum(F.when(f.read.isNotNull(), F.col(WEIGHT))), "w_tot": F.sum(F.col(WEIGHT) * f.sizes()) if not f.repeated else F.lit(None).cast("double")}
-        aggs[f.path] = a
+def _own(df: DataFrame) -> list[Feature]:
+    return [f for f in features(df.schema) if f.steps[0] not in (SLICE, WEIGHT, MEANS)]
+
+
+def _common_aggs(f: Feature, weighted: bool) -> dict[str, Column]:
+    if f.repeated:
+        cells = f.read
+        lens = F.transform(F.filter(cells, lambda x: x.isNotNull()), F.size if f.nest else lambda x: F.lit(1))
+        a = {"non_missing": F.sum(F.coalesce(F.size(F.filter(cells, lambda x: x.isNotNull())), F.lit(0)).cast("long")), "tot": F.sum(F.when(cells.isNotNull(), F.aggregate(lens, F.lit(0), lambda s, x: s + x)).cast("long")), "least": F.min(F.array_min(lens)).cast("long"), "most": F.max(F.array_max(lens)).cast("long"), "all": F.sum(F.when(cells.isNotNull(), F.size(cells)).cast("long"))}
+    else:
+        size = f.sizes()
+        a = {"non_missing": F.count(f.read), "tot": F.sum(size), "least": F.min(size), "most": F.max(size), "all": F.count("*")}
+    if weighted:
+        a |= {"w_present": F.sum(F.when(f.read.isNotNull(), F.col(WEIGHT))), "w_tot": F.sum(F.col(WEIGHT) * f.sizes()) if not f.repeated else F.lit(None).cast("double")}
+    return a
+
+
+def _common_out(got: DataFrame, fs: list[Feature], weighted: bool) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for f in fs for x in (f.path, f.type)])
     out = [
         SLICE,
@@ -83,7 +87,13 @@ def common(df: DataFrame, weighted: bool = False) -> DataFrame:
     if weighted:
         present = F.coalesce("w_present", F.lit(0.0))
         out += [F.col("w").alias("weighted_num_examples"), present.alias("weighted_num_non_missing"), (F.col("w") - present).alias("weighted_num_missing"), F.coalesce("w_tot", F.lit(0.0)).alias("weighted_tot_num_values"), F.when(present > 0, F.coalesce("w_tot", F.lit(0.0)) / present).alias("weighted_avg_num_values")]
-    return _unpivot(df, aggs).select(*out)
+    return got.select(*out)
+
+
+def common(df: DataFrame, weighted: bool = False) -> DataFrame:
+    """(slice, path, type, num_examples, num_non_missing, num_missing, min/max/avg/tot_num_values) of ``prepared`` rows; features inside arrays of structs count the parent's values as their examples."""
+    fs = _own(df)
+    return _common_out(_unpivot(df, {f.path: _common_aggs(f, weighted) for f in fs}), fs, weighted)
 
 
 def levels(df: DataFrame) -> DataFrame:
@@ -125,39 +135,44 @@ def _by_shape(df: DataFrame, fs: list[Feature], aggs_of) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def numeric_stats(df: DataFrame, weighted: bool = False) -> DataFrame | None:
-    """(slice, path, mean, std_dev, num_zeros, num_nan, pos_inf, neg_inf, min, max, finite_min, finite_max); NaN takes no part in moments, infinities do, as limits: with both the mean is NaN and the deviation 0."""
+def _numeric_aggs(f: Feature, value: Column, weighted: bool) -> dict[str, Column]:
     inf = float("inf")
+    raw = numeric(value, f.leaf).cast("double")
+    x = number(value, f)
+    finite = F.when((x < inf) & (x > -inf), x)
+    out = {"mean": F.avg(x), "sd": F.stddev_pop(finite), "num_zeros": F.count_if(x == 0), "num_nan": F.count_if(F.isnan(raw)) if f.type == FLOAT else F.lit(0).cast("long"), "pos_inf": F.count_if(x == inf), "neg_inf": F.count_if(x == -inf), "min": F.min(x), "max": F.max(x), "finite_min": F.min(finite), "finite_max": F.max(finite), "values": F.count(x)}
+    if weighted:
+        w = F.when(x.isNotNull(), F.col(WEIGHT))
+        out |= {"sw": F.sum(w), "swdd": F.sum(w * F.pow(x - F.element_at(MEANS, F.lit(f.path)), F.lit(2)))}
+    return out
 
-    def aggs(f: Feature, value: Column) -> dict[str, Column]:
-        raw = numeric(value, f.leaf).cast("double")
-        x = number(value, f)
-        finite = F.when((x < inf) & (x > -inf), x)
-        out = {"mean": F.avg(x), "sd": F.stddev_pop(finite), "num_zeros": F.count_if(x == 0), "num_nan": F.count_if(F.isnan(raw)) if f.type == FLOAT else F.lit(0).cast("long"), "pos_inf": F.count_if(x == inf), "neg_inf": F.count_if(x == -inf), "min": F.min(x), "max": F.max(x), "finite_min": F.min(finite), "finite_max": F.max(finite), "values": F.count(x)}
-        if weighted:
-            w = F.when(x.isNotNull(), F.col(WEIGHT))
-            out |= {"sw": F.sum(w), "swdd": F.sum(w * F.pow(x - F.element_at(MEANS, F.lit(f.path)), F.lit(2)))}
-        return out
+
+def _numeric_out(got: DataFrame, *more) -> DataFrame:
+    any_inf = (F.col("pos_inf") + F.col("neg_inf")) > 0
+    out = [SLICE, "path", F.col("mean"), F.when(any_inf, F.lit(0.0)).otherwise(F.col("sd")).alias("std_dev"), "num_zeros", "num_nan", "pos_inf", "neg_inf", "min", "max", "finite_min", "finite_max"]
+    return got.where("values > 0 OR num_nan > 0").select(*out, *more)
+
+
+def numeric_stats(df: DataFrame, weighted: bool = False) -> DataFrame | None:
+    """(slice, path, mean, std_dev, num_zeros, num_nan, pos_inf, neg_inf, min, max, finite_min, finite_max); NaN takes no part in moments, infinities do, as limits: with both the mean is NaN and the deviation 0."""
 
     def sums(f: Feature, value: Column) -> dict[str, Column]:
         x = number(value, f)
         w = F.when(x.isNotNull(), F.col(WEIGHT))
         return {"mean": F.sum(w * x) / F.nullif(F.sum(w), F.lit(0.0))}
 
-    fs = [f for f in features(df.schema) if f.type in (INT, FLOAT) and f.steps[0] not in (SLICE, WEIGHT)]
+    fs = [f for f in _own(df) if f.type in (INT, FLOAT)]
     if weighted and fs:  # deviations from the mean, as squares of large values would cancel out; a row for each slice is joined
         means = _by_shape(df, fs, sums).groupBy(SLICE).agg(F.map_from_entries(F.collect_list(F.struct("path", "mean"))).alias(MEANS))
         df = df.join(F.broadcast(means), SLICE)
-    got = _by_shape(df, fs, aggs)
+    got = _by_shape(df, fs, lambda f, value: _numeric_aggs(f, value, weighted))
     if got is None:
         return None
-    any_inf = (F.col("pos_inf") + F.col("neg_inf")) > 0
-    out = [SLICE, "path", F.col("mean"), F.when(any_inf, F.lit(0.0)).otherwise(F.col("sd")).alias("std_dev"), "num_zeros", "num_nan", "pos_inf", "neg_inf", "min", "max", "finite_min", "finite_max"]
-    if weighted:
-        every = means.select(SLICE, F.explode(MEANS).alias("path", "weighted_mean"))
-        got = got.join(F.broadcast(every), [SLICE, "path"], "left")
-        out += ["weighted_mean", F.when(F.col("sw") != 0, F.sqrt(F.col("swdd") / F.col("sw"))).alias("weighted_std_dev")]
-    return got.where("values > 0 OR num_nan > 0").select(*out)
+    if not weighted:
+        return _numeric_out(got)
+    every = means.select(SLICE, F.explode(MEANS).alias("path", "weighted_mean"))
+    got = got.join(F.broadcast(every), [SLICE, "path"], "left")
+    return _numeric_out(got, "weighted_mean", F.when(F.col("sw") != 0, F.sqrt(F.col("swdd") / F.col("sw"))).alias("weighted_std_dev"))
 
 
 def covariances(df: DataFrame, paths: list[str]) -> DataFrame:
@@ -170,18 +185,51 @@ def covariances(df: DataFrame, paths: list[str]) -> DataFrame:
     return wide.select(SLICE, F.inline(F.array(*cells)))
 
 
-def string_stats(df: DataFrame, categorical: list[str] | None = None) -> DataFrame | None:
-    """(slice, path, avg_length in bytes, invalid_utf8_count, min/max/avg_num_bytes); features listed as categorical count the length of their text."""
+def _textual(df: DataFrame, categorical: list[str] | None) -> list[Feature]:
     chosen = set(categorical or [])
+    return [f for f in _own(df) if (f.type in (STRING, BYTES) or f.path in chosen) and f.type != STRUCT]
 
-    def aggs(f: Feature, value: Column) -> dict[str, Column]:
-        as_bytes = F.octet_length(value) if f.type == STRING else F.length(numeric(value, f.leaf).cast("string"))
-        bad = F.count_if(~F.is_valid_utf8(value.cast("string"))) if f.type == STRING else F.lit(0).cast("long")
-        return {"values": F.count(value), "avg_length": F.avg(as_bytes), "invalid_utf8_count": bad, "min_num_bytes": F.min(as_bytes).cast("long"), "max_num_bytes": F.max(as_bytes).cast("long")}
 
-    fs = [f for f in features(df.schema) if (f.type in (STRING, BYTES) or f.path in chosen) and f.type != STRUCT and f.steps[0] not in (SLICE, WEIGHT)]
-    got = _by_shape(df, fs, aggs)
-    return None if got is None else got.where("values > 0").select(SLICE, "path", "avg_length", "invalid_utf8_count", "min_num_bytes", "max_num_bytes", F.col("avg_length").alias("avg_num_bytes"))
+def _string_aggs(f: Feature, value: Column) -> dict[str, Column]:
+    as_bytes = F.octet_length(value) if f.type == STRING else F.length(numeric(value, f.leaf).cast("string"))
+    bad = F.count_if(~F.is_valid_utf8(value.cast("string"))) if f.type == STRING else F.lit(0).cast("long")
+    return {"values": F.count(value), "avg_length": F.avg(as_bytes), "invalid_utf8_count": bad, "min_num_bytes": F.min(as_bytes).cast("long"), "max_num_bytes": F.max(as_bytes).cast("long")}
+
+
+def _string_out(got: DataFrame) -> DataFrame:
+    return got.where("values > 0").select(SLICE, "path", "avg_length", "invalid_utf8_count", "min_num_bytes", "max_num_bytes", F.col("avg_length").alias("avg_num_bytes"))
+
+
+def string_stats(df: DataFrame, categorical: list[str] | None = None) -> DataFrame | None:
+    """(slice, path, avg_length in bytes, invalid_utf8_count, min/max/avg_num_bytes); features listed as categorical count the length of their text."""
+    got = _by_shape(df, _textual(df, categorical), _string_aggs)
+    return None if got is None else _string_out(got)
+
+
+def profile(df: DataFrame, categorical: list[str] | None, keep: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame | None]:
+    """{"common", "numeric", "string"}: what :func:`common`, :func:`numeric_stats` and :func:`string_stats` give without weights, with one pass over each scalar column. ``keep`` writes the aggregates, a row for each feature and slice, as each is read for several frames."""
+    texts, every = {f.path for f in _textual(df, categorical)}, _own(df)
+    kinds = {"c": lambda f: True, "n": lambda f: f.type in (INT, FLOAT), "s": lambda f: f.path in texts}
+    make = {"c": lambda f: _common_aggs(f, False), "n": lambda f: _numeric_aggs(f, f.read, False), "s": lambda f: _string_aggs(f, f.read)}
+    by: dict[str, list[Feature]] = {}
+    for f in every:
+        if f.scalar and f.type != STRUCT:
+            by.setdefault("".join(k for k, fits in kinds.items() if fits(f)), []).append(f)
+    parts: dict[str, list[DataFrame]] = {k: [] for k in kinds}
+    for names, fs in by.items():
+        wide = keep(_unpivot(df, {f.path: {f"{k}_{s}": c for k in names for s, c in make[k](f).items()} for f in fs}))
+        for k in names:
+            cells = [F.col(c).alias(c[2:]) for c in wide.columns if c.startswith(f"{k}_")]
+            parts[k].append(wide.select(SLICE, "path", *(["n", "w"] if k == "c" else []), *cells))
+    rest = [f for f in every if not f.scalar or f.type == STRUCT]
+    if rest:
+        parts["c"].append(_unpivot(df, {f.path: _common_aggs(f, False) for f in rest}))
+        for k, aggs in (("n", lambda f, v: _numeric_aggs(f, v, False)), ("s", _string_aggs)):
+            got = _by_shape(df, [f for f in rest if kinds[k](f)], aggs)
+            if got is not None:
+                parts[k].append(got.drop("n", "w"))
+    whole = {k: reduce(lambda x, y: x.unionByName(y), p) if p else None for k, p in parts.items()}
+    return {"common": _common_out(whole["c"], every, False), "numeric": _numeric_out(whole["n"]) if whole["n"] is not None else None, "string": _string_out(whole["s"]) if whole["s"] is not None else None}
 
 
 def empty_values(df: DataFrame) -> DataFrame | None:

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import FLOAT, INT, features
+from ..functions.paths import FLOAT, INT, features, parse
 from ..operators import association, basic, quantiles, semantic, values
 from ..operators.slicing import ALL, SLICE, FeatureSlicer, from_config
 from ..sources.readers import read_vocabulary
@@ -206,8 +206,12 @@ class Statistics:
     def collect(self) -> dict[str, dict[str, Any]]:
         """{slice: {"num_examples", "weighted_num_examples", "features": {path: statistics}, ...}}; a row for each path, so small whatever the table's size."""
         out: dict[str, dict[str, Any]] = {}
+        if not self.weighted and not {"common", "numeric", "string"} & set(self._frames) and self.rows.columns != [SLICE]:
+            self._frames |= basic.profile(self.rows, self.options.categorical, lambda df: scratch(df, "profile"))
         for r in self.frame("common").collect():
-            d = out.setdefault(r[SLICE], {"num_examples": r.num_examples, "weighted_num_examples": getattr(r, "weighted_num_examples", None) if self.weighted else None, "features": {}, "sparse": {}, "weighted": {}, "cross": {}})
+            d = out.setdefault(r[SLICE], {"num_examples": r.num_examples, "weighted_num_examples": None, "features": {}, "sparse": {}, "weighted": {}, "cross": {}})
+            if self.options.weight is not None and parse(r.path)[0] not in self.options.feature_weights:
+                d["weighted_num_examples"] = r.weighted_num_examples
             d["features"][r.path] = {k: v for k, v in r.asDict().items() if k not in (SLICE, "path", "num_examples")} | {"num_nan": 0, "levels": [], "values": None, "unique": None, "histograms": {}, "custom": {}}
         if not out:
             out[ALL] = {"num_examples": 0, "weighted_num_examples": None, "features": {}, "sparse": {}, "weighted": {}, "cross": {}}

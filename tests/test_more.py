@@ -37,9 +37,22 @@ def test_weighted_deviation_of_large_values(spark):
     assert got["weighted_std_dev"] == pytest.approx(math.sqrt(np.average((v - np.average(v, weights=w)) ** 2, weights=w)))
 
 
+def test_one_pass_gives_the_same_frames(spark):
+    rows = [(k, float("nan") if k == 3 else k / 2, None if k % 4 == 0 else f"é{k}", bytes([k]), k % 2 == 0, [k, k + 1] if k % 3 else None, (k, "x"), [(k, [0.5])]) for k in range(20)]
+    df = spark.createDataFrame(rows, "i int, x double, s string, b binary, f boolean, l array<int>, t struct<u: int, v: string>, n array<struct<a: int, c: array<double>>>")
+    for slicers in ([], [FeatureSlicer({"f": None})]):
+        p = basic.prepared(df, None, slicers)
+        got = basic.profile(p, ["i"], lambda wide: wide)
+        for name, want in (("common", basic.common(p)), ("numeric", basic.numeric_stats(p)), ("string", basic.string_stats(p, ["i"]))):
+            assert got[name].columns == want.columns
+            assert sorted(map(str, got[name].collect())) == sorted(map(str, want.collect())), name
+
+
 def test_weights_by_feature(spark):
     df = spark.createDataFrame([(1.0, 10.0, 1, 3, "a"), (2.0, 20.0, 2, 1, "b"), (4.0, None, 3, 1, None)], "x double, y double, w int, v int, s string")
-    got = stats(df, weight="w", feature_weights={"y": "v", "s": "v"}, histograms=False)["features"]
+    got = stats(df, weight="w", feature_weights={"y": "v", "s": "v"}, histograms=False)
+    assert got["weighted_num_examples"] == 6
+    got = got["features"]
     assert set(got) == {"x", "y", "w", "v", "s"}
     assert got["x"]["weighted_mean"] == pytest.approx(17 / 6) and got["y"]["weighted_mean"] == pytest.approx(12.5)
     assert (got["y"]["weighted_num_non_missing"], got["y"]["weighted_num_missing"], got["x"]["weighted_num_non_missing"]) == (4, 1, 6)

@@ -154,11 +154,14 @@ def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points of UTF-8 bytes, how many begin before each byte and in all). Bytes that are no UTF-8 give some code point; none is lost."""
     lead = (buf & 0xC0) != 0x80
     at = np.flatnonzero(lead)
-    padded = np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.int64)
-    a, b, c, d = (padded[at + k] for k in range(4))
-    b, c, d = b & 63, c & 63, d & 63
-    cps = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 31) << 6 | b, np.where(a < 0xF0, (a & 15) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d)))
-    return np.minimum(cps, 0x10FFFF), np.concatenate([[0], np.cumsum(lead)])
+    cps = buf[at].astype(np.int32)
+    wide = np.flatnonzero(cps > 0x7F)  # few in most texts
+    if len(wide):
+        padded = np.concatenate([buf, np.zeros(3, np.uint8)])
+        a = cps[wide]
+        b, c, d = ((padded[at[wide] + k] & 63).astype(np.int32) for k in (1, 2, 3))
+        cps[wide] = np.minimum(0x10FFFF, np.where(a < 0xE0, (a & 31) << 6 | b, np.where(a < 0xF0, (a & 15) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d)))
+    return cps, np.concatenate([[0], np.cumsum(lead)])
 
 
 def row_ids(column: pa.Array) -> pa.Array:

@@ -234,7 +234,8 @@ def learn(texts: list[bytes], toxic: np.ndarray) -> Model | None:
     machine = Automaton(terms := {t: round(weight[t], 3) for t in best})
     rest = np.flatnonzero(~half if (~half).any() and 0 < y[~half].sum() < (~half).sum() else half)
     parts = [texts[keep[k]] for k in rest]
-    x = features(machine, np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
+    sample = shared.Texts(pa.array(parts, pa.large_binary()))
+    x = np.concatenate([features(machine, buf, offs) for _, _, buf, offs in sample.slices()])
     mean, scale = x.mean(0), x.std(0) + 1e-6
     x = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
     beta = np.zeros(x.shape[1])

@@ -26,7 +26,7 @@ from .pieces import NO_RANK, SPACE, PieceModel, load
 
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n\r\t]*|[\n\r\t]+|[^{SPACE}\n\r\t]+")
 #: Distinct units a worker keeps before it starts its store anew (memory only; results are the same).
-STORE_UNITS = 600_000
+STORE_UNITS = 400_000
 
 
 def merge_units(model: PieceModel, units: list[str]) -> tuple[np.ndarray, np.ndarray]:

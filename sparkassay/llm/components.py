@@ -40,8 +40,6 @@ def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has an edge and isn't its component's smallest; loops and repeated edges do no harm."""
-    n = shared.partitions(edges.sparkSession)
-
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
@@ -51,7 +49,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     now = edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).where("node <> root").mapInArrow(local, "node long, root long")
     while True:
-        forest = shared.materialize(now.repartition(n, "node").mapInArrow(local, "node long, root long"), "forest")
+        forest = shared.materialize(now.repartition("node").mapInArrow(local, "node long, root long"), "forest")
         up = forest.select(F.col("node").alias("root"), F.col("root").alias("__up"))
         state = forest.join(up, "root", "left").agg(F.count("*").alias("rows"), F.countDistinct("node").alias("nodes"), F.count("__up").alias("moved")).first()
         if state.rows == state.nodes and not state.moved:

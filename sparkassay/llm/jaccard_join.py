@@ -45,7 +45,9 @@ SHINGLE, PERCENT = 5, 80
 #: Ids (8 bytes each) up to which they are sent to every task.
 BROADCAST_IDS = 1_000_000
 #: Entries and rows that close a block.
-BLOCK, BLOCK_ROWS = 1 << 20, 1 << 17
+BLOCK, BLOCK_ROWS = 1 << 19, 1 << 16
+#: Shards for each shuffle partition; a task handles its shards one after the other.
+SHARDS = 2
 #: Bits of a shingle's hash that are dropped from its column's code.
 DROP = np.uint64(16)
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -154,7 +156,8 @@ def place(rows: list[np.ndarray], own: list[np.ndarray], answers: list[list[np.n
 
 def incidence(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows of two kinds: (false, doc_id, k1, k2, n) of each document; (true, doc_id, k1, null, n, column, pos) of each entry that is multiplied."""
-    shards = shared.partitions(docs.sparkSession)
+    tasks = shared.partitions(docs.sparkSession)
+    shards = SHARDS * tasks
     binary = "kind int, shard int, block long, blob binary, more binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +224,8 @@ def incidence(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text
             column, row, position = place(rows, own, [unpack(x) for x in answers.pop(block, [])], percent)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), bool)), pa.array(ids[row]), pa.array(k1[row]), pa.nulls(len(row), pa.int64()), pa.array(n[row]), pa.array(column), pa.array(position)], names)
 
-    asked = shared.only(docs, key, text).mapInArrow(ask, binary).repartition(shards, "shard")
-    answered = asked.mapInArrow(answer, "kind int, block long, blob binary, more binary").repartition(shards, "block")
+    asked = shared.only(docs, key, text).mapInArrow(ask, binary).repartition(tasks, "shard")
+    answered = asked.mapInArrow(answer, "kind int, block long, blob binary, more binary").repartition(tasks, "block")
     return answered.mapInArrow(settle, "entry boolean, doc_id long, k1 long, k2 long, n long, column long, pos long")
 
 

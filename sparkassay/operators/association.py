@@ -17,6 +17,10 @@ from .slicing import SLICE
 from .values import text_of
 
 
+#: Parts that the values of a slice are dealt to when each meets all values of another feature.
+SALTS = 16
+
+
 def _plain(df: DataFrame):
     return [f for f in features(df.schema) if f.steps[0] not in (SLICE, WEIGHT) and not f.repeated and f.nest < 2]
 
@@ -89,8 +93,9 @@ def lift(df: DataFrame, y: str, xs: list[str] | None = None, boundaries: list[fl
     long = base.select(SLICE, "w", "ys", F.inline(cells))
     x_counts = long.groupBy(SLICE, "path_x", "x").agg(F.sum("w").alias("x_count")).where(F.col("x_count") > min_x_count)
     xy = long.select(SLICE, "path_x", "x", "w", F.explode("ys").alias("y")).groupBy(SLICE, "path_x", "x", "y").agg(F.sum("w").alias("xy_count"))
-    # every kept x with every y of its slice, as the operator is asked for pairs that never meet too
-    pairs = x_counts.join(y_counts.join(totals, SLICE), SLICE).join(xy, [SLICE, "path_x", "x", "y"], "left")
+    # every kept x with every y of its slice, as the operator is asked for pairs that never meet too; a slice is dealt to SALTS parts by x
+    salted = y_counts.join(totals, SLICE).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = x_counts.withColumn("salt", F.pmod(F.xxhash64("path_x", "x"), F.lit(SALTS)).cast("int")).join(salted, [SLICE, "salt"]).drop("salt").join(xy, [SLICE, "path_x", "x", "y"], "left")
     met = F.coalesce("xy_count", F.lit(0.0))
     out = pairs.select(SLICE, "path_x", F.lit(y).alias("path_y"), "y", "x", ((met / F.col("x_count")) / (F.col("y_count") / F.col("n"))).alias("lift"), "x_count", met.alias("xy_count"), "y_count")
     if top_k is None and bottom_k is None:

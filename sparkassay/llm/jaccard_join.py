@@ -224,9 +224,9 @@ def incidence(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text
             column, row, position = place(rows, own, [unpack(x) for x in answers.pop(block, [])], percent)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), bool)), pa.array(ids[row]), pa.array(k1[row]), pa.nulls(len(row), pa.int64()), pa.array(n[row]), pa.array(column), pa.array(position)], names)
 
-    asked = shared.only(docs, key, text).mapInArrow(ask, binary).repartition(tasks, "shard")
-    answered = asked.mapInArrow(answer, "kind int, block long, blob binary, more binary").repartition(tasks, "block")
-    return answered.mapInArrow(settle, "entry boolean, doc_id long, k1 long, k2 long, n long, column long, pos long")
+    asked = shared.only(docs, key, text).mapInArrow(shared.released(ask), binary).repartition(tasks, "shard")
+    answered = asked.mapInArrow(shared.released(answer), "kind int, block long, blob binary, more binary").repartition(tasks, "block")
+    return answered.mapInArrow(shared.released(settle), "entry boolean, doc_id long, k1 long, k2 long, n long, column long, pos long")
 
 
 def _reaches(n: Column, pos: Column, other_n: Column, other_pos: Column, percent: int) -> Column:
@@ -297,7 +297,7 @@ def decide(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(k1), b.column(1).slice(at, to - at)], ["doc_id", "k", "t"])
 
     # rows that share a doc_id but not their words are different classes; repeated ones are one
-    texts = shared.materialize(texts.mapInArrow(keyed, "doc_id long, k long, t string"), "pair-texts").dropDuplicates(["doc_id", "k"])
+    texts = shared.materialize(texts.mapInArrow(shared.released(keyed), "doc_id long, k long, t string"), "pair-texts").dropDuplicates(["doc_id", "k"])
     rows = pairs.join(texts.toDF("a", "ka", "ta"), ["a", "ka"]).join(texts.toDF("b", "kb", "tb"), ["b", "kb"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def decide(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str
             got = batch.filter(pa.array(link))
             yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(shared.released(run), "a long, b long")
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:

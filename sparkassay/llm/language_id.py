@@ -161,7 +161,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text", lan
                 take = np.flatnonzero((place % every == 0) & ((held > 40) | (own[row] == 1)))
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(at + row[take])), b.column(1).cast(pa.string()).take(pa.array(at + row[take])), pa.array([w.tobytes() for w in x[take]], pa.binary())], ["k", "lang", "w"])
 
-    got = sorted((r.k if r.k is not None else -1, r.lang, bytes(r.w)) for r in chosen.mapInArrow(cut, "k long, lang string, w binary").distinct().collect())
+    got = sorted((r.k if r.k is not None else -1, r.lang, bytes(r.w)) for r in chosen.mapInArrow(shared.released(cut), "k long, lang string, w binary").distinct().collect())
     if not got:
         return None
     langs = sorted({r[1] for r in got})
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", key: str =
                 names, score = judge(net, buf, offs)
                 yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), pa.array(names, pa.string()), pa.array(score)], [key, "lang_pred", "score"])
 
-    return shared.only(docs, key, text).mapInArrow(run, f"{key} long, lang_pred string, score double")
+    return shared.only(docs, key, text).mapInArrow(shared.released(run), f"{key} long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float = 0.5, text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from .pieces import NO_RANK, SPACE, PieceModel, load
 
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n\r\t]*|[\n\r\t]+|[^{SPACE}\n\r\t]+")
 #: Distinct units a worker keeps before it starts its store anew (memory only; results are the same).
-STORE_UNITS = 400_000
+STORE_UNITS = 150_000
 
 
 def merge_units(model: PieceModel, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +268,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") ->
             gone = lists.is_null().to_pylist()
             yield pa.RecordBatch.from_arrays([shared.row_ids(b.column(0)), pa.array([None if g else t.decode() for g, t in zip(gone, texts)], pa.string())], [key, "text"])
 
-    return shared.only(rows, key, ids).mapInArrow(run, f"{key} long, text string")
+    return shared.only(rows, key, ids).mapInArrow(shared.released(run), f"{key} long, text string")
 
 
 def _run(docs: DataFrame, path: str, text: str, key: str, schema: str, made, names: list[str]) -> DataFrame:
@@ -283,7 +283,7 @@ def _run(docs: DataFrame, path: str, text: str, key: str, schema: str, made, nam
                 ids, cut = c.encode(_strings(buf, offs))
                 yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), *made(ids, cut, c)], [key, *names])
 
-    return shared.only(docs, key, text).mapInArrow(run, f"{key} long, {schema}")
+    return shared.only(docs, key, text).mapInArrow(shared.released(run), f"{key} long, {schema}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from ..sources.scratch import scratch_path, shared_dir
 #: Bytes of text that a numpy kernel takes at a time; it bounds a worker's memory whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 20
 
-__all__ = ["ALNUM", "SPACED", "Texts", "Words", "by_row", "code_points", "documents", "lowered", "map_rows", "materialize", "mix", "only", "partitions", "row_ids", "scratch_path", "shared_dir", "span_hash"]
+__all__ = ["ALNUM", "SPACED", "Texts", "Words", "by_row", "code_points", "documents", "lowered", "map_rows", "materialize", "mix", "only", "partitions", "released", "row_ids", "scratch_path", "shared_dir", "span_hash"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -28,6 +29,25 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def _trim() -> None:
+    """Gives memory that is free inside the process back to the machine; what numpy and Arrow have freed may stay with their allocators otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker, which goes on to other tasks, holds no free memory."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _trim()
+
+    return whole
+
+
 def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *more: tuple[str, T.DataType]) -> DataFrame:
     """``docs`` mapped by ``run``, which keeps its columns in place and may add ``more``. Columns go by place, so any names do, also dotted or repeated ones."""
     fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)] + [T.StructField(*x) for x in more]
@@ -35,6 +55,7 @@ def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in run(batches):
             yield pa.RecordBatch.from_arrays(b.columns, [f.name for f in fields])
+        _trim()
 
     plain = docs.toDF(*[f.name for f in fields[: len(docs.columns)]])
     return plain.mapInArrow(named, T.StructType(fields)).toDF(*docs.columns, *[name for name, _ in more])

@@ -265,7 +265,8 @@ def _rest_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     ends = labelled.groupBy("column").agg(F.min(F.struct("pos", "k1", "label")).alias("h"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(reach).alias("far"), F.min("n").alias("small")).where("x <> y")
     # a row whose size the farthest reach of the column excludes, or that reaches none of its sizes, has no partner there
     mixed = labelled.join(ends.select("column", F.col("h.label").alias("main"), "far", "small"), "column").where((F.col("far") >= percent * F.col("n")) & (reach >= percent * F.col("small")))
-    mixed = shared.materialize(mixed.select("column", "doc_id", "k1", "n", "pos", "label", "main"), "mixed")
+    # few rows are left of many partitions; rebalanced, they are few files
+    mixed = shared.materialize(mixed.select("column", "doc_id", "k1", "n", "pos", "label", "main").hint("rebalance"), "mixed")
     one = mixed.where("label <> main").select("column", F.col("doc_id").alias("hub_id"), F.col("k1").alias("hub_k1"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label"))
     met = mixed.join(one, "column").where((F.col("label") != F.col("hub_label")) & _reaches(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent))
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("hub_n")) / (100 + percent))
@@ -296,8 +297,8 @@ def decide(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str
                 k1, _ = set_keys(*shingles(buf, offs, size))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(k1), b.column(1).slice(at, to - at)], ["doc_id", "k", "t"])
 
-    # rows that share a doc_id but not their words are different classes; repeated ones are one
-    texts = shared.materialize(texts.mapInArrow(shared.released(keyed), "doc_id long, k long, t string"), "pair-texts").dropDuplicates(["doc_id", "k"])
+    # rows that share a doc_id but not their words are different classes; repeated ones are one. Written after the shuffle, a few texts are few files
+    texts = shared.materialize(texts.mapInArrow(shared.released(keyed), "doc_id long, k long, t string").dropDuplicates(["doc_id", "k"]), "pair-texts")
     rows = pairs.join(texts.toDF("a", "ka", "ta"), ["a", "ka"]).join(texts.toDF("b", "kb", "tb"), ["b", "kb"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

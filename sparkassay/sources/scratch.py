@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import files
 
+#: How Hadoop writes scratch tables to local folders: without checksum files, as it starts a process for each file to set its permissions. Until
+#: that process runs its program, it counts with all the memory of the executor that started it. Other file systems don't heed this.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Folders of each open scope; the first list is that of the whole process.
 _made: list[list[str]] = [[]]
 
@@ -43,7 +46,7 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it again, so that a lost executor costs no rerun of what came before."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **PLAIN_FILES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -216,6 +216,32 @@ def test_jaccard_join_keeps_rows_of_small_support(spark):
     assert all(got[100 * g + 43] == (21, 100 * g + 40) for g in range(4))
 
 
+def test_jaccard_join_writes_few_files(spark, monkeypatch):
+    """A few texts of many tasks are one file: on a local folder each file is a process that an executor starts."""
+    made, plain = {}, shared.materialize
+
+    def counted(df, name):
+        table = plain(df, name)
+        made[name] = max(made.get(name, 0), len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(shared, "materialize", counted)
+    rows = [(2 * k + c, " ".join(f"w{k}x{i}" for i in range(60)) + " end" * c) for k in range(20) for c in range(2)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+    assert made["hub-pairs"] and made["pair-texts"] == 1
+
+
+def test_scratch_tables_have_no_checksum_files(spark, tmp_path):
+    """Scratch tables are read as they were written, without a file beside each; tables that a user writes keep theirs."""
+    table = shared.materialize(spark.range(100, numPartitions=4), "plain")
+    folder = os.path.dirname(table.inputFiles()[0].removeprefix("file://"))
+    assert len(table.inputFiles()) == 4 and sorted(r.id for r in table.collect()) == list(range(100))
+    assert not [x for x in os.listdir(folder) if x.endswith(".crc")]
+    spark.range(100, numPartitions=4).write.parquet(f"file://{tmp_path}/own")
+    assert len([x for x in os.listdir(tmp_path / "own") if x.endswith(".parquet.crc")]) == 4
+
+
 def test_jaccard_join_posts_a_set_after_a_row_without_id(spark):
     table = []
     for g in range(0, 80, 2):

@@ -58,9 +58,9 @@ def pattern(fmt: str) -> str:
 
 
 def prose(text: Column, least_words: int = 3, shortest: float = 2.5, longest: float = 8.0) -> Column:
-    """Whether a value has enough words of a usual mean length."""
+    """Whether a value has enough words of a usual mean length; a blank value has none."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    size = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.size(words)
+    size = F.try_divide(F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)), F.size(words))  # also computed where words are too few
     return (F.size(words) >= least_words) & (size >= shortest) & (size <= longest)
 
 

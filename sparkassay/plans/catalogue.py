@@ -378,7 +378,9 @@ _NL = "WITH w AS (SELECT list_filter(regexp_split_to_array({c}, '\\s+'), lambda
 
 @query(_NL.format(c="t", t="text"))
 def nl_domain(spark, sf_dir):
-    return semantic.natural_language(basic.prepared(table(spark, sf_dir, "documents")), "text").select("considered", "matched")
+    """A missing text counts as a blank one, as in SQL."""
+    texts = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    return semantic.natural_language(basic.prepared(texts), "text").select("considered", "matched")
 
 
 @query("SELECT count(*) AS considered, '%Y-%m-%d' AS format, count(*) AS matched FROM orders")

@@ -12,6 +12,8 @@ from .basic import WEIGHT, exploded
 from .slicing import SLICE
 
 TOP, RANKS, LONG_STRING = 20, 1000, 1024
+#: Lots in which the tasks' most frequent values are merged, one number after the other, before one task ranks what is left.
+LOTS = (64, 8)
 BAD_UTF8, LARGE = "__BYTES_VALUE__", "__LARGE_BYTES__"
 
 
@@ -50,9 +52,18 @@ def value_counts(df: DataFrame, categorical: list[str] | None = None) -> DataFra
 
 
 def top(counts: DataFrame, k: int = TOP, by: str = "cnt", threshold: float = 1) -> DataFrame:
-    """(slice, path, rank, value, cnt, wcnt): the k most frequent; of equal counts the larger value first. The rank filter runs before the shuffle too, so no task sorts all values of a path."""
-    w = Window.partitionBy(SLICE, "path").orderBy(F.desc(by), F.desc("value"))
-    return counts.where(F.col(by) >= threshold).withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    """(slice, path, rank, value, cnt, wcnt): the k most frequent; of equal counts the larger value first.
+
+    Each task keeps k values of a path, then each lot does, so the last task reads k of each of the last lots however many values there are.
+    """
+    keys, order = [SLICE, "path"], [F.desc(by), F.desc("value")]
+    # the filters are on the bare row number, as Spark then applies them before the shuffle too
+    kept = counts.where(F.col(by) >= threshold).withColumn("__lot", F.spark_partition_id())
+    for n in LOTS:
+        kept = kept.withColumn("__lot", F.col("__lot") % n)
+        kept = kept.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__lot").orderBy(*order))).where(F.col("__r") <= k)
+    kept = kept.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= k)
+    return kept.withColumn("rank", F.col("__r") - 1).drop("__lot", "__r")
 
 
 def rank_histogram(counts: DataFrame, buckets: int = RANKS) -> DataFrame:

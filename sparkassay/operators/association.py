@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -17,6 +18,8 @@ from .slicing import SLICE
 from .values import text_of
 
 
+#: Neighbours on each side that sorted points meet before those that aren't done meet all.
+SWEEP = 64
 #: Parts that the values of a slice are dealt to when each meets all values of another feature.
 SALTS = 16
 
@@ -179,12 +182,72 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
 
 
+@lru_cache(maxsize=4)
+def _digammas(n: int) -> np.ndarray:
+    return digamma(np.arange(1, n + 1))
+
+
+def _of_counts(counts: np.ndarray) -> np.ndarray:
+    """Digamma of whole numbers, 0 taken as 1, from a table."""
+    counts = np.maximum(counts, 1)
+    return _digammas(1 << int(counts.max()).bit_length())[counts - 1]
+
+
+def _distances(some: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Chebyshev distances of some points to all, column by column."""
+    out = np.abs(some[:, None, 0] - points[None, :, 0])
+    for c in range(1, points.shape[1]):
+        np.maximum(out, np.abs(some[:, None, c] - points[None, :, c]), out=out)
+    return out
+
+
+def _insert(nearest: list[np.ndarray], d: np.ndarray) -> None:
+    """Put distances into sorted lists of the nearest, one list a column; the largest drops out."""
+    for b in nearest[:-1]:
+        larger = np.maximum(b, d)
+        np.minimum(b, d, out=b)
+        d = larger
+    np.minimum(nearest[-1], d, out=nearest[-1])
+
+
+def _nearest(some: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
+    """Distance of some of the points to their k-th nearest other one, in blocks."""
+    return np.concatenate([np.partition(_distances(some[at : at + 256], points), k, axis=1)[:, k] for at in range(0, len(some), 256)])
+
+
 def _neighbour_distance(points: np.ndarray, k: int) -> np.ndarray:
-    """Chebyshev distance to the k-th nearest other point, in blocks."""
-    out = np.empty(len(points))
-    for at in range(0, len(points), 256):
-        d = np.abs(points[at : at + 256, None] - points[None]).max(2)
-        out[at : at + 256] = np.partition(d, min(k, len(points) - 1), axis=1)[:, min(k, len(points) - 1)]
+    """Chebyshev distance to the k-th nearest other point.
+
+    Of one or two columns, points are sorted by the wider one and meet those next to them, until for most the gap on both sides is no less
+    than the distance found; only the others meet all points. So it is exact, and near to linear unless most values of that column are equal.
+    """
+    n = len(points)
+    k = min(k, n - 1)
+    if k < 1:
+        return np.zeros(n)
+    if points.shape[1] > 2:
+        return _nearest(points, points, k)
+    wider = int(np.argmax(np.ptp(points, axis=0)))
+    order = np.argsort(points[:, wider])
+    points = points[order]
+    main, other = np.ascontiguousarray(points[:, wider]), np.ascontiguousarray(points[:, 1 - wider]) if points.shape[1] > 1 else None
+    nearest = [np.full(n, np.inf) for _ in range(k)]
+    found, left = nearest[-1], np.ones(n, bool)
+    for step in range(1, min(n, SWEEP)):
+        gap = main[step:] - main[:-step]
+        d = gap if other is None else np.maximum(gap, np.abs(other[step:] - other[:-step]))
+        _insert([b[step:] for b in nearest], d)
+        _insert([b[:-step] for b in nearest], d)
+        if step >= k:
+            left = np.zeros(n, bool)
+            left[:-step] = gap < found[:-step]
+            left[step:] |= gap < found[step:]
+            if np.count_nonzero(left) * 16 <= n:
+                break
+    if left.any():
+        found[left] = _nearest(points[left], points, k)
+    out = np.empty(n)
+    out[order] = found
     return out
 
 
@@ -194,10 +257,7 @@ def _within(points: np.ndarray, radius: np.ndarray) -> np.ndarray:
     if points.shape[1] == 1:
         v = np.sort(points[:, 0])
         return np.searchsorted(v, points[:, 0] + r, "right") - np.searchsorted(v, points[:, 0] - r, "left")
-    out = np.empty(len(points), np.int64)
-    for at in range(0, len(points), 64):
-        out[at : at + 64] = (np.abs(points[at : at + 64, None] - points[None]).max(2) <= r[at : at + 64, None]).sum(1)
-    return out
+    return np.concatenate([(_distances(points[at : at + 64], points) <= r[at : at + 64, None]).sum(1) for at in range(0, len(points), 64)])
 
 
 def encode_categories(values: list[list], length: int) -> np.ndarray:
@@ -228,7 +288,7 @@ def column_partition(name: str, partitions: int) -> int:
 def knn_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discrete: bool, k: int = 3, seed: int = 0) -> float:
     """Mutual information in bits of two samples: by counts if both are discrete, after Ross if one is, after Kraskov, Stoegbauer and Grassberger if none is. Continuous ones may have several columns."""
     n = len(x)
-    if n < 2 or len(np.unique(x, axis=0 if x.ndim > 1 else None)) < 2 or len(np.unique(y, axis=0 if y.ndim > 1 else None)) < 2:
+    if n < 2 or (x == x[0]).all() or (y == y[0]).all():
         return 0.0
     if x_discrete and y_discrete:
         _, a = np.unique(x, return_inverse=True)
@@ -250,17 +310,17 @@ def knn_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discrete:
             return 0.0
         m = _within(y[ok], radius[ok])
         kk = np.minimum(k, own[ok] - 1)
-        return max(0.0, float(digamma(np.array([ok.sum()]))[0] + digamma(kk).mean() - digamma(own[ok]).mean() - digamma(np.maximum(m, 1)).mean()) / np.log(2))
+        return max(0.0, float(_of_counts(np.array([ok.sum()]))[0] + _of_counts(kk).mean() - _of_counts(own[ok]).mean() - _of_counts(m).mean()) / np.log(2))
     x, y = jitter(x), jitter(y)
     radius = _neighbour_distance(np.concatenate([x, y], 1), k)
     nx, ny = _within(x, radius), _within(y, radius)
-    return max(0.0, float(digamma(np.array([k]))[0] + digamma(np.array([n]))[0] - digamma(np.maximum(nx, 1)).mean() - digamma(np.maximum(ny, 1)).mean()) / np.log(2))
+    return max(0.0, float(_of_counts(np.array([k]))[0] + _of_counts(np.array([n]))[0] - _of_counts(nx).mean() - _of_counts(ny).mean()) / np.log(2))
 
 
 def adjusted_information(df: DataFrame, label: str, columns: list[str], partitions: int = 1, cap: int = 5000, seed: int = 0, normalize: bool = False, k: int = 3, encoding: int = 512, column_partitions: int = 1) -> DataFrame:
     """(slice, path, adjusted_mutual_information): max(MI - MI after a shuffle, 0), the mean over random partitions of at most ``cap`` rows each.
 
-    The cap is the estimator's sample size. Rows are chosen by a hash, and each partition's sample is one pandas group; columns are
+    The cap is the estimator's sample size. Rows are chosen by a hash, and a task holds one partition's sample and a batch at a time; columns are
     dealt to ``column_partitions`` groups by name, each with the label. Lists are encoded as vectors of at most ``encoding`` numbers. A
     column without values, or a category that never repeats, tells nothing.
     """
@@ -284,32 +344,55 @@ def adjusted_information(df: DataFrame, label: str, columns: list[str], partitio
     order = Window.partitionBy(SLICE, "part").orderBy("h")
     sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).drop("r")
 
-    def estimate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        pdf = pdf.sort_values("h")
-
-        def values(v: pd.Series, c: str) -> np.ndarray:
-            if not lists[c]:
-                return v.to_numpy()
+    def values(v: np.ndarray, c: str) -> np.ndarray:
+        if lists[c]:
             return (encode_categories if text[c] else encode_numbers)([list(x) for x in v], encoding)
+        return pd.factorize(v, sort=True)[0] if text[c] else v
+
+    def estimate(held: dict[int, np.ndarray]) -> list[tuple[str, float]]:
+        """Of one part, whose values are given by place in ``chosen``."""
+        rng = np.random.default_rng(seed)
+        there = {i: pd.notna(v) for i, v in held.items()}
 
         def ami(i: int, j: int) -> float:
-            both = pdf[[f"v{i}", f"v{j}"]].dropna() if i != j else pdf[[f"v{i}"]].dropna()
-            if not len(both) or any(discrete[chosen[c]] and both[f"v{c}"].is_unique for c in (i, j)):
+            both = there[i] & there[j]
+            x, y = held[i][both], held[j][both]
+            if not len(x) or any(discrete[chosen[c]] and len(pd.unique(v)) == len(v) for c, v in ((i, x), (j, y))):
                 return 0.0
-            x, y = values(both[f"v{i}"], chosen[i]), values(both[f"v{j}"], chosen[j])
+            x, y = values(x, chosen[i]), values(y, chosen[j])
             dx, dy = discrete[chosen[i]], discrete[chosen[j]]
             real = knn_information(x, y, dx, dy, k, seed)
             return max(0.0, real - knn_information(rng.permutation(x), y, dx, dy, k, seed))
 
         top = ami(0, 0) if normalize else 1.0
-        own = [i for i in range(1, len(chosen)) if f"v{i}" in pdf.columns]
-        return pd.DataFrame([(key[0], chosen[i], ami(i, 0) / top if top > 0 else 0.0) for i in own], columns=[SLICE, "path", "ami"])
+        return [(chosen[i], ami(i, 0) / top if top > 0 else 0.0) for i in held if i]
+
+    def estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come part by part, as the window has sorted them; a part that a batch cuts is carried on."""
+        rest: pd.DataFrame | None = None
+
+        def of(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+            cells = {int(c[1:]): pdf[c].to_numpy() for c in pdf.columns if c not in (SLICE, "part", "h")}
+            found = [(pdf[SLICE].iat[a], *e) for a, b in zip(starts, ends) for e in estimate({i: v[a:b] for i, v in cells.items()})]
+            return pd.DataFrame(found, columns=[SLICE, "path", "ami"])
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            part, key = pdf["part"].to_numpy(), pdf[SLICE].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1])
+            if len(starts) > 1:
+                yield of(pdf, starts[:-1], starts[1:])
+            rest = pdf.iloc[starts[-1] :]
+        if rest is not None:
+            yield of(rest, np.array([0]), np.array([len(rest)]))
 
     groups: dict[int, list[str]] = {}
     for i, c in enumerate(chosen[1:], 1):
         groups.setdefault(column_partition(c, column_partitions), []).append(f"v{i}")
-    parts = [sample.select(SLICE, "part", "h", "v0", *own).groupBy(SLICE, "part").applyInPandas(estimate, f"{SLICE} string, path string, ami double") for _, own in sorted(groups.items())]
+    parts = [sample.select(SLICE, "part", "h", "v0", *own).sortWithinPartitions(SLICE, "part", "h").mapInPandas(estimates, f"{SLICE} string, path string, ami double") for _, own in sorted(groups.items())]
     return reduce(DataFrame.unionByName, parts).groupBy(SLICE, "path").agg(F.avg("ami").alias("adjusted_mutual_information"))
 
 
